@@ -466,7 +466,8 @@ on(food_graph, "m4_set_property", lambda g: update.set_property(g, "FoodOrder",
  from f_order o join f_delivered_by d on d.src = o.id""")
 
 
-_DATED = F.coalesce("assigned_date", F.lit(0)).alias("assigned_date")
+def _dated(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", F.coalesce("assigned_date", F.lit(0)).alias("assigned_date"))
 
 
 def _assignments(g):
@@ -478,12 +479,12 @@ def _assignments(g):
 
 _ASSIGNED = """(select o.id order_id, concat('driver_', cast(substr(o.id, 7) as bigint) % 60) driver_id from f_order o
  where o.status = 'O' and concat('driver_', cast(substr(o.id, 7) as bigint) % 60) in (select id from f_driver))"""
-on(food_graph, "m5_assign_driver", lambda g: update.assign_drivers(g, _assignments(g)).edge_view(
-    ["DELIVERED_BY"], ["assigned_date"]).select("src", "dst", _DATED),
+on(food_graph, "m5_assign_driver", lambda g: _dated(update.assign_drivers(g, _assignments(g)).edge_view(
+    ["DELIVERED_BY"], ["assigned_date"])),
    f"""select src, dst, 0::bigint assigned_date from f_delivered_by union all
  select order_id, driver_id, 1700000000 from {_ASSIGNED}""")
-on(food_graph, "m5_assign_driver_replace", lambda g: update.assign_drivers(g, _assignments(g), replace_old=True)
-   .edge_view(["DELIVERED_BY"], ["assigned_date"]).select("src", "dst", _DATED),
+on(food_graph, "m5_assign_driver_replace", lambda g: _dated(update.assign_drivers(
+    g, _assignments(g), replace_old=True).edge_view(["DELIVERED_BY"], ["assigned_date"])),
    f"""select src, dst, 0::bigint assigned_date from f_delivered_by where src not in (select order_id from {_ASSIGNED})
  union all select order_id, driver_id, 1700000000 from {_ASSIGNED}""")
 on(food_graph, "m5_order_status", lambda g: update.assign_drivers(g, _assignments(g)).vertices["FoodOrder"]
@@ -1078,4 +1079,4 @@ def _x3(spark, sf):
         F.lit(1_700_000_000).cast("bigint").alias("assigned_date"))
     _finish(jobs.collect_assignments(feed, out, f"{out}-ck"))
     g = jobs.applied(food_graph(spark, sf), out)
-    return g.edge_view(["DELIVERED_BY"], ["assigned_date"]).select("src", "dst", _DATED)
+    return _dated(g.edge_view(["DELIVERED_BY"], ["assigned_date"]))
