@@ -299,13 +299,13 @@ on(payments_graph, "h10_path_elements", lambda g: g.V(ids=orders.path_elements(
  where a.id in (select src from p_tx) or a.id in (select dst from p_tx))""")
 
 
-@add("h1_out_salted", "select t.src seed, t2.dst id from p_tx t join p_tx t2 on t2.src = t.dst")
+@add("h1_out_salted", "select o.src seed, t.dst id from p_owns o join p_tx t on t.src = o.dst")
 def _h1s(spark, sf):
-    """Two hops with the busiest accounts salted: same rows as the plain join."""
+    """Hops with the busiest accounts salted: same rows as the plain join."""
     g = payments_graph(spark, sf)
     hot = skew.supernodes(g.edge_view(["Transaction"], ()), 15)
     g = g.with_supernodes(hot, salts=4)
-    return g.V("Account").out("Transaction").out("Transaction").ids().select("seed", "id")
+    return g.V("User").out("owns").out("Transaction").ids().select("seed", "id")
 
 
 # ---- projections --------------------------------------------------------------
@@ -352,7 +352,8 @@ on(fraud_graph, "r1_path_vertices", lambda g: _text_path(
    "select h.src seed, concat_ws('>', h.src, h.dst, o.dst) path from e_has h join e_owns o on o.src = h.dst")
 on(payments_graph, "r2_path_ids", lambda g: _text_path(g.V("User").with_path().out_e("owns").in_v().paths(), "seed"),
    "select src seed, concat_ws('>', src, eid, dst) path from p_owns")
-on(payments_graph, "r3_repeat", lambda g: g.V("Account").repeat(lambda f: f.out("Transaction").bulk(), 2).count(),
+on(payments_graph, "r3_repeat", lambda g: messages.total_per_seed(
+    g.V("Account").df.select("seed"), messages.walk_counts(g.edge_view(["Transaction"], ()), 2), ["n"]),
    """select a.id seed, count(p.s) n from p_account a left join (select t.src s from p_tx t join p_tx t2
  on t2.src = t.dst) p on p.s = a.id group by 1""")
 on(food_graph, "r4_local_limit", lambda g: g.V("CustomerProfile").both_e(cap=5).other_v().ids().select("seed", "id"),
@@ -379,8 +380,17 @@ on(payments_graph, "a1_count", lambda g: g.V("Account").out_e("Transaction").cou
    "select a.id seed, count(t.eid) n from p_account a left join p_tx t on t.src = a.id group by 1")
 on(payments_graph, "a2_sum", lambda g: g.V("Account").out_e("Transaction").sum("cents"),
    "select src seed, cast(sum(cents) as bigint) total from p_tx group by 1")
-on(payments_graph, "a3_mean", lambda g: g.V("Account").out("Transaction").bulk().out_e("Transaction").values("cents")
-   .groupBy("seed").agg(C.mean_of_cents(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean")),
+
+
+def _receivers_mean(g):
+    """Mean amount sent on by an account's receivers: per-vertex sums pulled one hop back."""
+    e = g.edge_view(["Transaction"], ["cents"])
+    own = e.groupBy(F.col("src").alias("id")).agg(F.sum("cents").alias("total"), F.count("*").alias("n"))
+    return messages.pull(e, own, ["total", "n"]).select(
+        F.col("id").alias("seed"), C.mean_of_cents(F.col("total"), F.col("n")).alias("mean"))
+
+
+on(payments_graph, "a3_mean", _receivers_mean,
    """select t.src seed, cast(sum(t2.cents) as double) / cast(count(*) as double) / cast(100 as double) mean
  from p_tx t join p_tx t2 on t2.src = t.dst group by 1""")
 on(payments_graph, "a4_group_sum", payments.total_outgoing,

@@ -35,7 +35,7 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _aligned(frames: list[DataFrame], fixed: set[str]) -> list[DataFrame]:
+def aligned(frames: list[DataFrame], fixed: set[str]) -> list[DataFrame]:
     """Cast a property to STRING where tables disagree on its type."""
     types: dict[str, set[str]] = {}
     for df in frames:
@@ -65,7 +65,7 @@ class PropertyGraph:
             df = self.vertices[label]
             keep = [c for c in df.columns if c != "id" and (props is None or c in props)]
             frames.append(df.select("id", F.lit(label).alias("label"), *keep))
-        out = union_all(_aligned(frames, {"id", "label"}))
+        out = union_all(aligned(frames, {"id", "label"}))
         missing = [p for p in (props or ()) if p not in out.columns]
         return out.select("*", *[F.lit(None).cast("string").alias(p) for p in missing])
 
@@ -80,7 +80,7 @@ class PropertyGraph:
         for t in self.edge_tables(labels):
             keep = [c for c in t.props if props is None or c in props]
             frames.append(t.df.select("eid", F.lit(t.label).alias("label"), "src", "dst", *keep))
-        return union_all(_aligned(frames, {"eid", "label", "src", "dst"}))
+        return union_all(aligned(frames, {"eid", "label", "src", "dst"}))
 
     # ---- traversal starts ----------------------------------------------
     def V(self, *labels: str, ids=None):

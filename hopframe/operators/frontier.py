@@ -429,6 +429,6 @@ def _edge_rows(graph, tables, direction: str, known: frozenset[str] | None = Non
                   "_dlab string, _far string, _flab string, _side int")
         base = graph.edges[0].df.sparkSession.createDataFrame([], schema)
         return base.select("*", *[F.lit(None).cast("string").alias(f"e_{p}") for p in props])
-    from hopframe.model import _aligned
+    from hopframe.model import aligned
 
-    return union_all(_aligned(frames, {"_key", "eid", "_src", "_dst"}))
+    return union_all(aligned(frames, {"_key", "eid", "_src", "_dst"}))

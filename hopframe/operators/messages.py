@@ -26,6 +26,23 @@ def pull(edges: DataFrame, values: DataFrame, measures: list[str],
             .groupBy("id").agg(*[F.sum(m).alias(m) for m in measures]))
 
 
+def walk_counts(edges: DataFrame, depth: int, ends: DataFrame | None = None,
+                near: str = "src", far: str = "dst") -> DataFrame:
+    """``id, n``: number of walks of exactly ``depth`` edges that start at each vertex.
+
+    ``ends`` (``id``) restricts where a walk may stop. One row per vertex at every step, so
+    a hub costs its edges once, not its in-edges times its out-edges.
+    """
+    if ends is None:
+        values = edges.groupBy(F.col(near).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        depth -= 1
+    else:
+        values = ends.select("id", F.lit(1).cast("bigint").alias("n"))
+    for _ in range(depth):
+        values = pull(edges, values, ["n"], near, far)
+    return values
+
+
 def total_per_seed(seeds: DataFrame, values: DataFrame, measures: list[str]) -> DataFrame:
     """Left-join sums onto every seed; a count of nothing is 0."""
     v = values.select(F.col("id").alias("_id"), *measures)

@@ -5,6 +5,8 @@ Graph: Person -has_account/has_card-> instrument -owns-> VPA -transaction-> VPA.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,10 @@ def sender_paths(g: PropertyGraph, requests: DataFrame) -> DataFrame:
     """Paths to ``target`` over all VPAs of the persons behind the sending VPA.
 
     vpa <-owns- instrument <-has- person -has-> instrument -owns-> vpa -transaction-> target.
-    The path column holds instrument, person, then the alternating walk. The transfer is
-    joined on (vpa, target), so only transfers that end at the target are ever touched.
+    The path column holds instrument, person, then the alternating walk. Transfers into the
+    requested targets get their owners attached (one row per transfer and owner) and meet
+    the requests on (person, target): a person with very many VPAs is never multiplied by
+    that person's payments.
     """
     owns = g.edge_view(["owns"], ())
     has = g.edge_view(HAS, ())
@@ -68,15 +72,17 @@ def sender_paths(g: PropertyGraph, requests: DataFrame) -> DataFrame:
           .join(has.filter(F.col("label") == "has_account")
                 .select(F.col("src").alias("p"), F.col("dst").alias("_i1")), F.col("i1") == F.col("_i1"))
           .select("_vpa", "i1", "p"))
-    down = (has.select(F.col("src").alias("_p"), F.col("eid").alias("h"), F.col("dst").alias("i2"))
-            .join(owns.select(F.col("src").alias("_i2"), F.col("eid").alias("o"), F.col("dst").alias("v2")),
-                  F.col("i2") == F.col("_i2"))
-            .select("_p", "h", "i2", "o", "v2"))
-    tx = _tx(g).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("eid").alias("t"))
+    wanted = requests.select(F.col("target").alias("_w")).distinct()
+    tx = (_tx(g).join(wanted, F.col("dst") == F.col("_w"), "left_semi")
+          .select(F.col("src").alias("v2"), F.col("dst").alias("_d"), F.col("eid").alias("t")))
+    reach = (tx.join(owns.select(F.col("dst").alias("_v2"), F.col("eid").alias("o"), F.col("src").alias("i2")),
+                     F.col("v2") == F.col("_v2"))
+             .join(has.select(F.col("src").alias("_p"), F.col("eid").alias("h"), F.col("dst").alias("_i2")),
+                   F.col("i2") == F.col("_i2"))
+             .select("_p", "h", "i2", "o", "v2", "t", "_d"))
     return (requests.select("payment", "vpa", "target")
             .join(up, F.col("vpa") == F.col("_vpa"))
-            .join(down, F.col("p") == F.col("_p"))
-            .join(tx, (F.col("v2") == F.col("_s")) & (F.col("target") == F.col("_d")))
+            .join(reach, (F.col("p") == F.col("_p")) & (F.col("target") == F.col("_d")))
             .select("payment", F.array("vpa", "i1", "p", "h", "i2", "o", "v2", "t", "target").alias("path")))
 
 
@@ -96,14 +102,51 @@ def known_receivers(g: PropertyGraph) -> DataFrame:
             .select("person", "receiver").distinct())
 
 
-def known_beneficiary(g: PropertyGraph, requests: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class BeneficiaryIndex:
+    """What the beneficiary checks look up.
+
+    known      person, receiver (distinct)
+    into       src, dst, m: number of parallel transfers per VPA pair
+    out_deg    person, da: distinct receivers
+    in_deg     target, dc: distinct payers
+    """
+
+    known: DataFrame
+    into: DataFrame
+    out_deg: DataFrame
+    in_deg: DataFrame
+
+
+def beneficiary_index(g: PropertyGraph, store: str | None = None) -> BeneficiaryIndex:
+    """Build the index; with ``store`` it is written there once, as a stream needs it."""
+    known = known_receivers(g)
+    into = _tx(g).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    if store is not None:
+        spark = known.sparkSession
+        known.write.parquet(f"{store}/known")
+        into.write.parquet(f"{store}/into")
+        known = spark.read.schema(known.schema).parquet(f"{store}/known")
+        into = spark.read.schema(into.schema).parquet(f"{store}/into")
+    out_deg = known.groupBy("person").agg(F.count(F.lit(1)).alias("da"))
+    in_deg = into.groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("dc"))
+    if store is not None:
+        out_deg.write.parquet(f"{store}/out_deg")
+        in_deg.write.parquet(f"{store}/in_deg")
+        out_deg = spark.read.schema(out_deg.schema).parquet(f"{store}/out_deg")
+        in_deg = spark.read.schema(in_deg.schema).parquet(f"{store}/in_deg")
+    return BeneficiaryIndex(known, into, out_deg, in_deg)
+
+
+def known_beneficiary(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex | None = None) -> DataFrame:
     """``payment, known``: has the person paid ``target`` from any of their VPAs?"""
-    k = known_receivers(g).select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
+    index = index or beneficiary_index(g)
+    k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
     return (requests.join(k, (F.col("person") == F.col("_p")) & (F.col("target") == F.col("_r")), "left")
             .select("payment", F.col("_p").isNotNull().alias("known")))
 
 
-def second_degree(g: PropertyGraph, requests: DataFrame) -> DataFrame:
+def second_degree(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex | None = None) -> DataFrame:
     """``payment, n_paths``: transfers into ``target`` from distinct VPAs the person has paid.
 
     For a pair (person A, target C) this counts B->C transfers with B among A's receivers.
@@ -111,17 +154,14 @@ def second_degree(g: PropertyGraph, requests: DataFrame) -> DataFrame:
     transfers into C, or C's payers probed against A's receivers. A hub on one end is thus
     reached from the other end, and both branches are exact, so no pair is dropped.
     """
-    known = known_receivers(g)
-    into = (_tx(g).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
-    out_deg = known.groupBy(F.col("person").alias("_dp")).agg(F.count(F.lit(1)).alias("da"))
-    in_deg = into.groupBy(F.col("dst").alias("_dt")).agg(F.count(F.lit(1)).alias("dc"))
+    index = index or beneficiary_index(g)
     # Each distinct (person, target) is walked once, however many payments repeat it.
     pairs = (requests.select("person", "target").distinct()
-             .join(out_deg, F.col("person") == F.col("_dp"))
-             .join(in_deg, F.col("target") == F.col("_dt"))
+             .join(index.out_deg.withColumnRenamed("person", "_dp"), F.col("person") == F.col("_dp"))
+             .join(index.in_deg.withColumnRenamed("target", "_dt"), F.col("target") == F.col("_dt"))
              .select("person", "target", "da", "dc"))
-    k = known.select(F.col("person").alias("_p"), F.col("receiver").alias("_b"))
-    i = into.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "m")
+    k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_b"))
+    i = index.into.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "m")
     from_sender = (pairs.filter(F.col("da") <= F.col("dc"))
                    .join(k, F.col("person") == F.col("_p"))
                    .join(i, (F.col("_b") == F.col("_s")) & (F.col("target") == F.col("_d")))
@@ -137,14 +177,18 @@ def second_degree(g: PropertyGraph, requests: DataFrame) -> DataFrame:
             .select("payment", F.coalesce("n_paths", F.lit(0)).cast("bigint").alias("n_paths")))
 
 
-def beneficiary_status(g: PropertyGraph, requests: DataFrame) -> DataFrame:
-    """``payment, status``: known, second_degree or first_time."""
-    k = known_beneficiary(g, requests).withColumnRenamed("payment", "_k")
-    s = second_degree(g, requests).withColumnRenamed("payment", "_s2")
-    return (requests.select("payment")
-            .join(k, F.col("payment") == F.col("_k")).join(s, F.col("payment") == F.col("_s2"))
-            .select("payment", F.when(F.col("known"), "known")
-                    .when(F.col("n_paths") > 0, "second_degree").otherwise("first_time").alias("status")))
+def beneficiary_status(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex | None = None) -> DataFrame:
+    """``payment, status``: known, second_degree or first_time.
+
+    Pairs found in the index are settled first; only the others are walked a second step.
+    """
+    index = index or beneficiary_index(g)
+    k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
+    hit = (F.col("person") == F.col("_p")) & (F.col("target") == F.col("_r"))
+    known = requests.join(k, hit, "left_semi").select("payment", F.lit("known").alias("status"))
+    rest = requests.join(k, hit, "left_anti")
+    return known.unionByName(second_degree(g, rest, index).select(
+        "payment", F.when(F.col("n_paths") > 0, "second_degree").otherwise("first_time").alias("status")))
 
 
 # ---- velocity --------------------------------------------------------------
@@ -295,17 +339,24 @@ def risk_features(g: PropertyGraph) -> DataFrame:
     additive = to_persons(g, sender, sums)
     blocked = pull(has, _blocked(g), ["n"]).withColumnRenamed("n", "blocked")
 
-    def sized(df, name):
-        return df.groupBy(F.col("person").alias("id")).agg(F.count(F.lit(1)).alias(name))
-
+    # Receivers, own cities and receivers' cities are sets: tagged per VPA, they share one
+    # join with the owners and one distinct.
+    pairs = tx.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    cities = _vpa_cities(g)
+    beyond = (pairs.join(cities, F.col("_d") == F.col("_v")).select(F.col("_s").alias("v"), "ip_city").distinct())
+    tagged = (pairs.select(F.col("_s").alias("v"), F.lit("r").alias("tag"), F.col("_d").alias("item"))
+              .unionByName(cities.select(F.col("_v").alias("v"), F.lit("c").alias("tag"), F.col("ip_city").alias("item")))
+              .unionByName(beyond.select("v", F.lit("x").alias("tag"), F.col("ip_city").alias("item"))))
+    sets = (person_vpas(g).join(tagged, F.col("vpa") == F.col("v")).select("person", "tag", "item").distinct()
+            .groupBy(F.col("person").alias("id"))
+            .agg(*[F.count(F.when(F.col("tag") == t, 1)).alias(name)
+                   for t, name in (("r", "known_receivers"), ("c", "cities"), ("x", "cities_ext"))]))
     shared = shared_devices(g).select(F.col("device").alias("_dev"))
     dev = (devices(g).join(shared, F.col("device") == F.col("_dev"), "left")
            .groupBy(F.col("person").alias("id"))
            .agg(F.count(F.lit(1)).alias("devices"), F.count("_dev").alias("shared_devices")))
     parts = [(additive, sums), (blocked, ["blocked"]), (dev, ["devices", "shared_devices"]),
-             (sized(known_receivers(g), "known_receivers"), ["known_receivers"]),
-             (sized(cities_immediate(g), "cities"), ["cities"]),
-             (sized(cities_extended(g), "cities_ext"), ["cities_ext"])]
+             (sets, ["known_receivers", "cities", "cities_ext"])]
     # One row per person in every part: stack and sum once instead of six joins.
     names = [c for _, cols in parts for c in cols]
     stacked = None

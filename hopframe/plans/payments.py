@@ -125,18 +125,43 @@ def paths_between(g: PropertyGraph, pairs: DataFrame,
                   pattern: tuple[str, str, str] = ("out", "both", "both")) -> DataFrame:
     """``a, b, path``: all 3-hop walks from vertex ``a`` to ``b``; none when a = b.
 
-    Meets in the middle: one hop forward from a, one hop backward from b, and the middle
-    edge looked up by both its ends. An account with millions of transfers is never
-    expanded, since its edges are only matched on (near, far).
+    Per pair the cheapest of three exact orders is taken, from degrees summed beforehand:
+    meet in the middle (one hop from each end, the middle edge looked up by both its ends),
+    two hops from a with the last looked up, or two hops from b with the first looked up.
+    An account with millions of transfers is only expanded if every other order costs more.
     """
-    back = {"out": "in", "in": "out", "both": "both"}[pattern[2]]
+    back = {"out": "in", "in": "out", "both": "both"}
     first = _named(_step(g, pattern[0]), "_k1", "e1", "v1")
-    last = _named(_step(g, back), "_k3", "e3", "v2")
-    mid = _named(_step(g, pattern[1]), "_k2", "e2", "_f2")
-    ends = (pairs.select("a", "b").distinct().filter(F.col("a") != F.col("b"))
-            .join(first, F.col("a") == F.col("_k1")).join(last, F.col("b") == F.col("_k3")))
-    return (ends.join(mid, (F.col("v1") == F.col("_k2")) & (F.col("v2") == F.col("_f2")))
-            .select("a", "b", F.array("a", "e1", "v1", "e2", "v2", "e3", "b").alias("path")))
+    last = _named(_step(g, back[pattern[2]]), "_k3", "e3", "v2")
+    mid = _named(_step(g, pattern[1]), "_m1", "e2", "_m2")
+
+    def size(df, key, name):
+        return df.groupBy(F.col(key).alias(f"_{name}")).agg(F.count(F.lit(1)).alias(name))
+
+    def reach(step, key, via, mid_key, name):
+        ways = size(mid, mid_key, "w")
+        return (step.join(ways, F.col(via) == F.col("_w")).groupBy(F.col(key).alias(f"_{name}"))
+                .agg(F.sum("w").alias(name)))
+
+    pairs = pairs.select("a", "b").distinct().filter(F.col("a") != F.col("b"))
+    costed = (pairs.join(size(first, "_k1", "da"), F.col("a") == F.col("_da"))
+              .join(size(last, "_k3", "db"), F.col("b") == F.col("_db"))
+              .join(reach(first, "_k1", "v1", "_m1", "ra"), F.col("a") == F.col("_ra"))
+              .join(reach(last, "_k3", "v2", "_m2", "rb"), F.col("b") == F.col("_rb"))
+              .select("a", "b", (F.col("da") * F.col("db")).alias("meet"), "ra", "rb"))
+    from_a, from_b = F.col("a") == F.col("_k1"), F.col("b") == F.col("_k3")
+    via_mid = (F.col("v1") == F.col("_m1")) & (F.col("v2") == F.col("_m2"))
+    best = F.least("meet", "ra", "rb")
+    meet = costed.filter(F.col("meet") == best).join(first, from_a).join(last, from_b).join(mid, via_mid)
+    forth = (costed.filter((F.col("meet") > best) & (F.col("ra") == best)).join(first, from_a)
+             .join(mid, F.col("v1") == F.col("_m1"))
+             .join(last, from_b & (F.col("_m2") == F.col("v2"))))
+    rear = (costed.filter((F.col("meet") > best) & (F.col("ra") > best)).join(last, from_b)
+            .join(mid, F.col("v2") == F.col("_m2"))
+            .join(first, from_a & (F.col("_m1") == F.col("v1"))))
+    path = F.array("a", "e1", "v1", "e2", "v2", "e3", "b").alias("path")
+    return (meet.select("a", "b", path).unionByName(forth.select("a", "b", path))
+            .unionByName(rear.select("a", "b", path)))
 
 
 def user_transfer_paths(g: PropertyGraph, direction: str = "out", seeds: DataFrame | None = None) -> DataFrame:

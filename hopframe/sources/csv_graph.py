@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopframe.model import EdgeTable, PropertyGraph, union_all
+from hopframe.model import EdgeTable, PropertyGraph, aligned, union_all
 from hopframe.operators.skew import split_copies
 from hopframe.sources.checks import resolve_duplicates
 
@@ -132,13 +132,33 @@ def read_edges(spark, root: str, overrides=None) -> list[Loaded]:
     return [read_folder(spark, f, ("~from", "~to"), overrides) for f in leaf_folders(spark, root)]
 
 
-def _by_label(parts: list[Loaded]) -> dict[str, DataFrame]:
-    """Rows per label; the label names (a handful) are looked up with a small job."""
+def _census(parts: list[Loaded]) -> list[tuple[str, str, int, int]]:
+    """(folder, label, good rows, rejected rows) of all folders in one job.
+
+    The result is a handful of rows; it gives both the label names and the load report.
+    """
+    if not parts:
+        return []
+    frames = []
+    for p in parts:
+        frames.append(p.rows.groupBy("~label").agg(F.count(F.lit(1)).alias("ok"))
+                      .select(F.lit(p.folder).alias("folder"), F.col("~label").alias("label"), "ok",
+                              F.lit(0).cast("bigint").alias("bad")))
+        name = re.sub(r"/+$", "", p.folder).rsplit("/", 1)[-1]
+        frames.append(p.rejected.agg(F.count(F.lit(1)).alias("bad")).filter(F.col("bad") > 0)
+                      .select(F.lit(p.folder).alias("folder"), F.lit(name).alias("label"),
+                              F.lit(0).cast("bigint").alias("ok"), "bad"))
+    return [tuple(r) for r in union_all(frames).collect()]
+
+
+def _by_label(parts: list[Loaded], census) -> dict[str, DataFrame]:
     out: dict[str, list[DataFrame]] = {}
     for p in parts:
-        for (label,) in p.rows.select("~label").distinct().collect():
-            out.setdefault(label, []).append(p.rows.filter(F.col("~label") == label).drop("~label"))
-    return {label: union_all(frames) for label, frames in out.items()}
+        labels = [label for folder, label, ok, _ in census if folder == p.folder and ok]
+        for label in labels:
+            rows = p.rows if len(labels) == 1 else p.rows.filter(F.col("~label") == label)
+            out.setdefault(label, []).append(rows.drop("~label"))
+    return {label: union_all(aligned(frames, set())) for label, frames in out.items()}
 
 
 def with_edge_ids(rows: DataFrame, label: str) -> DataFrame:
@@ -164,32 +184,27 @@ def load(spark: SparkSession, vertices_root: str, edges_root: str, duplicates: s
     hops skip edge tables.
     """
     vparts, eparts = read_vertices(spark, vertices_root, overrides), read_edges(spark, edges_root, overrides)
+    vcensus, ecensus = _census(vparts), _census(eparts)
     vertices = {label: resolve_duplicates(df.withColumnRenamed("~id", "id"), duplicates)
-                for label, df in _by_label(vparts).items()}
+                for label, df in _by_label(vparts, vcensus).items()}
     edges = []
-    for label, df in _by_label(eparts).items():
+    for label, df in _by_label(eparts, ecensus).items():
         plain = df.withColumnsRenamed({"~from": "src", "~to": "dst"})
         src_label, dst_label = (endpoints or {}).get(label, (None, None))
         edges.append(EdgeTable(label, with_edge_ids(plain, label), src_label, dst_label))
-    report = load_report(spark, vparts, eparts)
-    return PropertyGraph(vertices, tuple(edges)), report
-
-
-def load_report(spark: SparkSession, vparts: list[Loaded], eparts: list[Loaded]) -> DataFrame:
-    """``stage, label, rows_in, rows_ok, rows_rejected`` per folder."""
-    rows = []
-    for stage, parts in (("vertices", vparts), ("edges", eparts)):
-        for p in parts:
-            ok = p.rows.groupBy(F.col("~label").alias("label")).agg(F.count(F.lit(1)).alias("rows_ok"))
-            rows.append(ok.select(F.lit(stage).alias("stage"), "label", F.col("rows_ok").alias("rows_in"),
-                                  "rows_ok", F.lit(0).cast("bigint").alias("rows_rejected")))
-            name = p.folder.rsplit("/", 1)[-1]
-            bad = p.rejected.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-            rows.append(bad.select(F.lit(stage).alias("stage"), F.lit(name).alias("label"),
-                                   F.col("n").alias("rows_in"), F.lit(0).cast("bigint").alias("rows_ok"),
-                                   F.col("n").alias("rows_rejected")))
-    return (union_all(rows).groupBy("stage", "label")
-            .agg(*[F.sum(c).alias(c) for c in ("rows_in", "rows_ok", "rows_rejected")]))
+    return PropertyGraph(vertices, tuple(edges)), load_report(spark, vcensus, ecensus)
+
+
+def load_report(spark: SparkSession, vcensus, ecensus) -> DataFrame:
+    """``stage, label, rows_in, rows_ok, rows_rejected``."""
+    total: dict[tuple[str, str], list[int]] = {}
+    for stage, census in (("vertices", vcensus), ("edges", ecensus)):
+        for _, label, ok, bad in census:
+            row = total.setdefault((stage, label), [0, 0])
+            row[0] += ok
+            row[1] += bad
+    return spark.createDataFrame([(s, x, ok + bad, ok, bad) for (s, x), (ok, bad) in total.items()],
+                                 "stage string, label string, rows_in bigint, rows_ok bigint, rows_rejected bigint")
 
 
 def infer_endpoints(g: PropertyGraph) -> PropertyGraph:

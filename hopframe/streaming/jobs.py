@@ -26,11 +26,14 @@ def score_beneficiaries(stream: DataFrame, g: PropertyGraph, out: str, checkpoin
                         every: str | None = None) -> StreamingQuery:
     """Write ``payment, status`` (known / second_degree / first_time) for each payment.
 
-    ``stream``: payment, person, target. Each batch is checked against the stored graph by
-    the pair-driven joins of ``fraud``; no closure of all pairs is ever built.
+    ``stream``: payment, person, target. The look-up tables are built once, under
+    ``<out>-index``; each batch then runs the pair-driven joins of ``fraud`` against them.
+    No closure of all second-degree pairs is ever built.
     """
+    index = fraud.beneficiary_index(g, f"{out}-index")
+
     def score(batch: DataFrame, batch_id: int) -> None:
-        fraud.beneficiary_status(g, batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fraud.beneficiary_status(g, batch, index).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(stream.select("payment", "person", "target"), score, checkpoint, every)
 
