@@ -238,13 +238,10 @@ def cities_immediate(g: PropertyGraph) -> DataFrame:
 def cities_extended(g: PropertyGraph) -> DataFrame:
     """Cities of the transfers made by the VPAs a person has paid.
 
-    Only the set is asked for, so duplicates go before each join: a receiver contributes
-    its distinct cities once per sender VPA, whatever its number of transfers.
+    Only the set is asked for, so duplicates go before the join: a receiver contributes its
+    distinct cities once per person, whatever the number of transfers on either side.
     """
-    pairs = _tx(g).select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
-    hop = (pairs.join(_vpa_cities(g), F.col("_d") == F.col("_v"))
-           .select(F.col("_s").alias("_v2"), "ip_city").distinct())
-    return (person_vpas(g).distinct().join(hop, F.col("vpa") == F.col("_v2"))
+    return (known_receivers(g).join(_vpa_cities(g), F.col("receiver") == F.col("_v"))
             .select("person", "ip_city").distinct())
 
 
@@ -339,24 +336,22 @@ def risk_features(g: PropertyGraph) -> DataFrame:
     additive = to_persons(g, sender, sums)
     blocked = pull(has, _blocked(g), ["n"]).withColumnRenamed("n", "blocked")
 
-    # Receivers, own cities and receivers' cities are sets: tagged per VPA, they share one
-    # join with the owners and one distinct.
-    pairs = tx.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
-    cities = _vpa_cities(g)
-    beyond = (pairs.join(cities, F.col("_d") == F.col("_v")).select(F.col("_s").alias("v"), "ip_city").distinct())
-    tagged = (pairs.select(F.col("_s").alias("v"), F.lit("r").alias("tag"), F.col("_d").alias("item"))
-              .unionByName(cities.select(F.col("_v").alias("v"), F.lit("c").alias("tag"), F.col("ip_city").alias("item")))
-              .unionByName(beyond.select("v", F.lit("x").alias("tag"), F.col("ip_city").alias("item"))))
-    sets = (person_vpas(g).join(tagged, F.col("vpa") == F.col("v")).select("person", "tag", "item").distinct()
-            .groupBy(F.col("person").alias("id"))
-            .agg(*[F.count(F.when(F.col("tag") == t, 1)).alias(name)
-                   for t, name in (("r", "known_receivers"), ("c", "cities"), ("x", "cities_ext"))]))
+    # Own cities and receivers' cities are sets: tagged, they share one distinct.
+    known, cities = known_receivers(g), _vpa_cities(g)
+    own = (person_vpas(g).join(cities, F.col("vpa") == F.col("_v"))
+           .select("person", F.lit("own").alias("tag"), "ip_city"))
+    beyond = (known.join(cities, F.col("receiver") == F.col("_v"))
+              .select("person", F.lit("far").alias("tag"), "ip_city"))
+    sets = (own.unionByName(beyond).distinct().groupBy(F.col("person").alias("id"))
+            .agg(F.count(F.when(F.col("tag") == "own", 1)).alias("cities"),
+                 F.count(F.when(F.col("tag") == "far", 1)).alias("cities_ext")))
+    paid = known.groupBy(F.col("person").alias("id")).agg(F.count(F.lit(1)).alias("known_receivers"))
     shared = shared_devices(g).select(F.col("device").alias("_dev"))
     dev = (devices(g).join(shared, F.col("device") == F.col("_dev"), "left")
            .groupBy(F.col("person").alias("id"))
            .agg(F.count(F.lit(1)).alias("devices"), F.count("_dev").alias("shared_devices")))
     parts = [(additive, sums), (blocked, ["blocked"]), (dev, ["devices", "shared_devices"]),
-             (sets, ["known_receivers", "cities", "cities_ext"])]
+             (paid, ["known_receivers"]), (sets, ["cities", "cities_ext"])]
     # One row per person in every part: stack and sum once instead of six joins.
     names = [c for _, cols in parts for c in cols]
     stacked = None
