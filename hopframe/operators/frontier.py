@@ -340,7 +340,8 @@ class Frontier:
                 .filter(F.col("value").isNotNull()))
 
     def select(self, *names: str) -> DataFrame:
-        return self.df.select("seed", *[F.col(f"t_{x}").alias(x) for x in names])
+        """``seed`` and the remembered values; a traverser lacking one of them gives no row."""
+        return self.df.dropna(subset=[f"t_{x}" for x in names]).select("seed", *[F.col(f"t_{x}").alias(x) for x in names])
 
     def ids(self) -> DataFrame:
         return self.df.select(*self._carry(), F.col("cur").alias("id"), F.col("lab").alias("label"))
