@@ -8,9 +8,11 @@ the graph (under two million rows for 10^12 edges).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,10 @@ def binned(hist: DataFrame, kind: str = "log", bins: int = 20) -> DataFrame:
 # ---- power law -------------------------------------------------------------
 
 def zeta_tail(alpha, start):
-    """Hurwitz zeta sum_{k >= start} k^-alpha: 16 terms, then Euler-Maclaurin (alpha > 1)."""
+    """Hurwitz zeta sum_{k >= start} k^-alpha: 32 terms, then Euler-Maclaurin (alpha > 1)."""
     alpha, start = np.asarray(alpha, float), np.asarray(start, float)
-    total = sum((start + i) ** -alpha for i in range(16))
-    x = start + 16
+    total = sum((start + i) ** -alpha for i in range(32))
+    x = start + 32
     return (total + x ** (1 - alpha) / (alpha - 1) + 0.5 * x ** -alpha
             + alpha / 12 * x ** (-alpha - 1)
             - alpha * (alpha + 1) * (alpha + 2) / 720 * x ** (-alpha - 3))
@@ -116,6 +118,8 @@ def power_law_fit(hist: DataFrame) -> DataFrame:
     k = np.array([r[0] for r in rows], float)
     c = np.array([r[1] for r in rows], float)
     shared = spark.sparkContext.broadcast((k, c))
+    # Executors need not have this package installed: ship the helpers with the function.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     def fit(batches):
         kk, cc = shared.value
@@ -131,15 +135,21 @@ def power_law_fit(hist: DataFrame) -> DataFrame:
             .select("r.*"))
 
 
-def _phi(z: np.ndarray) -> np.ndarray:
-    return 0.5 * np.array([math.erfc(-x / math.sqrt(2)) for x in np.atleast_1d(z)])
+def _upper(z: np.ndarray) -> np.ndarray:
+    """Upper tail of the standard normal."""
+    return 0.5 * np.array([math.erfc(x / math.sqrt(2)) for x in np.atleast_1d(z)])
 
 
 def _lognormal_logpmf(k, mu, sigma, xmin):
-    """Log-normal mass of [k - 1/2, k + 1/2], conditioned on k >= xmin."""
-    hi, lo = _phi((np.log(k + 0.5) - mu) / sigma), _phi((np.log(k - 0.5) - mu) / sigma)
-    tail = 1 - _phi((math.log(xmin - 0.5) - mu) / sigma)[0]
-    return np.log(np.maximum(hi - lo, 1e-300)) - math.log(max(tail, 1e-300))
+    """Log-normal mass of [k - 1/2, k + 1/2], conditioned on k >= xmin.
+
+    -inf where the tail beyond xmin is too small to be computed reliably.
+    """
+    tail = _upper((math.log(xmin - 0.5) - mu) / sigma)[0]
+    if tail < 1e-200:
+        return np.full(len(k), -np.inf)
+    mass = _upper((np.log(k - 0.5) - mu) / sigma) - _upper((np.log(k + 0.5) - mu) / sigma)
+    return np.log(np.maximum(mass, 1e-300)) - math.log(tail)
 
 
 def compare_lognormal(hist: DataFrame, alpha: float, xmin: int) -> dict:
