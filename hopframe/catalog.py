@@ -570,9 +570,9 @@ def checked(name: str, fn, sql: str) -> None:
 
 checked("q12_paid_before", fraud.paid_before,
         """select payment, exists (select 1 from e_tx t where t.src = req.vpa and t.dst = req.target) known from req""")
-checked("q13_sender_paths", lambda g, r: _text_path(fraud.sender_paths(g, r), "payment"),
-        """select r.payment, concat_ws('>', r.vpa, o.src, h.src, h2.eid, h2.dst, o2.eid, o2.dst, t.eid, t.dst) path
- from req r join e_owns o on o.dst = r.vpa join e_has_account h on h.dst = o.src join e_has h2 on h2.src = h.src
+checked("q13_sender_paths", lambda g, r: _text_path(fraud.sender_paths(g, r), "vpa", "target"),
+        """select r.vpa, r.target, concat_ws('>', r.vpa, o.src, h.src, h2.eid, h2.dst, o2.eid, o2.dst, t.eid, t.dst) path
+ from (select distinct vpa, target from req) r join e_owns o on o.dst = r.vpa join e_has_account h on h.dst = o.src join e_has h2 on h2.src = h.src
  join e_owns o2 on o2.src = h2.dst join e_tx t on t.src = o2.dst and t.dst = r.target""")
 on(fraud_graph, "q13_all_paths", lambda g: _text_path(fraud.outgoing_paths(g), "seed"),
    """select h.src seed, concat_ws('>', h.src, h.eid, h.dst, o.eid, o.dst, t.eid, t.dst) path from e_has h

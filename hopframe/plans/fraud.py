@@ -58,13 +58,14 @@ def paid_before(g: PropertyGraph, requests: DataFrame) -> DataFrame:
 
 
 def sender_paths(g: PropertyGraph, requests: DataFrame) -> DataFrame:
-    """Paths to ``target`` over all VPAs of the persons behind the sending VPA.
+    """``vpa, target, path``: paths to ``target`` over all VPAs of the persons behind ``vpa``.
 
+    One seed per distinct (vpa, target), however many payments repeat it.
     vpa <-owns- instrument <-has- person -has-> instrument -owns-> vpa -transaction-> target.
     The path column holds instrument, person, then the alternating walk. Transfers into the
     requested targets get their owners attached (one row per transfer and owner) and meet
-    the requests on (person, target): a person with very many VPAs is never multiplied by
-    that person's payments.
+    the seeds on (person, target): a person with very many VPAs is never multiplied by that
+    person's payments.
     """
     owns = g.edge_view(["owns"], ())
     has = g.edge_view(HAS, ())
@@ -72,7 +73,8 @@ def sender_paths(g: PropertyGraph, requests: DataFrame) -> DataFrame:
           .join(has.filter(F.col("label") == "has_account")
                 .select(F.col("src").alias("p"), F.col("dst").alias("_i1")), F.col("i1") == F.col("_i1"))
           .select("_vpa", "i1", "p"))
-    wanted = requests.select(F.col("target").alias("_w")).distinct()
+    seeds = requests.select("vpa", "target").distinct()
+    wanted = seeds.select(F.col("target").alias("_w")).distinct()
     tx = (_tx(g).join(wanted, F.col("dst") == F.col("_w"), "left_semi")
           .select(F.col("src").alias("v2"), F.col("dst").alias("_d"), F.col("eid").alias("t")))
     reach = (tx.join(owns.select(F.col("dst").alias("_v2"), F.col("eid").alias("o"), F.col("src").alias("i2")),
@@ -80,10 +82,10 @@ def sender_paths(g: PropertyGraph, requests: DataFrame) -> DataFrame:
              .join(has.select(F.col("src").alias("_p"), F.col("eid").alias("h"), F.col("dst").alias("_i2")),
                    F.col("i2") == F.col("_i2"))
              .select("_p", "h", "i2", "o", "v2", "t", "_d"))
-    return (requests.select("payment", "vpa", "target")
+    return (seeds
             .join(up, F.col("vpa") == F.col("_vpa"))
             .join(reach, (F.col("p") == F.col("_p")) & (F.col("target") == F.col("_d")))
-            .select("payment", F.array("vpa", "i1", "p", "h", "i2", "o", "v2", "t", "target").alias("path")))
+            .select("vpa", "target", F.array("vpa", "i1", "p", "h", "i2", "o", "v2", "t", "target").alias("path")))
 
 
 def outgoing_paths(g: PropertyGraph):

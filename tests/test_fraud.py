@@ -65,14 +65,15 @@ def test_second_degree_and_status(spark, small):
 
 def test_sender_paths(spark, small):
     g, people, has, has_a, owns, tx, *_ = small
-    df = spark.createDataFrame([("R1", "P0", "V0", "V0"), ("R2", "P1", "V3", "V2")],
+    df = spark.createDataFrame([("R1", "P0", "V0", "V0"), ("R2", "P1", "V3", "V2"), ("R3", "P0", "V0", "V0")],
                                "payment string, person string, vpa string, target string")
     want = {}
-    for pay, _, vpa, target in df.collect():
-        want[pay] = sum(1 for i1, v in owns if v == vpa for p, i in has_a if i == i1 for q, i2 in has if q == p
+    for _, _, vpa, target in df.collect():
+        want[(vpa, target)] = sum(1 for i1, v in owns if v == vpa for p, i in has_a if i == i1 for q, i2 in has if q == p
                         for j, v2 in owns if j == i2 for _, s, d, *_ in tx if s == v2 and d == target)
-    got = {r["payment"]: r["count"] for r in fraud.sender_paths(g, df).groupBy("payment").count().collect()}
-    assert got == {k: v for k, v in want.items() if v} and want["R1"]
+    found = fraud.sender_paths(g, df).groupBy("vpa", "target").count().collect()
+    got = {(r["vpa"], r["target"]): r["count"] for r in found}
+    assert got == {k: v for k, v in want.items() if v} and want[("V0", "V0")]
 
 
 def test_risk_features(small):
