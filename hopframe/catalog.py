@@ -470,10 +470,10 @@ on(payments_graph, "m3_add_by_key", lambda g: update.add_edges_by_key(
    """select u.id src, a.id dst from p_user u join p_account a
  on a.accountid = concat('A', cast(substr(u.userid, 2) as bigint) + 1)""")
 on(food_graph, "m4_set_property", lambda g: update.set_property(g, "FoodOrder", g.edge_view(["DELIVERED_BY"], ())
-   .filter(F.col("dst") == "driver_7").select(F.col("src").alias("id"), F.lit("HELD").alias("status")), "status")
+   .select(F.col("src").alias("id"), F.concat(F.lit("WITH_"), "dst").alias("status")), "status")
    .vertices["FoodOrder"].select("id", "status"),
-   """select o.id, case when d.dst = 'driver_7' then 'HELD' else o.status end status
- from f_order o join f_delivered_by d on d.src = o.id""")
+   """select o.id, coalesce(concat('WITH_', d.dst), o.status) status
+ from f_order o left join f_delivered_by d on d.src = o.id""")
 
 
 def _dated(df: DataFrame) -> DataFrame:
@@ -541,8 +541,8 @@ on(payments_graph, "q7_in_out_totals", payments.in_out_totals,
    """select u.id seed, coalesce(o.s, 0)::bigint out_cents, coalesce(i.s, 0)::bigint in_cents from p_user u
  left join (select o.src, sum(cents) s from p_owns o join p_tx t on t.src = o.dst group by 1) o on o.src = u.id
  left join (select o.src, sum(cents) s from p_owns o join p_tx t on t.dst = o.dst group by 1) i on i.src = u.id""")
-for _name, _pattern, _last in (("q8_between_node", ("out", "both", "both"), "p_both"),
-                               ("q8_between_python", ("out", "both", "in"), "(select eid, dst k, src f from p_edge)")):
+for _name, _pattern, _last in (("q8_between_both", ("out", "both", "both"), "p_both"),
+                               ("q8_between_in", ("out", "both", "in"), "(select eid, dst k, src f from p_edge)")):
     on(payments_graph, _name,
        lambda g, pattern=_pattern: _text_path(payments.paths_between(g, _user_pairs(g), pattern), "a", "b"),
        f"""select p.a, p.b, concat_ws('>', p.a, x.eid, x.dst, y.eid, y.f, z.eid, z.f) path from {_PAIRS} p
@@ -705,10 +705,22 @@ def _g1(spark, sf):
         F.count("*").alias("vertices"), F.min(F.substring("id", -19, 19).cast("bigint")).alias("first_n"))
 
 
-@add("g2_zipf_degrees")
+def _zipf_sql(gamma: float) -> str:
+    """The inverse CDF over the driver's customers, with its table written out."""
+    cdf = gdeg.zipf_table(gamma)
+    u = _U.format("42|e/degree", "c_custkey")
+    items = ", ".join(repr(x) + "::double" for x in cdf)
+    return f"""select c_custkey n, least(case when u < {cdf[-1]!r}::double
+ then 1 + len(list_filter([{items}], lambda c: c <= u)) else floor({gdeg.HEAD + 0.5}::double *
+ pow((1.0 - u) / {1.0 - cdf[-1]!r}::double, {-1.0 / (gamma - 1)!r}::double) + 0.5) end,
+ (select count(*) - 1 from customer))::bigint as degree from (select c_custkey, {u} u from customer)"""
+
+
+@add("g2_zipf_degrees", _zipf_sql(2.5))
 def _g2(spark, sf):
     n = _n(spark, sf)
-    return scale_free.out_degrees(table(spark, sf, "customer").select(F.col("c_custkey").alias("n")), 2.5, n, 42, "e")
+    return scale_free.out_degrees(table(spark, sf, "customer").select(F.col("c_custkey").alias("n")), 2.5, n, 42, "e",
+                                  algo="md5")
 
 
 @add("g3_targets")
@@ -898,12 +910,11 @@ def _g15c(spark, sf):
                      F.col("self").alias("self_transfers"))
 
 
-@add("g16_planted_hubs", """select concat('A', c_custkey) hub, true as targets_within, true as amounts_within from customer
- where c_custkey % 100 = 1""")
+@add("g16_planted_hubs", """select concat('A', c_custkey) hub, true as targets_within, true as amounts_within from customer""")
 def _g16(spark, sf):
-    """Hubs planted at every hundredth customer: 5-8 targets, 9-25 transfers each, 5 000-30 000."""
+    """A hub planted at every customer: 5-8 targets, 9-25 transfers each, 5 000-30 000."""
     n = _n(spark, sf)
-    hubs = table(spark, sf, "customer").filter("c_custkey % 100 = 1").select(F.col("c_custkey").alias("n"))
+    hubs = table(spark, sf, "customer").select(F.col("c_custkey").alias("n"))
     tx = gen_payments.hub_transfers(hubs, n)
     per = tx.groupBy("src", "dst").agg(F.count("*").alias("k"), F.min("amount").alias("lo"), F.max("amount").alias("hi"))
     return per.groupBy(F.col("src").alias("hub")).agg(

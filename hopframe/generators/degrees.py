@@ -18,12 +18,8 @@ def _count_below(cdf: list[float], u: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x) for x in cdf]), lambda c: c <= u))
 
 
-def zipf_degree(u: Column, gamma: float, n: int) -> Column:
-    """Power-law degree P(k) ~ k^-gamma, k >= 1, capped at n - 1, from a uniform.
-
-    Inverse CDF: a table for k <= 64 and, beyond it, the continuous tail rounded to the
-    nearest integer (relative error of the tail mass below 1/64^2).
-    """
+def zipf_table(gamma: float) -> list[float]:
+    """P(degree <= k) for k = 1..HEAD."""
     if gamma <= 1:
         raise ValueError("gamma must exceed 1")
     z = float(zeta_tail(gamma, 1.0))
@@ -31,6 +27,16 @@ def zipf_degree(u: Column, gamma: float, n: int) -> Column:
     for k in range(1, HEAD + 1):
         acc += k ** -gamma / z
         cdf.append(acc)
+    return cdf
+
+
+def zipf_degree(u: Column, gamma: float, n: int) -> Column:
+    """Power-law degree P(k) ~ k^-gamma, k >= 1, capped at n - 1, from a uniform.
+
+    Inverse CDF: a table for k <= 64 and, beyond it, the continuous tail rounded to the
+    nearest integer (relative error of the tail mass below 1/64^2).
+    """
+    cdf = zipf_table(gamma)
     rest = 1.0 - cdf[-1]
     far = F.floor((HEAD + 0.5) * F.pow((F.lit(1.0) - u) / F.lit(rest), F.lit(-1.0 / (gamma - 1))) + 0.5)
     cap = F.lit(float(max(n - 1, 0)))

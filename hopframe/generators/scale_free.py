@@ -95,9 +95,11 @@ def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str)
     return F.pmod(start + i * F.element_at(arr, which), F.lit(pool).cast("bigint"))
 
 
-def out_degrees(vertices: DataFrame, gamma: float, n_src: int, seed: int, stream: str) -> DataFrame:
+def out_degrees(vertices: DataFrame, gamma: float, n_src: int, seed: int, stream: str,
+                algo: str = "xxhash64") -> DataFrame:
     """``n, degree`` for a DataFrame of vertex numbers ``n``."""
-    return vertices.select("n", zipf_degree(uniform(seed, f"{stream}/degree", F.col("n")), gamma, n_src).alias("degree"))
+    u = uniform(seed, f"{stream}/degree", F.col("n"), algo=algo)
+    return vertices.select("n", zipf_degree(u, gamma, n_src).alias("degree"))
 
 
 def expand(degs: DataFrame, count: str, index: str, most: int | None = None) -> DataFrame:

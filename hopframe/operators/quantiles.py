@@ -7,39 +7,44 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 20.0 / ACCURACY
+IN_ONE_TASK = 100_000
 
 
-def values_at_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> list:
-    """The ``rank``-th largest value (1-based) of ``n`` for each rank; None past the end.
-
-    Runs three small actions over ``df`` (pass a stored table if it is costly):
-    a mergeable quantile sketch brackets every rank, one aggregate counts exactly how many
-    values lie above each bracket, and a cumulative count over the distinct values inside
-    the bracket fixes the value. Only a fraction ``2 * MARGIN`` of the ranks meets in one
-    task; ties, however many, are counted map-side before that. A bracket the sketch got
-    wrong is widened to the full range, so the answer is always exact.
+def value_at_rank(df: DataFrame, col: str, rank: int, n: int):
+    """The ``rank``-th largest value (1-based) of the ``n`` non-null values; None past the end.
+
+    A mergeable quantile sketch brackets the rank and one aggregate counts exactly how many
+    values lie above and inside the bracket. The search continues in the part that holds
+    the rank, whichever it is, so the sketch only steers and the answer is exact. Once few
+    distinct values are left they are tallied (ties combined map-side) and cumulated; that
+    window sees at most ``IN_ONE_TASK`` rows unless no bracket can shrink the range.
     """
-    wanted = sorted({r for r in ranks if 1 <= r <= n})
-    if not wanted:
-        return [None] * len(ranks)
-    points = []
-    for r in wanted:
-        p = 1.0 - r / n
-        points += [max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)]
-    cuts = df.agg(F.percentile_approx(col, points, ACCURACY).alias("q")).first()["q"]
-    bounds = {r: (cuts[2 * i], cuts[2 * i + 1]) for i, r in enumerate(wanted)}
-    v = F.col(col)
-    counts = df.agg(*[c for r, (lo, hi) in bounds.items() for c in (
-        F.count(F.when(v > F.lit(hi), 1)).alias(f"above_{r}"),
-        F.count(F.when(v >= F.lit(lo), 1)).alias(f"upto_{r}"))]).first()
-    found = {}
-    for r, (lo, hi) in bounds.items():
-        above, inside = counts[f"above_{r}"], v.between(F.lit(lo), F.lit(hi))
-        if not above < r <= counts[f"upto_{r}"]:
-            above, inside = 0, v.isNotNull()
-        tallied = df.filter(inside).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        running = F.sum("c").over(Window.orderBy(F.col("v").desc())
-                                  .rowsBetween(Window.unboundedPreceding, 0))
-        found[r] = (tallied.withColumn("cum", running + F.lit(above))
-                    .filter(F.col("cum") >= r).agg(F.max("v").alias("v")).first()["v"])
-    return [found.get(r) for r in ranks]
+    if not 1 <= rank <= n:
+        return None
+    v, part = F.col(col), df.filter(F.col(col).isNotNull())
+    while True:
+        p = 1.0 - rank / n
+        lo, hi = part.agg(F.percentile_approx(col, [max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)], ACCURACY)
+                          .alias("q")).first()["q"]
+        low, high = F.lit(lo), F.lit(hi)
+        inside = v.between(low, high)
+        above, within, kinds = part.agg(
+            F.count(F.when(v > high, 1)), F.count(F.when(inside, 1)),
+            F.approx_count_distinct(F.when(inside, v))).first()
+        if rank <= above:
+            part, n = part.filter(v > high), above
+        elif rank > above + within:
+            part, n, rank = part.filter(v < low), n - above - within, rank - above - within
+        else:
+            stuck = within == n
+            part, n, rank = part.filter(inside), within, rank - above
+            if kinds <= IN_ONE_TASK or stuck:
+                break
+    running = F.sum("c").over(Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    tallied = part.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return tallied.withColumn("cum", running).filter(F.col("cum") >= rank).agg(F.max("v").alias("v")).first()["v"]
+
+
+def values_at_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> list:
+    """``value_at_rank`` for each rank; reads ``df`` several times, so pass a stored table."""
+    return [value_at_rank(df, col, r, n) for r in ranks]

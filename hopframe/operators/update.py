@@ -58,8 +58,12 @@ def add_edges_by_key(g: PropertyGraph, label: str, rows: DataFrame, src: tuple[s
 
 
 def set_property(g: PropertyGraph, label: str, updates: DataFrame, key: str) -> PropertyGraph:
-    """Overwrite ``key`` where ``updates`` (``id, <key>``, one row per id) has a value."""
-    u = updates.select(F.col("id").alias("_u"), F.col(key).alias("_new"))
+    """Overwrite ``key`` where ``updates`` (``id, <key>``) has a value.
+
+    Of several values for one id the largest is taken, so no vertex is ever doubled; that
+    aggregate already partitions by id, as the join needs.
+    """
+    u = updates.groupBy(F.col("id").alias("_u")).agg(F.max(key).alias("_new"))
     v = g.vertices[label]
     old = F.col(key) if key in v.columns else F.lit(None)
     cols = [F.coalesce("_new", old).alias(c) if c == key else F.col(c) for c in v.columns]
@@ -72,12 +76,13 @@ def assign_drivers(g: PropertyGraph, assignments: DataFrame, replace_old: bool =
     """Append DELIVERED_BY edges and mark the orders as assigned.
 
     ``assignments``: order_id, driver_id, assigned_date. Assignments that name an unknown
-    order or driver change nothing. The old driver edge stays unless ``replace_old``.
+    order or driver change nothing, and a repeated assignment counts once. The old driver edge stays unless ``replace_old``.
     """
     orders = g.vertices["FoodOrder"].select(F.col("id").alias("_o"))
     drivers = g.vertices["Driver"].select(F.col("id").alias("_d"))
     ok = (assignments.join(orders, F.col("order_id") == F.col("_o"), "left_semi")
-          .join(drivers, F.col("driver_id") == F.col("_d"), "left_semi"))
+          .join(drivers, F.col("driver_id") == F.col("_d"), "left_semi")
+          .select("order_id", "driver_id", "assigned_date").distinct())
     rows = ok.select(
         F.concat_ws("#", F.lit("DELIVERED_BY"), "order_id", "driver_id",
                     F.col("assigned_date").cast("string")).alias("eid"),
@@ -87,7 +92,7 @@ def assign_drivers(g: PropertyGraph, assignments: DataFrame, replace_old: bool =
         g = g.with_edges([replace(t, df=t.df.join(taken, F.col("src") == F.col("_t"), "left_anti"))
                           if t.label == "DELIVERED_BY" else t for t in g.edges])
     g = add_edges(g, "DELIVERED_BY", rows, "FoodOrder", "Driver", check=False)
-    status = ok.select(F.col("order_id").alias("id")).distinct().withColumn("status", F.lit(ASSIGNED))
+    status = ok.select(F.col("order_id").alias("id"), F.lit(ASSIGNED).alias("status"))
     return set_property(g, "FoodOrder", status, "status")
 
 

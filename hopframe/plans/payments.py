@@ -45,22 +45,25 @@ def user_properties(g: PropertyGraph, name: str | None = None) -> DataFrame:
 def transfers_between(g: PropertyGraph, pairs: DataFrame, either_direction: bool = False) -> DataFrame:
     """Transfers from user ``a`` to accounts of user ``b``; ``pairs``: a, b (ids).
 
-    Joined on (own account, other account), so only matching transfers are produced.
+    Transfers get the owners of both ends attached and meet the pairs on (a, b): one row
+    per transfer and owner, whatever the number of accounts a user holds.
     ``either_direction`` also takes transfers that ``b``'s accounts sent to ``a``'s.
     """
+    pairs = pairs.select("a", "b").distinct()
     owns = g.edge_view(["owns"], ())
     tx = g.edge_view(["Transaction"])
     props = [c for c in tx.columns if c not in ("eid", "label", "src", "dst")]
-    a_side = owns.select(F.col("src").alias("_ua"), F.col("dst").alias("_aa"))
+    a_side = (owns.select(F.col("src").alias("_ua"), F.col("dst").alias("_aa"))
+              .join(pairs.select(F.col("a").alias("_a")).distinct(), F.col("_ua") == F.col("_a"), "left_semi"))
     # Existence of an owner is asked for, not each owner edge: distinct on b's side.
-    b_side = owns.select(F.col("src").alias("_ub"), F.col("dst").alias("_ab")).distinct()
-    ends = (pairs.select("a", "b").join(a_side, F.col("a") == F.col("_ua"))
-            .join(b_side, F.col("b") == F.col("_ub")).select("a", "b", "_aa", "_ab"))
+    b_side = (owns.select(F.col("src").alias("_ub"), F.col("dst").alias("_ab")).distinct()
+              .join(pairs.select(F.col("b").alias("_b")).distinct(), F.col("_ub") == F.col("_b"), "left_semi"))
     forward = tx.select(F.col("src").alias("_x"), F.col("dst").alias("_y"), "eid", "src", "dst", *props)
     if either_direction:
         forward = forward.unionByName(
             tx.select(F.col("dst").alias("_x"), F.col("src").alias("_y"), "eid", "src", "dst", *props))
-    return (ends.join(forward, (F.col("_aa") == F.col("_x")) & (F.col("_ab") == F.col("_y")))
+    return (forward.join(a_side, F.col("_x") == F.col("_aa")).join(b_side, F.col("_y") == F.col("_ab"))
+            .join(pairs, (F.col("_ua") == F.col("a")) & (F.col("_ub") == F.col("b")))
             .select("a", "b", "eid", "src", "dst", *props))
 
 

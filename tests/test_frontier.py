@@ -8,9 +8,8 @@ from conftest import pay_graph, rows
 from pyspark.sql import functions as F
 
 from hopframe.model import EdgeTable, PropertyGraph
-from hopframe.operators import messages, skew
+from hopframe.operators import messages, quantiles, skew
 from hopframe.operators.frontier import neq
-from hopframe.operators.quantiles import values_at_ranks
 from hopframe.plans import orders, payments
 
 
@@ -179,13 +178,16 @@ def test_neighbourhood_against_brute_force(spark):
     assert sorted((r["seed"], tuple(r["path"])) for r in f.paths().collect()) == want
 
 
+@pytest.mark.parametrize("few", [100_000, 3])
 @pytest.mark.parametrize("values", [[5], [3, 3, 3, 3], list(range(1000)), [0] * 400 + list(range(200)),
                                     [int(1.3 ** i) for i in range(40)] * 3])
-def test_values_at_ranks(spark, values):
+def test_values_at_ranks(spark, monkeypatch, values, few):
+    monkeypatch.setattr(quantiles, "IN_ONE_TASK", few)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.02 if few > 3 else 0.1)
     df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
     order, n = sorted(values, reverse=True), len(values)
     ranks = sorted({1, n // 4 + 1, n // 2 + 1, n, n + 1})
-    assert values_at_ranks(df, "v", ranks, n) == [order[r - 1] if r <= n else None for r in ranks]
+    assert quantiles.values_at_ranks(df, "v", ranks, n) == [order[r - 1] if r <= n else None for r in ranks]
 
 
 def test_fenced_mean_against_brute_force(spark):

@@ -1,4 +1,4 @@
-"""The hand-built graphs of the reference's tests and their expected answers."""
+"""Small hand-built graphs and their expected answers."""
 
 from conftest import rows
 from pyspark.sql import functions as F

@@ -49,7 +49,7 @@ def test_add_set_drop(spark, food):
     g = update.add_edges(g, "DELIVERED_BY", spark.createDataFrame([("o2", "d3"), ("o2", "d9")], "src string, dst string"),
                          "FoodOrder", "Driver")
     assert rows(g.edge_view(["DELIVERED_BY"], ()), "src", "dst") == [("o1", "d1"), ("o2", "d3")]
-    g = update.set_property(g, "Driver", spark.createDataFrame([("d1", 3.0)], "id string, rating double"), "rating")
+    g = update.set_property(g, "Driver", spark.createDataFrame([("d1", 3.0), ("d1", 2.0)], "id string, rating double"), "rating")
     assert {r["id"]: r["rating"] for r in g.vertices["Driver"].collect()} == {"d1": 3.0, "d2": None, "d3": 4.5}
     g = update.drop_vertices(g, spark.createDataFrame([("o1",), ("d3",)], "id string"))
     assert g.edge_view(["DELIVERED_BY", "CONTAINS"], ()).count() == 0 and g.vertices["FoodOrder"].count() == 2
