@@ -26,6 +26,11 @@ def ts_to_epoch_ms(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr(EPOCH), ts.cast("timestamp_ntz"))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch, read as UTC whatever the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts.cast("timestamp_ntz"))
+
+
 def padded_id(prefix: str, n: Column, width: int = 19) -> Column:
     return F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
 

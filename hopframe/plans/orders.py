@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.functions.rng import uniform
-from hopframe.functions.scalars import or_unknown
+from hopframe.functions.scalars import micros, or_unknown
 from hopframe.model import PropertyGraph
 from hopframe.operators.frontier import Frontier
 
@@ -40,7 +40,7 @@ def latest_order(g: PropertyGraph) -> DataFrame:
     """
     rows = _customer_orders(g)
     is_number = dict(rows.dtypes)["order_date"] in ("int", "bigint")
-    when = F.col("order_date") if is_number else F.unix_micros(F.col("order_date").cast("timestamp"))
+    when = F.col("order_date") if is_number else micros(F.col("order_date"))
     return (rows.groupBy("customer").agg(F.min(F.struct((-when).alias("_w"), "order_id", "order_date", "status"))
                                          .alias("_r"))
             .select("customer", "_r.order_id", "_r.order_date", "_r.status"))

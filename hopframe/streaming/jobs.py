@@ -14,6 +14,7 @@ from hopframe.functions.scalars import mean_of_cents
 from hopframe.model import PropertyGraph
 from hopframe.operators.update import assign_drivers
 from hopframe.plans import fraud
+from hopframe.session import fresh_path
 
 
 def _start(stream: DataFrame, apply, checkpoint: str, continuous: str | None) -> StreamingQuery:
@@ -23,14 +24,15 @@ def _start(stream: DataFrame, apply, checkpoint: str, continuous: str | None) ->
 
 
 def score_beneficiaries(stream: DataFrame, g: PropertyGraph, out: str, checkpoint: str,
-                        every: str | None = None) -> StreamingQuery:
+                        every: str | None = None,
+                        index: fraud.BeneficiaryIndex | None = None) -> StreamingQuery:
     """Write ``payment, status`` (known / second_degree / first_time) for each payment.
 
-    ``stream``: payment, person, target. The look-up tables are built once, under
-    ``<out>-index``; each batch then runs the pair-driven joins of ``fraud`` against them.
-    No closure of all second-degree pairs is ever built.
+    ``stream``: payment, person, target. The look-up tables are written once per start (or
+    given as ``index``); each batch then runs the pair-driven joins of ``fraud`` against
+    them. No closure of all second-degree pairs is ever built.
     """
-    index = fraud.beneficiary_index(g, f"{out}-index")
+    index = index or fraud.beneficiary_index(g, fresh_path(stream.sparkSession, "beneficiary-index"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
         fraud.beneficiary_status(g, batch, index).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
