@@ -96,8 +96,9 @@ def _tail_fit(k: np.ndarray, c: np.ndarray, start: int) -> tuple[float, float]:
     kk, cc = k[start:], c[start:]
     n = cc.sum()
     alpha = _best_alpha(n, float((cc * np.log(kk)).sum()), kk[0])
-    theory = 1 - zeta_tail(alpha, kk + 1) / zeta_tail(alpha, kk[0])
-    below = 1 - zeta_tail(alpha, kk) / zeta_tail(alpha, kk[0])
+    tail = zeta_tail(alpha, kk)
+    below = 1 - tail / tail[0]
+    theory = 1 - (tail - kk ** -alpha) / tail[0]
     seen = np.cumsum(cc) / n
     # The empirical CDF is flat between observed degrees, so both edges of a step count.
     gap = max(np.abs(seen - theory).max(), np.abs(np.concatenate([[0], seen[:-1]]) - below).max())
@@ -129,8 +130,9 @@ def power_law_fit(hist: DataFrame) -> DataFrame:
                                 "ks": [d for _, d in out],
                                 "n_tail": [int(cc[int(i):].sum()) for i in pdf["id"]]})
 
-    parts = max(1, min(len(rows) - 1, spark.sparkContext.defaultParallelism))
-    fits = spark.range(0, len(rows) - 1, 1, parts).mapInPandas(fit, schema)
+    # Low starts have long tails: deal the candidates out evenly instead of in ranges.
+    parts = max(1, min(len(rows) - 1, 4 * spark.sparkContext.defaultParallelism))
+    fits = spark.range(0, len(rows) - 1, 1, 1).repartition(parts).mapInPandas(fit, schema)
     return (fits.agg(F.min_by(F.struct("alpha", "xmin", "ks", "n_tail"), F.struct("ks", "xmin")).alias("r"))
             .select("r.*"))
 
