@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from hopframe.llm import quality
+from hopframe.llm import licenses, lines, mixing, pii, quality
 from hopframe.llm.common import documents
 
+# The key of the registered query; a production run passes a secret of its own.
+PII_KEY = "registered query"
+
+
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark, sf_dir):
+    """The texts after removal, with the number of characters removed."""
+    return lines.deduplicate(documents(spark, sf_dir).select("doc_id", "text")) \
+        .withColumnRenamed("_ld_removed", "removed_chars")
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
 
 def op8_quality_rules(spark, sf_dir):
     return quality.apply_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op10_pii(spark, sf_dir):
+    return pii.pseudonymize(documents(spark, sf_dir), PII_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op4_license_scans, op5_line_dedup, op6_mixing, op8_quality_rules, op10_pii)}
 SQL: dict[str, str] = {}
