@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # White space of the word definition: space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,3 +26,31 @@ def whole(text: Column | str) -> Column:
 def words(text: Column) -> Column:
     """Runs of anything but white space."""
     return F.array_remove(F.split(text, SPACE), "")
+
+
+def map_texts(df: DataFrame, text_col: str, added: str, compute: Callable[[list[str]], dict], rows=256,
+              keep_text=False, per_task=False) -> DataFrame:
+    """Adds columns (DDL ``added``) that ``compute`` makes from a list of texts, in Arrow batches of at most ``rows``.
+
+    The other columns pass as Arrow arrays and keep their types and nulls; the text is dropped unless ``keep_text``.
+    With ``per_task``, ``compute`` has no arguments and makes such a function, once per task.
+    """
+    kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
+    new = StructType.fromDDL(added)
+    out = StructType(kept + new.fields)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = compute() if per_task else compute
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = work(part.column(text_col).to_pylist())
+                arrays = [part.column(f.name) for f in kept]
+                arrays += [made[f.name] if isinstance(made[f.name], pa.Array)
+                           else pa.array(made[f.name], arrow.field(f.name).type) for f in new.fields]
+                yield pa.RecordBatch.from_arrays(
+                    [a.cast(arrow.field(i).type) if a.type != arrow.field(i).type else a for i, a in enumerate(arrays)],
+                    schema=arrow)
+
+    return df.mapInArrow(run, out)

@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
-from hopframe.llm import licenses, lines, mixing, pii, quality
+from pyspark.sql import functions as F
+
+from hopframe.llm import ann, licenses, lines, mixing, pii, quality, secrets, sentencepiece, toxicity
 from hopframe.llm.common import documents
 
 # The key of the registered query; a production run passes a secret of its own.
 PII_KEY = "registered query"
+TOXIC_SCORE = 0.3
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def held_out(id_col="doc_id"):
+    """Rows kept from learning: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_lexicon(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.learn(docs, labels.where(~held_out()))
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_lexicon(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
 def op4_license_scans(spark, sf_dir):
@@ -23,13 +48,25 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_scans(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = secrets.train(secrets.labelled_samples(docs))
+    return secrets.scan(docs, model)
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.apply_rules(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece.encode(documents(spark, sf_dir), sentencepiece.load(PIECES))
+
+
 def op10_pii(spark, sf_dir):
     return pii.pseudonymize(documents(spark, sf_dir), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scans, op5_line_dedup, op6_mixing, op8_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op2_toxicity, op3_nearest_neighbours, op4_license_scans, op5_line_dedup, op6_mixing, op7_secret_scans, op8_quality_rules,
+    op9_sentencepiece, op10_pii)}
 SQL: dict[str, str] = {}
