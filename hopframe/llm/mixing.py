@@ -148,3 +148,32 @@ def deal(sized: DataFrame, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0, seed=7,
         F.when(both, second).when(first > 0, F.least("stop", "run_stop") - F.col("start"))
         .otherwise(second).cast("long").alias("cut_to"),
         F.when(both, F.greatest("start", "run_start") - F.col("start")).cast("long").alias("tail_from"))
+
+
+def realize(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **rules) -> DataFrame:
+    """The mixed documents: every column of ``docs``, a row per copy taken, texts cut where only a part is taken.
+
+    Words keep the white space before them; a row for a part has the words of that part only. Equal rows are told apart
+    by number. Columns beginning with ``_mx_`` are reserved.
+    """
+    alike = Window.partitionBy("_mx_id", "_mx_hash").orderBy("_mx_source")
+    keyed = docs.select("*", F.col(id_col).alias("_mx_id"), F.col(source_col).alias("_mx_source"),
+                        F.xxhash64(whole(text_col)).alias("_mx_hash"))
+    sized = keyed.select("_mx_id", "_mx_hash", "_mx_source", F.size(words(whole(text_col))).cast("long").alias("size")) \
+        .withColumn("copy", F.row_number().over(alike)) \
+        .select(F.col("_mx_id").alias("doc_id"), F.col("_mx_source").alias("source"), "size",
+                F.col("_mx_hash").alias("hash"), "copy")
+    dealt = deal(sized, **rules).where("taken > 0")
+    dealt = dealt.select(*[F.col(c).alias(f"_mx_m_{c}") for c in dealt.columns])
+    joined = keyed.withColumn("_mx_copy", F.row_number().over(alike)).join(
+        dealt, F.expr("_mx_id <=> _mx_m_doc_id AND _mx_hash = _mx_m_hash AND _mx_copy = _mx_m_copy"))
+    copies = joined.withColumn("_mx_k", F.explode(F.expr(
+        "sequence(1L, _mx_m_whole_copies + CAST(_mx_m_cut_to > _mx_m_cut_from OR _mx_m_tail_from IS NOT NULL AS INT))")))
+    tokens = rf"regexp_extract_all(`{text_col}`, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"
+    text = F.expr(f"""CASE WHEN _mx_k <= _mx_m_whole_copies
+        OR (_mx_m_tail_from IS NULL AND _mx_m_cut_to - _mx_m_cut_from = _mx_m_size) THEN `{text_col}`
+        ELSE array_join(concat(
+            slice({tokens}, CAST(_mx_m_cut_from AS INT) + 1, CAST(_mx_m_cut_to - _mx_m_cut_from AS INT)),
+            CASE WHEN _mx_m_tail_from IS NULL THEN CAST(array() AS array<string>)
+                 ELSE slice({tokens}, CAST(_mx_m_tail_from AS INT) + 1, CAST(_mx_m_size AS INT)) END), '') END""")
+    return copies.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hopframe.llm import ann, licenses, lines, mixing, pii, quality, secrets, sentencepiece, toxicity
+from hopframe.llm import ann, licenses, lines, minhash, mixing, pii, quality, secrets, sentencepiece, toxicity
 from hopframe.llm.common import documents
 
 # The key of the registered query; a production run passes a secret of its own.
@@ -23,6 +23,11 @@ def toxicity_lexicon(spark, docs, sf_dir):
     return toxicity.learn(docs, labels.where(~held_out()))
 
 
+def op1_minhash(spark, sf_dir):
+    """One row per document with the smallest id of its near-duplicate class."""
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op2_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity_lexicon(spark, docs, sf_dir))
@@ -67,6 +72,6 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_nearest_neighbours, op4_license_scans, op5_line_dedup, op6_mixing, op7_secret_scans, op8_quality_rules,
+    op1_minhash, op2_toxicity, op3_nearest_neighbours, op4_license_scans, op5_line_dedup, op6_mixing, op7_secret_scans, op8_quality_rules,
     op9_sentencepiece, op10_pii)}
 SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, normalizers
 
-from hopframe.llm.common import map_texts, whole
+from hopframe.llm.common import map_texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the file format
@@ -222,6 +222,7 @@ def encode(docs: DataFrame, model: bytes, id_col="doc_id", text_col="text", keep
 
     def compute(texts: list[str]) -> dict:
         codec = _codec(shared.value)
+        texts = [text or "" for text in texts]
         ids, offsets, agree = codec.encode(texts)
         flat = np.frombuffer(ids, dtype=np.int32) if len(ids) else np.zeros(0, dtype=np.int32)
         back = [codec.decode(ids[offsets[i]:offsets[i + 1]]) == codec.expected(text) for i, text in enumerate(texts)]
@@ -229,8 +230,7 @@ def encode(docs: DataFrame, model: bytes, id_col="doc_id", text_col="text", keep
                 "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))}
 
     names = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
-    source = docs.select(*names, whole(text_col).alias(text_col))
-    return map_texts(source, text_col, "n_tokens long, ids array<int>, round_trip boolean, parity boolean", compute,
+    return map_texts(docs.select(*names, text_col), text_col, "n_tokens long, ids array<int>, round_trip boolean, parity boolean", compute,
                      keep_text=text_col in keep)
 
 

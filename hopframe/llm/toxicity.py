@@ -228,8 +228,9 @@ def scale(rows: DataFrame, lexicon: Lexicon, steps=60, ridge=1e-3) -> Lexicon:
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
-    """``id_col``, the columns in ``keep``, weight and score (0 to 1) per document."""
+def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", keep=(),
+          names=("weight", "score")) -> DataFrame:
+    """``id_col``, the columns in ``keep``, weight and score (0 to 1) per document, the latter two as ``names``."""
 
     def compute():
         machine = lexicon.automaton()
@@ -237,11 +238,10 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", k
         def values(texts):
             f = features(texts, machine)
             z = lexicon.bias + lexicon.by_sum * f[:, 0] + lexicon.by_length * f[:, 1]
-            return {"weight": f[:, 2], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
+            return {names[0]: f[:, 2], names[1]: 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
         return values
 
-    names = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
-    source = docs.select(*names, whole(text_col).alias(text_col))
-    return map_texts(source, text_col, "weight double, score double", compute, keep_text=text_col in keep,
-                     per_task=True)
+    columns = [id_col, *[c for c in keep if c not in (id_col, text_col)], text_col]
+    return map_texts(docs.select(*columns), text_col, f"`{names[0]}` double, `{names[1]}` double", compute,
+                     keep_text=text_col in keep, per_task=True)
