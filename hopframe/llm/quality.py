@@ -2,7 +2,7 @@
 
 A line is hashed after normalising (lower case, white space squeezed). For every host the distinct documents with
 that line are counted; exact copies of a text are one document, since copies are the work of deduplication. A line
-above the limit is removed from every document but the first that has it, and a document that loses too many of its
+above the limit is removed from every document but the first that has it (the smallest id), and a document that loses too many of its
 words that way is rejected.
 
 The text is read once: counts and line hashes go to a table in the shared folder, everything after that works on it.
@@ -68,16 +68,16 @@ def apply_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="sou
     """
     counted = materialize(document_counts(docs, id_col, text_col, host_col)
                           .withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = counted.select("row", "host", "text_hash", F.inline("lines")) \
-        .groupBy("row", "host", "text_hash", "h").agg(F.sum("n").alias("n"))
-    per_line = lines.groupBy("host", "h", "text_hash").agg(F.min("row").alias("row")) \
-        .groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("row").alias("first_row")) \
+    lines = counted.select("row", "doc_id", "host", "text_hash", F.inline("lines")) \
+        .groupBy("row", "doc_id", "host", "text_hash", "h").agg(F.sum("n").alias("n"))
+    per_line = lines.groupBy("host", "h", "text_hash").agg(F.min(F.struct("doc_id", "row")).alias("first")) \
+        .groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("first").alias("first")) \
         .where(F.col("documents") > line_min_documents)
     hosts = counted.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_documents"))
     frequent = materialize(
         per_line.alias("l").join(hosts.alias("t"), F.expr("l.host <=> t.host"))
         .where(F.col("documents") > line_share * F.col("host_documents"))
-        .select("l.host", "h", "first_row"), "quality-lines")
+        .select("l.host", "h", F.col("first.row").alias("first_row")), "quality-lines")
     removed = lines.alias("l").join(frequent.alias("f"), F.expr("l.host <=> f.host AND l.h = f.h")) \
         .where("row != first_row").groupBy("row").agg(F.sum("n").alias("removed"))
     n, left = F.col("n_words"), F.col("n_words") - F.coalesce("removed", F.lit(0))

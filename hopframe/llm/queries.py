@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hopframe.llm import ann, licenses, lines, minhash, mixing, pii, quality, secrets, sentencepiece, toxicity
+from hopframe.llm import twins
 from hopframe.llm.common import documents
 
 # The key of the registered query; a production run passes a secret of its own.
@@ -74,4 +75,4 @@ def op10_pii(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_toxicity, op3_nearest_neighbours, op4_license_scans, op5_line_dedup, op6_mixing, op7_secret_scans, op8_quality_rules,
     op9_sentencepiece, op10_pii)}
-SQL: dict[str, str] = {}
+SQL = dict(twins.SQL)
