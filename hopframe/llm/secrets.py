@@ -59,15 +59,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Model:
-    """Log-likelihood ratio per transition of two character Markov models with additive smoothing."""
+    """Log-likelihood ratio per transition of two character Markov models.
+
+    Transitions are smoothed towards the frequencies of single characters, which count as ``smoothing`` observations,
+    so characters that one kind of string hardly ever has speak for the other after any character.
+    """
 
     def __init__(self, ratio: np.ndarray):
         self.ratio = ratio
 
     @classmethod
-    def from_counts(cls, random: np.ndarray, ordinary: np.ndarray, smoothing=0.5) -> Model:
+    def from_counts(cls, random: np.ndarray, ordinary: np.ndarray, smoothing=8.0) -> Model:
         def log_probability(counts):
-            table = counts.reshape(STATES, STATES)[:, 1:].astype(float) + smoothing
+            table = counts.reshape(STATES, STATES)[:, 1:].astype(float)
+            single = table.sum(axis=0) + 0.5
+            table += smoothing * single / single.sum()
             return np.log(table / table.sum(axis=1, keepdims=True))
 
         ratio = np.zeros((STATES, STATES))
@@ -117,7 +123,7 @@ def labelled_samples(docs: DataFrame, id_col="doc_id", text_col="text", max_docu
     return chosen.select("text").mapInPandas(label, "run string, random boolean")
 
 
-def train(samples: DataFrame, synthetic=3000, smoothing=0.5) -> Model:
+def train(samples: DataFrame, synthetic=3000, smoothing=8.0) -> Model:
     """Models from (run, random); the transition counts are summed on the executors, at most STATES^2 rows per label."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
