@@ -12,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopframe.operators.skew import splittable
+
 
 def pull(edges: DataFrame, values: DataFrame, measures: list[str],
          near: str = "src", far: str = "dst") -> DataFrame:
     """``id, <measures>``: for each vertex, the far-end measures summed over its edges.
 
-    ``values`` has one row per vertex (``id`` plus the measures). The join keeps the edge
-    side streaming and the sum is combined map-side before its shuffle.
+    ``values`` has one row per vertex (``id`` plus the measures). Both sides of the join are
+    plain shuffles, so a hub's edges are split over tasks, and the sum is combined map-side.
     """
-    v = values.select(F.col("id").alias("_far"), *measures)
+    v = splittable(values.select(F.col("id").alias("_far"), *measures))
     return (edges.select(F.col(near).alias("id"), F.col(far).alias("_key"))
             .join(v, F.col("_key") == F.col("_far"))
             .groupBy("id").agg(*[F.sum(m).alias(m) for m in measures]))

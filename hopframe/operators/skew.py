@@ -15,6 +15,15 @@ def supernodes(edges: DataFrame, threshold: int, end: str = "src") -> DataFrame:
             .filter(F.col("degree") >= threshold))
 
 
+def splittable(aggregated: DataFrame) -> DataFrame:
+    """The same rows behind an exchange of their own.
+
+    A join reuses the partitioning of an aggregate on its key, and then the runtime cannot split a hot key on the other
+    side, since that needs plain shuffles on both. One row per key is cheap to move once more.
+    """
+    return aggregated.hint("rebalance")
+
+
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 spread_by: str, hot: DataFrame, salts: int, how: str = "inner") -> DataFrame:
     """Equi-join where the ``hot`` keys of ``right`` are cut into ``salts`` slices.

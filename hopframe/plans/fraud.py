@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hopframe.functions.scalars import mean_of_cents
 from hopframe.model import PropertyGraph
 from hopframe.operators.messages import pull, total_per_seed
+from hopframe.operators.skew import splittable
 
 HAS = ("has_account", "has_card")
 INSTRUMENTS = ("BankAccount", "Card")
@@ -43,7 +44,7 @@ def sender_totals(g: PropertyGraph) -> DataFrame:
 
 def to_persons(g: PropertyGraph, per_vpa: DataFrame, measures: list[str]) -> DataFrame:
     """Sum per-VPA measures over the VPAs of each person (``id, <measures>``)."""
-    v = per_vpa.select(F.col("id").alias("_v"), *measures)
+    v = splittable(per_vpa.select(F.col("id").alias("_v"), *measures))
     return (person_vpas(g).join(v, F.col("vpa") == F.col("_v"))
             .groupBy(F.col("person").alias("id")).agg(*[F.sum(m).alias(m) for m in measures]))
 
@@ -325,6 +326,7 @@ def risk_features(g: PropertyGraph) -> DataFrame:
     flagged = _flagged_tx(g).select("id", zero.alias("blk"), zero.alias("own"), F.col("n").alias("flg"))
     receiver = (vpa_side.unionByName(flagged).groupBy(F.col("id").alias("_r"))
                 .agg(*[F.sum(c).alias(c) for c in ("blk", "own", "flg")]))
+    receiver = splittable(receiver)
 
     tx = _tx(g, "cents", "fraud_flag")
     sender = (tx.join(receiver, F.col("dst") == F.col("_r"), "left")

@@ -200,3 +200,30 @@ def test_fenced_mean_against_brute_force(spark):
     kept = [x for x in a if q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1)]
     row = payments.fenced_stats(df, "t").first()
     assert (row["q1"], row["q3"]) == (q1, q3) and row["mean"] == pytest.approx(sum(kept) / len(kept))
+
+
+def test_pull_splits_a_hub(spark):
+    """A vertex with two thirds of all edges: the join of ``pull`` must not end in one task."""
+    from hopframe.operators.messages import pull
+
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.range(0, 300_000, 1, 8).select(
+            F.concat(F.lit("v"), F.col("id") % 5000).alias("src"),
+            F.when(F.col("id") % 3 > 0, F.lit("hub")).otherwise(F.concat(F.lit("v"), F.col("id") % 7000)).alias("dst"))
+        values = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        out = pull(edges, values, ["n"])
+        total = out.agg(F.sum("n").cast("double")).first()[0]
+        per = edges.groupBy("dst").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+        assert total == per
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
