@@ -112,7 +112,7 @@ class Frontier:
     def _with_prop(self, key: str, how: str = "inner") -> DataFrame:
         labels = [x for x in self._vertex_labels() if key in self.graph.vertices[x].columns]
         if not labels:
-            raise KeyError(f"no vertex label has property {key!r}")
+            return self.df.withColumn("_val", F.lit(None).cast("string")).filter(F.lit(how != "inner"))
         view = self.graph.vertex_view(labels, [key]).select(
             F.col("id").alias("_vid"), F.col(key).alias("_val"))
         return self.df.join(view, F.col("cur") == F.col("_vid"), how).drop("_vid")
@@ -230,7 +230,8 @@ class Frontier:
         """Property test; an absent property never passes."""
         pred = _as_predicate(value)
         if self.kind == "e":
-            return replace(self, df=self.df.filter(pred(F.col(f"e_{key}"))))
+            known = f"e_{key}" in self.df.columns
+            return replace(self, df=self.df.filter(pred(F.col(f"e_{key}")) if known else F.lit(False)))
         labels = [x for x in self._vertex_labels() if key in self.graph.vertices[x].columns]
         if not labels:
             return replace(self, df=self.df.filter(F.lit(False)))
@@ -291,7 +292,8 @@ class Frontier:
         """``seed, [n, path, t_*], value``; elements without the property give no row."""
         keep = self._carry()
         if self.kind == "e":
-            src = self.df.withColumn("_val", F.col(f"e_{key}"))
+            known = f"e_{key}" in self.df.columns
+            src = self.df.withColumn("_val", F.col(f"e_{key}") if known else F.lit(None).cast("string"))
         else:
             src = self._with_prop(key)
         return (src.filter(F.col("_val").isNotNull())

@@ -78,12 +78,15 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0, algo: str = "xx
 
 
 def neighbourhood(g: PropertyGraph, seeds: DataFrame, label: str, depth: int,
-                  per_hop: int = 5, max_paths: int = 150) -> Frontier:
-    """Simple paths of exactly ``depth`` hops, at most ``per_hop`` edges per vertex and
-    ``max_paths`` per seed (both in id order, so reruns agree)."""
+                  per_hop: int | None = None, max_paths: int | None = None) -> Frontier:
+    """Simple paths of exactly ``depth`` hops, all of them unless capped.
+
+    ``per_hop`` keeps that many edges of a vertex and ``max_paths`` that many paths of a seed, both in id order, so
+    reruns agree.
+    """
     start = g.seeded(seeds, [label]).with_path()
     walked = start.repeat(lambda f: f.both_e(cap=per_hop).other_v().simple_path(), depth)
-    return walked.limit_per_seed(max_paths, F.col("path"))
+    return walked if max_paths is None else walked.limit_per_seed(max_paths, F.col("path"))
 
 
 def neighbourhood_elements(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, **caps) -> DataFrame:
