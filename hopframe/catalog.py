@@ -362,7 +362,7 @@ on(food_graph, "r4_local_limit", lambda g: g.V("CustomerProfile").both_e(cap=5).
 
 def _walks(g):
     seeds = g.vertices["CustomerProfile"].select(F.col("id").alias("seed"))
-    return orders.neighbourhood(g, seeds, "CustomerProfile", 2).paths()
+    return orders.neighbourhood(g, seeds, "CustomerProfile", 2, per_hop=5, max_paths=150).paths()
 
 
 on(food_graph, "r5_path_cap", lambda g: _text_path(_walks(g), "seed"),
@@ -666,39 +666,51 @@ on(fraud_graph, "q36_risk_features", fraud.risk_features,
 
 # ---- generators, sized by the tables ---------------------------------------------------------
 
-CITY_GRAPH = {
+YARD_GRAPH = {
     "vertices": {
-        "Depot": {"percent": 40, "properties": {
-            "area": {"type": "Int", "min": 100, "max": 999}, "cold": {"type": "Bool", "true_chance": 55}}},
-        "Parcel": {"percent": 60, "properties": {
-            "code": {"type": "String", "min_size": 4, "max_size": 8, "allowed_chars": "abcdef0123"},
-            "weight": {"type": "Double", "min": 0, "max": 2.8},
-            "sent": {"type": "Date", "min_year": 1990, "max_year": 2025}}}},
-    "edges": {"TRACKS": {"Parcel_Tracks_Depot": {"from": "Parcel", "to": "Depot", "properties": {
-        "serial": {"type": "Long", "min": 20, "max": 9223372036854775807}}}},
-        "FEEDS": {"Depot_Feeds_Depot": {"from": "Depot", "to": "Depot", "properties": {}}}}}
-EGO_GRAPH = {
-    "EgoNode": {"label": "Golden", "properties": {
-        "score": {"generator": "pyint(min_value=1, max_value=5)", "type": "int"}},
-        "connections": {"Partner": {"degree": {"dist": "uniform", "median": 3, "sigma": 2}},
-                        "Cookie": {"degree": {"dist": "lognormal", "median": 6.44, "sigma": 0.8, "max": 15}}}},
+        "Berth": {"percent": 15, "properties": {
+            "depth": {"type": "Double", "min": -21.5, "max": -4.25}, "roofed": {"type": "Bool", "true_chance": 12}}},
+        "Crane": {"percent": 30, "properties": {
+            "tag": {"type": "String", "min_size": 6, "max_size": 6, "allowed_chars": "KLMNPQ"}}},
+        "Box": {"percent": 55, "properties": {
+            "kilos": {"type": "Int", "min": 1200, "max": 30400},
+            "seal": {"type": "Long", "min": -4 * 10 ** 18, "max": 5 * 10 ** 18},
+            "landed": {"type": "Date", "min_year": 2011, "max_year": 2019}}}},
+    "edges": {"SERVES": {"crane_at_berth": {"from": "Crane", "to": "Berth", "properties": {
+        "shift": {"type": "Int", "min": 1, "max": 3}}}},
+        "LIFTS": {"crane_lifts_box": {"from": "Crane", "to": "Box", "properties": {}}},
+        "STACKED_ON": {"box_on_box": {"from": "Box", "to": "Box", "properties": {}}}}}
+CLUB_GRAPH = {
+    "EgoNode": {"label": "Member", "properties": {
+        "rank": {"generator": "pyint(min_value=10, max_value=40)", "type": "int"}},
+        "connections": {"Circle": {"degree": {"dist": "poisson", "lam": 1.8, "min": 1, "max": 7}},
+                        "Medal": {"degree": {"dist": "normal", "mean": 2.2, "sigma": 1.1, "max": 6}}}},
     "AlterNodes": {
-        "Partner": {"label": "Partner", "properties": {"since": {"generator": "date()", "type": "date"}},
-                    "connections": {"Cookie": {"degree": {"dist": "poisson", "lam": 3, "max": 50}, "properties": {
-                        "visits": {"generator": "pyint(min_value=1, max_value=9)", "type": "int"}}}}},
-        "Cookie": {"label": "Cookie", "properties": {"site": {"generator": "company()", "type": "string"}}}}}
+        "Circle": {"label": "Circle", "properties": {"open": {"generator": "pybool(70)", "type": "bool"}},
+                   "connections": {"Medal": {"degree": {"dist": "uniform", "low": 0, "high": 5}, "properties": {
+                       "weight": {"generator": "pyfloat(min_value=0, max_value=9)", "type": "double"}}}}},
+        "Medal": {"label": "Medal", "properties": {
+            "metal": {"generator": "random_element(elements=['tin', 'brass', 'steel'])", "type": "string"}}}}}
 
 
 def _n(spark, sf, name="customer") -> int:
     return table(spark, sf, name).count()
 
 
+def _numbers(spark, sf, name="customer", key="c_custkey", first=1):
+    """The table's keys as numbers ``n`` from ``first``; the keys of these tables have no gaps."""
+    keys = table(spark, sf, name).select(F.col(key).cast("bigint").alias("n"))
+    return keys.select((F.col("n") - keys.agg(F.min("n").alias("m")).scalar() + first).alias("n"))
+
+
 def _scale_free(spark, sf):
-    return scale_free.generate(spark, _n(spark, sf), CITY_GRAPH, gamma=2.5, seed=42)
+    return scale_free.generate(spark, _numbers(spark, sf, first=0), YARD_GRAPH, gamma=2.5, seed=42)
 
 
-@add("g1_vertex_types", """select 'Depot' label, cast(floor(n * 0.4) as bigint) as vertices, 0::bigint first_n from nn
- union all select 'Parcel', n - cast(floor(n * 0.4) as bigint), cast(floor(n * 0.4) as bigint) from nn""")
+@add("g1_vertex_types", """with k as (select c_custkey - min(c_custkey) over () as i, count(*) over () as n from customer),
+ t as (select case when i < floor(n * 0.15) then 'Berth' when i < floor(n * 0.15) + floor(n * 0.3) then 'Crane'
+ else 'Box' end as label, i from k)
+ select label, count(*) as vertices, min(i)::bigint as first_n from t group by label""")
 def _g1(spark, sf):
     g = _scale_free(spark, sf)
     return g.vertex_view(None, ()).groupBy("label").agg(
@@ -706,14 +718,18 @@ def _g1(spark, sf):
 
 
 def _zipf_sql(gamma: float) -> str:
-    """The inverse CDF over the driver's customers, with its table written out."""
-    cdf = gdeg.zipf_table(gamma)
+    """The inverse CDF over the driver's customers, with its table and series written out."""
+    cdf, steps = gdeg.zipf_table(gamma), 2 * gdeg.SEARCH + 1
     u = _U.format("42|e/degree", "c_custkey")
     items = ", ".join(repr(x) + "::double" for x in cdf)
-    return f"""select c_custkey n, least(case when u < {cdf[-1]!r}::double
- then 1 + len(list_filter([{items}], lambda c: c <= u)) else floor({gdeg.HEAD + 0.5}::double *
- pow((1.0 - u) / {1.0 - cdf[-1]!r}::double, {-1.0 / (gamma - 1)!r}::double) + 0.5) end,
- (select count(*) - 1 from customer))::bigint as degree from (select c_custkey, {u} u from customer)"""
+    mass = " + ".join(f"({c!r}::double * pow(f + i + 1, {p!r}::double))" for c, p in gdeg.tail_terms(gamma))
+    far = " + ".join(f"(select ({mass}) > l from (select {i}.0::double as i))::int" for i in range(steps))
+    return f"""with a as (select c_custkey, {u} u from customer),
+ b as (select *, (1.0 - u) * {float(gdeg.zeta_tail(gamma, 1.0))!r}::double l from a),
+ c as (select *, greatest(floor(pow(l * {gamma - 1!r}::double, {-1 / (gamma - 1)!r}::double)) - {gdeg.SEARCH},
+ {gdeg.HEAD + 1}.0)::double f from b)
+ select c_custkey n, least(case when u < {cdf[-1]!r}::double then 1 + len(list_filter([{items}], lambda c: c <= u))
+ else f + {far} end, (select count(*) - 1 from customer))::bigint as degree from c"""
 
 
 @add("g2_zipf_degrees", _zipf_sql(2.5))
@@ -776,8 +792,21 @@ def _g5(spark, sf):
         .cast("string").alias("t"))
 
 
+LONG_RANGES = {"a": (-2 ** 63, 2 ** 63 - 1), "b": (-2 ** 63, 0), "c": (-10, 2 ** 63 - 1), "d": (7, 7), "e": (-3, 10 ** 12)}
+
+
+@add("g5_long_values", "select c_custkey n, " + ", ".join(
+    f"(({low})::hugeint + (('0x' || substr(md5('5|{k}|' || c_custkey), 1, 16))::uhugeint % {high - low + 1}::uhugeint)"
+    f"::hugeint)::bigint as {k}" for k, (low, high) in LONG_RANGES.items()) + " from customer")
+def _g5l(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("n"), *[
+        random_value({"type": "long", "min": low, "max": high}, 5, name, k, algo="md5").alias(name)
+        for name, (low, high) in LONG_RANGES.items()])
+
+
 def _ego(spark, sf, invert=False, share=30.0):
-    return ego.generate(spark, _n(spark, sf), EGO_GRAPH, share, invert)
+    return ego.generate(spark, _numbers(spark, sf, first=0), CLUB_GRAPH, share, invert)
 
 
 @add("g7_ego_network")
@@ -785,25 +814,25 @@ def _g7(spark, sf):
     return _ego(spark, sf).edge_view(None, ()).select("label", "src", "dst")
 
 
-@add("g7_ego_checks", "select 'Golden' label, (select count(*) from customer) as egos, 0::bigint as orphans")
+@add("g7_ego_checks", "select 'Member' label, (select count(*) from customer) as egos, 0::bigint as orphans")
 def _g7c(spark, sf):
     """One ego per customer; every alter and leaf hangs on exactly one tree edge."""
     g = _ego(spark, sf, share=0.0)
-    egos = g.vertices["Golden"].agg(F.count("*").alias("egos"))
+    egos = g.vertices["Member"].agg(F.count("*").alias("egos"))
     seen = g.edge_view(None, ()).groupBy(F.col("dst").alias("_d")).agg(F.count("*").alias("k"))
-    rest = g.vertex_view(["Partner", "Cookie"], ()).join(seen, F.col("id") == F.col("_d"), "left")
+    rest = g.vertex_view(["Circle", "Medal"], ()).join(seen, F.col("id") == F.col("_d"), "left")
     orphans = rest.agg(F.sum((F.coalesce("k", F.lit(0)) != 1).cast("bigint")).alias("o")).select("o").scalar()
-    return egos.select(F.lit("Golden").alias("label"), "egos", orphans.alias("orphans"))
+    return egos.select(F.lit("Member").alias("label"), "egos", orphans.alias("orphans"))
 
 
 @add("g8_degree_distributions", f"""select c_custkey n, cast(rint_u as bigint) u, 3::bigint f,
  cast(least(greatest(round_even(4 + sqrt(-2 * ln(1 - z1)) * cos(2 * pi() * z2) * 1.5, 0), 0), 9) as bigint) g
- from (select c_custkey, round_even(1 + {_hash_sql('u')} * 4, 0) rint_u, {_hash_sql('g')} z1, {_hash_sql('g/2')} z2
+ from (select c_custkey, round_even(2 + {_hash_sql('u')} * 7, 0) rint_u, {_hash_sql('g')} z1, {_hash_sql('g/2')} z2
  from customer)""")
 def _g8(spark, sf):
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
-        k.alias("n"), gdeg.degree({"dist": "uniform", "median": 3, "sigma": 2}, 5, "u", k, algo="md5").alias("u"),
+        k.alias("n"), gdeg.degree({"dist": "uniform", "median": 5.5, "sigma": 3.5}, 5, "u", k, algo="md5").alias("u"),
         gdeg.degree({"dist": "fixed", "value": 3}, 5, "f", k).alias("f"),
         gdeg.degree({"dist": "normal", "mean": 4, "sigma": 1.5, "max": 9}, 5, "g", k, algo="md5").alias("g"))
 
@@ -812,12 +841,12 @@ def _g8(spark, sf):
 def _g9(spark, sf):
     """Ego-leaf links: each must shadow an alter-leaf edge with equal properties; share near 30 %."""
     g = _ego(spark, sf)
-    leaf = [t.df for t in g.edges if t.src_label == "Partner"][0]
-    share = [t.df for t in g.edges if t.src_label == "Golden" and "visits" in t.df.columns][0]
-    j = leaf.select("dst", "visits").join(
-        share.select(F.col("dst").alias("_d"), F.col("visits").alias("_v")), F.col("dst") == F.col("_d"), "full_outer")
+    leaf = [t.df for t in g.edges if t.src_label == "Circle"][0]
+    share = [t.df for t in g.edges if t.src_label == "Member" and "weight" in t.df.columns][0]
+    j = leaf.select("dst", "weight").join(
+        share.select(F.col("dst").alias("_d"), F.col("weight").alias("_v")), F.col("dst") == F.col("_d"), "full_outer")
     frac = F.count("_d").cast("double") / F.greatest(F.count("dst"), F.lit(1)).cast("double")
-    return j.agg(F.sum((F.col("_d").isNotNull() & ~F.coalesce(F.col("visits") == F.col("_v"), F.lit(False)))
+    return j.agg(F.sum((F.col("_d").isNotNull() & ~F.coalesce(F.col("weight") == F.col("_v"), F.lit(False)))
                        .cast("bigint")).alias("strays"), frac.between(0.2, 0.4).alias("within"))
 
 
@@ -851,7 +880,8 @@ def _g12(spark, sf):
 
 
 def _food(spark, sf):
-    return food.generate(spark, _n(spark, sf), _n(spark, sf, "supplier"), 50)
+    return food.generate(spark, _numbers(spark, sf), _numbers(spark, sf, "supplier", "s_suppkey"),
+                         _numbers(spark, sf, "nation", "n_nationkey"))
 
 
 @add("g13_food_dataset")
@@ -861,7 +891,8 @@ def _g13(spark, sf):
 
 @add("g13_food_checks", """select 'CustomerProfile' label, (select count(*) from customer) as rows, true as within union all
  select 'DeliveryAddress', (select count(*) from customer), true union all
- select 'Restaurant', (select count(*) from supplier), true union all select 'Driver', 50, true""")
+ select 'Restaurant', (select count(*) from supplier), true union all
+ select 'Driver', (select count(*) from nation), true""")
 def _g13c(spark, sf):
     """Exact vertex counts; ``within`` also asks for 1-5 orders and 5-10 menu items each."""
     g = _food(spark, sf)
@@ -890,15 +921,14 @@ def _g14(spark, sf):
 
 @add("g15_payments_dataset")
 def _g15(spark, sf):
-    return gen_payments.generate(spark, _n(spark, sf)).edge_view(["Transaction"], ["amount"]).select(
+    return gen_payments.generate(spark, _numbers(spark, sf)).edge_view(["Transaction"], ["amount"]).select(
         "src", "dst", "amount")
 
 
 @add("g15_payments_checks", """select n + 2 as users, n + 2 as accounts, true as transfers_within, 0::bigint as self_transfers
  from nn""")
 def _g15c(spark, sf):
-    n = _n(spark, sf)
-    g = gen_payments.generate(spark, n)
+    g = gen_payments.generate(spark, _numbers(spark, sf))
     tx = g.edge_view(["Transaction"], ["amount"]).filter(F.col("eid").startswith("Transaction"))
     per = tx.groupBy("src").agg(F.count("*").alias("k"), F.min("amount").alias("lo"), F.max("amount").alias("hi"),
                                 F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("self"))
@@ -979,9 +1009,12 @@ for _q, _tag in ((0.95, "p95"), (0.99, "p99"), (0.999, "p999")):
         .select("ns", F.round("value", 6).alias("value")))
 
 
-@add("t2_heat_map", "select le, cast(sum(cnt) as bigint) \"count\" from buckets where le < 1e9 group by 1")
+@add("t2_heat_map", """select case when isinf(le) then '+Inf' else le::varchar end le, cast(sum(cnt) as bigint) "count"
+ from buckets group by 1""")
 def _t2(spark, sf):
-    return telemetry.heat_map(_buckets(spark, sf)).filter(F.col("le") < 1e9)
+    """Every bucket; the last bound is written as text, since it is infinite."""
+    bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    return telemetry.heat_map(_buckets(spark, sf)).select(bound.alias("le"), "count")
 
 
 # ---- scalar functions -------------------------------------------------------------------------------

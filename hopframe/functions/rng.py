@@ -42,16 +42,21 @@ def int_between(u: Column, low, high) -> Column:
     return low_c.cast("bigint") + F.floor(u * width).cast("bigint")
 
 
-def long_between(bits: Column, low: int, high: int) -> Column:
-    """Long in [low, high] from 63 hash bits; exact for ranges a double cannot hold."""
+def long_between(seed: int, stream: str, low: int, high: int, *keys: Column, algo: str = "xxhash64") -> Column:
+    """Long in [low, high], any range up to all 64 bits: a 64-bit hash modulo the width, in exact decimals."""
     width = high - low + 1
     if width <= 0:
         raise ValueError(f"empty range {low}..{high}")
-    if width < 1 << 63:
-        return F.lit(low).cast("bigint") + F.pmod(bits, F.lit(width).cast("bigint"))
-    # Wider than 63 bits: the hash itself shifted to start at ``low``.
-    return (F.lit(low).cast("decimal(20,0)") + bits.cast("decimal(20,0)")
-            * F.lit(2)).cast("decimal(38,0)").cast("bigint")
+
+    def exact(value) -> Column:
+        return (value if isinstance(value, Column) else F.lit(str(value))).cast("decimal(38,0)")
+
+    if algo == "md5":
+        text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[k.cast("string") for k in keys])
+        bits = exact(F.conv(F.substring(F.md5(text), 1, 16), 16, 10))
+    else:
+        bits = exact(F.xxhash64(F.lit(seed), F.lit(stream), *keys)) + exact(1 << 63)
+    return (exact(low) + bits % exact(width)).cast("bigint")
 
 
 def pick(values: list, u: Column) -> Column:

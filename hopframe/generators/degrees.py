@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from hopframe.functions.rng import standard_normal, uniform
 from hopframe.plans.degree import zeta_tail
 
 HEAD = 64
+SEARCH = 3  # steps around the continuous guess that the exact inversion looks at
+PART = 64.0  # a Poisson variable is summed from parts with at most this mean
 
 
 def _count_below(cdf: list[float], u: Column) -> Column:
@@ -30,73 +33,139 @@ def zipf_table(gamma: float) -> list[float]:
     return cdf
 
 
+def tail_terms(gamma: float) -> list[tuple[float, float]]:
+    """(factor, power) of the Euler-Maclaurin series of sum(j^-gamma, j >= k) in powers of k.
+
+    Beyond HEAD the first term left out is below 1e-12 of the sum.
+    """
+    g = gamma
+    return [(1 / (g - 1), 1 - g), (0.5, -g), (g / 12, -g - 1), (-g * (g + 1) * (g + 2) / 720, -g - 3)]
+
+
 def zipf_degree(u: Column, gamma: float, n: int) -> Column:
-    """Power-law degree P(k) ~ k^-gamma, k >= 1, capped at n - 1, from a uniform.
+    """Power-law degree P(k) ~ k^-gamma, k >= 1, capped at n - 1: the exact inverse CDF of a uniform.
 
-    Inverse CDF: a table for k <= 64 and, beyond it, the continuous tail rounded to the
-    nearest integer (relative error of the tail mass below 1/64^2).
+    The smallest k whose remaining mass sum(j^-gamma, j > k) is at most (1 - u) * zeta(gamma). The table holds the sums
+    up to HEAD; beyond it the same sums come from their series, evaluated around the continuous solution.
     """
     cdf = zipf_table(gamma)
-    rest = 1.0 - cdf[-1]
-    far = F.floor((HEAD + 0.5) * F.pow((F.lit(1.0) - u) / F.lit(rest), F.lit(-1.0 / (gamma - 1))) + 0.5)
+    left = (F.lit(1.0) - u) * F.lit(float(zeta_tail(gamma, 1.0)))
+    guess = F.floor(F.pow(left * F.lit(gamma - 1), F.lit(-1 / (gamma - 1)))).cast("double")
+
+    def mass(k: Column) -> Column:
+        terms = [F.lit(c) * F.pow(k, F.lit(p)) for c, p in tail_terms(gamma)]
+        return terms[0] + terms[1] + terms[2] + terms[3]
+
+    first = F.greatest(guess - SEARCH, F.lit(float(HEAD + 1)))
+    steps = F.array(*[F.lit(float(i)) for i in range(2 * SEARCH + 1)])
+    far = first + F.size(F.filter(steps, lambda i: mass(first + i + 1) > left))
     cap = F.lit(float(max(n - 1, 0)))
-    k = F.when(u < F.lit(cdf[-1]), (_count_below(cdf, u) + 1).cast("double")).otherwise(far.cast("double"))
+    k = F.when(u < F.lit(cdf[-1]), (_count_below(cdf, u) + 1).cast("double")).otherwise(far)
     return F.least(k, cap).cast("bigint")
 
 
+class Draw(NamedTuple):
+    """Where a sampler gets its randomness from: ``of(part)`` is a uniform column of that part's own stream."""
+
+    spec: Mapping
+    of: Callable[..., Column]
+
+    def number(self, name: str) -> float:
+        return float(self.spec[name])
+
+
+def _fixed(draw: Draw) -> Column:
+    return F.lit(draw.number("value"))
+
+
+def _between(draw: Draw) -> Column:
+    low, high = draw.number("low"), draw.number("high")
+    if high < low:
+        raise ValueError(f"uniform degree: low {low} above high {high}")
+    return F.lit(low) + draw.of("") * F.lit(high - low)
+
+
+def _around(draw: Draw) -> Column:
+    middle, reach = draw.number("median"), draw.number("sigma")
+    return F.lit(middle - reach) + draw.of("") * F.lit(2 * reach)
+
+
+def _bell(draw: Draw) -> Column:
+    return F.lit(draw.number("mean")) + _noise(draw)
+
+
+def _noise(draw: Draw) -> Column:
+    return standard_normal(draw.of(""), draw.of("/2")) * F.lit(draw.number("sigma"))
+
+
+def _skewed(draw: Draw) -> Column:
+    if draw.number("median") <= 0:
+        raise ValueError("lognormal degree: the median must be positive")
+    return F.lit(draw.number("median")) * F.exp(_noise(draw))
+
+
+def _skewed_log(draw: Draw) -> Column:
+    return F.exp(F.lit(draw.number("meanlog")) + _noise(draw))
+
+
+def _events(name: str) -> Callable[[Draw], Column]:
+    def sample(draw: Draw) -> Column:
+        rate = draw.number(name)
+        if rate < 0:
+            raise ValueError("poisson degree: a negative rate")
+        parts = max(1, math.ceil(rate / PART))
+        each = rate / parts
+        chance, cdf = math.exp(-each), []
+        while sum(cdf[-1:]) < 1 - 1e-15 and len(cdf) < 40 + 4 * PART:
+            cdf.append(sum(cdf[-1:]) + chance)
+            chance *= each / len(cdf)
+        # Sums of independent parts are Poisson again, whatever the rate.
+        return F.aggregate(F.sequence(F.lit(1), F.lit(parts)), F.lit(0),
+                           lambda total, i: total + _count_below(cdf, draw.of("/part", i))).cast("double")
+
+    return sample
+
+
+# Each way to state a distribution: its name, the settings it needs, its sampler. The first that fits is taken.
+FAMILIES = (
+    ("fixed", ("value",), _fixed),
+    ("uniform", ("low", "high"), _between),
+    ("uniform", ("median", "sigma"), _around),
+    ("normal", ("mean", "sigma"), _bell),
+    ("lognormal", ("meanlog", "sigma"), _skewed_log),
+    ("lognormal", ("median", "sigma"), _skewed),
+    ("poisson", ("lam",), _events("lam")),
+    ("poisson", ("lambda",), _events("lambda")),
+)
+ROUNDING = {"round": F.rint, "floor": F.floor, "ceil": F.ceil}
+
+
 def degree(spec: Mapping, seed: int, stream: str, *keys: Column, algo: str = "xxhash64") -> Column:
-    """fixed | uniform | normal | poisson | lognormal, then round|floor|ceil, then clip.
+    """A degree column from a spec: ``dist`` and the settings of one of its FAMILIES, all of them required.
 
-    ``uniform`` takes low/high or median +- sigma; ``lognormal`` takes meanlog or median;
-    ``min`` defaults to 0, ``max`` to none.
+    ``round`` says how to make an integer (round by default); ``min`` (0 by default) and ``max`` bound the result.
     """
-    dist, mode = str(spec.get("dist", "uniform")).lower(), str(spec.get("round", "round")).lower()
-    low, high = spec.get("min", 0), spec.get("max")
-    if mode not in ("round", "floor", "ceil"):
-        raise ValueError(f"unknown rounding {mode!r}")
-    if low is not None and high is not None and int(high) < int(low):
-        raise ValueError("degree max is below min")
-    sigma = float(spec.get("sigma", 0.5 if dist == "uniform" else 1.0))
-    if sigma < 0:
-        raise ValueError("sigma must not be negative")
-    u = uniform(seed, stream, *keys, algo=algo)
-    if dist == "fixed":
-        x = F.lit(float(spec["value"]))
-    elif dist == "uniform":
-        if "low" in spec and "high" in spec:
-            a, b = float(spec["low"]), float(spec["high"])
-        else:
-            a, b = float(spec.get("median", 1.0)) - sigma, float(spec.get("median", 1.0)) + sigma
-        if b < a:
-            raise ValueError("degree high is below low")
-        x = F.lit(a) + u * F.lit(b - a)
-    elif dist in ("normal", "lognormal"):
-        z = standard_normal(u, uniform(seed, f"{stream}/2", *keys, algo=algo))
-        if dist == "normal":
-            x = F.lit(float(spec.get("mean", 1.0))) + z * F.lit(sigma)
-        else:
-            mu = float(spec["meanlog"]) if "meanlog" in spec else math.log(max(float(spec.get("median", 1.0)), 1e-12))
-            x = F.exp(F.lit(mu) + z * F.lit(sigma))
-    elif dist == "poisson":
-        lam = float(spec.get("lam", spec.get("lambda", 1.0)))
-        if lam < 0:
-            raise ValueError("lam must not be negative")
-        if lam > 500:
-            # Far beyond any table: the normal limit.
-            z = standard_normal(u, uniform(seed, f"{stream}/2", *keys, algo=algo))
-            x = F.greatest(F.lit(lam) + z * F.lit(math.sqrt(lam)), F.lit(0.0))
-        else:
-            cdf, acc, k = [], 0.0, 0
-            while acc < 1 - 1e-12 and k < lam + 12 * math.sqrt(lam + 1) + 12:
-                acc += math.exp(-lam + (k * math.log(lam) if k else 0.0) - math.lgamma(k + 1)) if lam else 1.0
-                cdf.append(acc)
-                k += 1
-            x = _count_below(cdf, u).cast("double")
-    else:
-        raise ValueError(f"unknown distribution {spec.get('dist')!r}")
-    x = {"floor": F.floor, "ceil": F.ceil, "round": F.rint}[mode](x).cast("bigint")
-    if low is not None:
-        x = F.greatest(x, F.lit(int(low)).cast("bigint"))
-    if high is not None:
-        x = F.least(x, F.lit(int(high)).cast("bigint"))
-    return x
+    named = [f for f in FAMILIES if f[0] == spec.get("dist")]
+    if not named:
+        raise ValueError(f"degree distribution {spec.get('dist')!r}: expected one of {sorted({f[0] for f in FAMILIES})}")
+    fitting = [f for f in named if all(spec.get(key) is not None for key in f[1])]
+    if not fitting:
+        raise ValueError(f"{spec['dist']} degree: needs " + " or ".join(" and ".join(f[1]) for f in named))
+    if spec.get("sigma") is not None and float(spec["sigma"]) < 0:
+        raise ValueError("degree: sigma must not be negative")
+    to_integer = ROUNDING.get(spec.get("round", "round"))
+    if to_integer is None:
+        raise ValueError(f"degree rounding {spec['round']!r}: expected one of {sorted(ROUNDING)}")
+    least, most = spec.get("min", 0), spec.get("max")
+    if None not in (least, most) and most < least:
+        raise ValueError(f"degree: bounds {least}..{most} are empty")
+
+    def of(part: str, *more: Column) -> Column:
+        return uniform(seed, stream + part, *keys, *more, algo=algo)
+
+    drawn = to_integer(fitting[0][2](Draw(spec, of))).cast("bigint")
+    bounds = [(F.greatest, least), (F.least, most)]
+    for pick, bound in bounds:
+        if bound is not None:
+            drawn = pick(drawn, F.lit(int(bound)).cast("bigint"))
+    return drawn

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hopframe.functions.rng import uniform
 from hopframe.functions.scalars import padded_id
 from hopframe.generators.degrees import degree
-from hopframe.generators.scale_free import expand
+from hopframe.generators.scale_free import expand, numbered
 from hopframe.generators.values import provided_columns
 from hopframe.model import EdgeTable, PropertyGraph, union_all
 
@@ -37,9 +37,9 @@ def check_config(config: Mapping) -> None:
                 raise ValueError(f"connection {name}: unknown node type")
 
 
-def generate(spark: SparkSession, n: int, config: Mapping, share_percent: float = 0.0,
+def generate(spark: SparkSession, n: int | DataFrame, config: Mapping, share_percent: float = 0.0,
              invert: bool = False, seed: int = 42, partitions: int | None = None) -> PropertyGraph:
-    """``n`` egos with their alters and leaves.
+    """``n`` egos with their alters and leaves; ``n`` is a count or a DataFrame of ego numbers ``n``.
 
     With chance ``share_percent`` a leaf is also linked from its ego, with the same edge
     properties. ``invert`` swaps the ends of every edge and its label. Ids are
@@ -48,8 +48,8 @@ def generate(spark: SparkSession, n: int, config: Mapping, share_percent: float
     check_config(config)
     ego_conf, alters = config["EgoNode"], config["AlterNodes"]
     ego_label = ego_conf["label"]
-    egos = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
-    base = egos.select(F.col("id").alias("ego"))
+    egos = numbered(spark, n, 0)
+    base = (egos.repartition(partitions) if partitions else egos).select(F.col("n").alias("ego"))
     ego_id = padded_id(ego_label, F.col("ego"))
 
     vertices: dict[str, list[DataFrame]] = {ego_label: [base.select(

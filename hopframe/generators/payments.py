@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.functions.rng import int_between, pick, uniform
-from hopframe.generators.scale_free import distinct_targets
+from hopframe.generators.scale_free import distinct_targets, numbered
 from hopframe.model import EdgeTable, PropertyGraph, union_all
 
 BANKS = ["North Bank", "River Bank", "Harbor Bank", "Summit Bank", "Union Bank"]
@@ -30,21 +30,27 @@ def _people(rows: DataFrame, name: Column, low: int, high: int, seed: int):
     n = F.col("n")
     uid, aid = F.concat(F.lit("U"), n), F.concat(F.lit("A"), n)
     users = rows.select(uid.alias("id"), uid.alias("userId"), name.alias("name"),
-                        (F.lit(25) + int_between(uniform(seed, "age", n), -6, 45)).alias("age"))
+                        int_between(uniform(seed, "age", n), 18, 90).alias("age"))
     accounts = rows.select(aid.alias("id"), aid.alias("accountId"),
                            int_between(uniform(seed, "balance", n), low, high).alias("balance"),
                            pick(BANKS, uniform(seed, "bank", n)).alias("bank"))
     owns = rows.select(F.concat_ws("#", F.lit("owns"), uid, aid).alias("eid"), uid.alias("src"), aid.alias("dst"),
-                       (F.lit(2020) + int_between(uniform(seed, "since", n), -15, 5)).cast("string").alias("since"))
+                       F.date_format(F.date_add(F.lit("2008-01-01"), int_between(
+                           uniform(seed, "since", n), 0, 6500).cast("int")), "yyyy-MM").alias("since"))
     return users, accounts, owns
 
 
-def generate(spark: SparkSession, users: int, hubs: int = 2, min_transfers: int = 7, max_transfers: int = 14,
+def generate(spark: SparkSession, users: int | DataFrame, hubs: int = 2, min_transfers: int = 7, max_transfers: int = 14,
              seed: int = 42) -> PropertyGraph:
     """``users`` accounts with 7-14 transfers each to other accounts, then ``hubs`` hub accounts
-    that each pay 5-8 accounts 9-25 times with large amounts (5 000-30 000)."""
+    that each pay 5-8 accounts 9-25 times with large amounts (5 000-30 000).
+
+    ``users`` is a count or a DataFrame of user numbers ``n`` (1, 2, ... without gaps). The numbers of transfers,
+    payees and the range of large amounts are fixed values.
+    """
     n = F.col("n")
-    plain = spark.range(1, users + 1).select(F.col("id").alias("n"))
+    plain = numbered(spark, users)
+    users = users if isinstance(users, int) else users.count()
     extra = spark.range(users + 1, users + hubs + 1).select(F.col("id").alias("n"))
     u1, a1, o1 = _people(plain, F.concat(F.lit("User "), n), 500, 10_000, seed)
     u2, a2, o2 = _people(extra, F.concat(F.lit("Hub "), n - users), 90_000, 250_000, seed)
@@ -66,11 +72,11 @@ def generate(spark: SparkSession, users: int, hubs: int = 2, min_transfers: int
 def hub_transfers(hubs: DataFrame, accounts: int, seed: int = 42) -> DataFrame:
     """Transfers of the hub accounts numbered ``n`` to distinct accounts among 1..``accounts``."""
     n, i, j = F.col("n"), F.col("i"), F.col("j")
-    targets = F.least(int_between(uniform(seed, "goons", n), 5, 8), F.lit(accounts).cast("bigint"))
+    targets = F.least(int_between(uniform(seed, "payees", n), 5, 8), F.lit(accounts).cast("bigint"))
     picked = hubs.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), targets - 1)).alias("i"))
     times = int_between(uniform(seed, "times", n, i), 9, 25)
     rows = picked.select("n", "i", F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("j"))
-    far = distinct_targets(n, i, accounts, seed, "goon") + 1
+    far = distinct_targets(n, i, accounts, seed, "payee") + 1
     return rows.select(
         F.concat_ws("#", F.lit("Hub"), n.cast("string"), i.cast("string"), j.cast("string")).alias("eid"),
         F.concat(F.lit("A"), n).alias("src"), F.concat(F.lit("A"), far).alias("dst"),

@@ -6,7 +6,6 @@ every task makes its range of vertices and edges independently.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from hopframe.generators.values import check_spec, property_columns
 from hopframe.model import EdgeTable, PropertyGraph
 
 CHUNK = 1 << 16
-STRIDES = 128
+WALK = 128
 
 
 @dataclass(frozen=True)
@@ -67,32 +66,39 @@ def vertex_ranges(n: int, verts: list[VertexType]) -> dict[str, tuple[int, int]]
     return out
 
 
-def strides(pool: int, seed: int) -> list[int]:
-    """Numbers coprime to ``pool``: stepping by one of them visits every element once."""
-    if pool <= 1:
-        return [1]
-    top = min(pool, (1 << 62) // pool)
-    found, x = [], (seed * 2654435761 + 40503) % top or 1
-    tries = 0
-    while len(found) < STRIDES and tries < 64 * STRIDES:
-        x = (x * 6364136223846793005 + 1442695040888963407) % top or 1
-        if math.gcd(x, pool) == 1:
-            found.append(x)
-        tries += 1
-    return found or [1]
+def numbered(spark: SparkSession, keys: int | DataFrame, first: int = 1) -> DataFrame:
+    """A DataFrame of numbers ``n``: the one given, or ``first``, ``first`` + 1, ... for a count."""
+    if isinstance(keys, int):
+        return spark.range(first, first + keys).select(F.col("id").alias("n"))
+    return keys.select(F.col("n").cast("bigint").alias("n"))
 
 
 def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str) -> Column:
     """The i-th (0-based) target of ``src`` in [0, pool); distinct for i < pool.
 
-    Start and stride are hashed per source. A stride coprime to the pool size walks through
-    the pool without repeats, so no duplicate removal is needed.
+    A keyed permutation per source: six Feistel rounds over the smallest square of a power of two that holds the pool,
+    walked on from ``i`` until the result lies in the pool. A permutation has no repeats, so none need removing.
     """
-    steps = strides(pool, seed)
-    arr = F.array(*[F.lit(s).cast("bigint") for s in steps])
-    which = (F.pmod(hash_bits(seed, f"{stream}/stride", src), F.lit(len(steps))) + 1).cast("int")
-    start = F.pmod(hash_bits(seed, f"{stream}/start", src), F.lit(pool).cast("bigint"))
-    return F.pmod(start + i * F.element_at(arr, which), F.lit(pool).cast("bigint"))
+    if pool <= 1:
+        return F.lit(0).cast("bigint") + i * 0
+    half = max(1, ((pool - 1).bit_length() + 1) // 2)
+    low = F.lit((1 << half) - 1).cast("bigint")
+
+    def rounds(x: Column) -> Column:
+        start = F.struct(F.shiftright(x, half).alias("l"), x.bitwiseAND(low).alias("r"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(6)), start,
+            lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(
+                hash_bits(seed, f"{stream}/permute", src, k, s["r"]).bitwiseAND(low)).alias("r")),
+            lambda s: F.shiftleft(s["l"], half).bitwiseOR(s["r"]))
+
+    # The square is less than four times the pool, so a walk of WALK steps leaves it open once in 10^15 values; such a
+    # value walks on in the same way from there.
+    def walk(x: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), rounds(x),
+                           lambda y, _: F.when(y < pool, y).otherwise(rounds(y)))
+
+    return walk(i.cast("bigint"), WALK)
 
 
 def out_degrees(vertices: DataFrame, gamma: float, n_src: int, seed: int, stream: str,
@@ -139,14 +145,19 @@ def target_table(sources: DataFrame, e_key: str, src_type: str, dst_type: str,
     return expand(degs, "_k", "_i", pool).select("s", t.alias("t"))
 
 
-def generate(spark: SparkSession, n: int, config: Mapping, gamma: float = 2.5, seed: int = 42,
+def generate(spark: SparkSession, n: int | DataFrame, config: Mapping, gamma: float = 2.5, seed: int = 42,
              allow_loops: bool = False, partitions: int | None = None) -> PropertyGraph:
-    """Scale-free graph of ``n`` vertices; ``outDegree`` is the realised out-degree."""
+    """Scale-free graph of ``n`` vertices; ``outDegree`` is the realised out-degree.
+
+    ``n`` is a count or a DataFrame of vertex numbers ``n`` (0, 1, ... without gaps).
+    """
     verts, etypes = parse_config(config)
-    ranges = vertex_ranges(n, verts)
+    ranges = vertex_ranges(n if isinstance(n, int) else n.count(), verts)
 
     def numbers(name):
         lo, hi = ranges[name]
+        if not isinstance(n, int):
+            return numbered(spark, n).filter((F.col("n") >= lo) & (F.col("n") < hi))
         return spark.range(lo, hi, 1, partitions).select(F.col("id").alias("n")) if partitions else \
             spark.range(lo, hi).select(F.col("id").alias("n"))
 

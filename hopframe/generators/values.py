@@ -69,7 +69,7 @@ def random_value(spec: Mapping, seed: int, stream: str, *keys: Column, algo: str
     if kind in ("int", "integer"):
         return int_between(u, spec["min"], spec["max"]).cast("int")
     if kind == "long":
-        return long_between(hash_bits(seed, stream, *keys, algo=algo), spec["min"], spec["max"])
+        return long_between(seed, stream, spec["min"], spec["max"], *keys, algo=algo)
     if kind == "double":
         lo, hi = float(spec["min"]), float(spec["max"])
         return F.lit(lo) + u * F.lit(hi - lo)
@@ -103,7 +103,7 @@ def property_columns(specs: Mapping[str, Mapping], seed: int, stream: str, key:
 # ---- named providers --------------------------------------------------------
 
 def _pyint(seed, stream, keys, min_value=0, max_value=9999, step=1):
-    slot = long_between(hash_bits(seed, stream, *keys), 0, (max_value - min_value) // step)
+    slot = long_between(seed, stream, 0, (max_value - min_value) // step, *keys)
     return F.lit(min_value).cast("bigint") + slot * F.lit(step).cast("bigint")
 
 
