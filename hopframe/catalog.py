@@ -94,6 +94,19 @@ def _s2(spark, sf):
     return rows.select(F.col("~from").alias("src"), F.col("~to").alias("dst"), "cents", "type")
 
 
+@add("s14_csv_texts", """select doc_id::varchar id, case when doc_id % 5 = 0 then concat('  ', text, ' "q", ')
+ when doc_id % 5 = 1 then '' when doc_id % 5 = 2 then null else text end as text from documents""")
+def _s14t(spark, sf):
+    """Texts with line breaks, quotes, outer spaces, empty and NULL come back from CSV as they were."""
+    n = F.col("doc_id") % 5
+    text = F.when(n == 0, F.concat(F.lit("  "), "text", F.lit(' "q", '))).when(n == 1, "").when(n == 2, None).otherwise(F.col("text"))
+    v = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    root = fresh_path(spark, "csv")
+    csv_graph.write_csv(PropertyGraph({"Note": v}, ()), root)
+    part = csv_graph.read_vertices(spark, f"{root}/vertices")[0]
+    return part.rows.select(F.col("~id").alias("id"), "text")
+
+
 def _round_trip(spark, sf):
     root = fresh_path(spark, "csv")
     csv_graph.write_csv(payments_graph(spark, sf), root)

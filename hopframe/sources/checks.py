@@ -60,11 +60,15 @@ def dangling_edges(g: PropertyGraph, edges: DataFrame) -> DataFrame:
 
 
 def validate(g: PropertyGraph) -> DataFrame:
-    """``stage, label, problems``: duplicate ids per vertex label, dangling edges per edge label."""
-    parts = []
-    for label, v in g.vertices.items():
-        parts.append(duplicate_ids(v).agg(F.count(F.lit(1)).alias("problems"))
-                     .select(F.lit("vertex validation").alias("stage"), F.lit(label).alias("label"), "problems"))
+    """``stage, label, problems``: ids per vertex label that occur twice, in this or in another label, and dangling
+    edges per edge label."""
+    repeated = g.vertex_view(None, ()).select("id", "label").groupBy("id").agg(
+        F.count(F.lit(1)).alias("copies"), F.collect_set("label").alias("labels")).filter("copies > 1")
+    per_label = repeated.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    known = g.edges[0].df.sparkSession if g.edges else next(iter(g.vertices.values())).sparkSession
+    names = known.createDataFrame([(x,) for x in g.vertices], "label string")
+    parts = [names.join(per_label, "label", "left").select(
+        F.lit("vertex validation").alias("stage"), "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("problems"))]
     bad = dangling_edges(g, g.edge_view(None, ()))
     labels = sorted({t.label for t in g.edges})
     parts.append(bad.agg(*[F.count(F.when(F.col("label") == x, 1)).alias(f"c{i}") for i, x in enumerate(labels)])

@@ -20,8 +20,11 @@ TYPES = {
     "boolean": "boolean", "string": "string", "date": "date",
 }
 SYSTEM = ("~id", "~label", "~from", "~to")
-FILE_ROWS = 20_000_000
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
+FILE_ROWS = 1_000_000  # files with line breaks are read whole by one task
+# An empty cell is NULL and a quoted empty cell the empty text; outer spaces are part of a value.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "false", "nullValue": "\u0001",
+               "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "columnPruning": "false"}
 
 
 @dataclass(frozen=True)
@@ -52,10 +55,10 @@ def parse_header(cell: str, overrides: Mapping[str, str] | None = None) -> Colum
 
 
 def typed(text: Column, dtype: str) -> Column:
-    """Text to ``dtype``; NULL if empty or not convertible."""
-    blank = F.trim(text) == ""
+    """Text to ``dtype``; NULL if not convertible. Text stays as it is."""
     if dtype == "string":
-        return F.when(~blank, text)
+        return text
+    blank = F.trim(text) == ""
     if dtype.startswith("array<"):
         # Lists written by other tools may use single quotes and capitalised booleans.
         body = F.lower(text) if dtype == "array<boolean>" else text
@@ -75,38 +78,34 @@ class Loaded:
 
 
 def leaf_folders(spark: SparkSession, root: str) -> list[str]:
-    """Folders below ``root`` (any Hadoop file system) that directly hold files."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [path]
-    while todo:
-        here = todo.pop()
-        entries = list(fs.listStatus(here))
-        files = [e for e in entries if e.isFile() and e.getPath().getName()[:1] not in "._"]
-        if files:
-            found.append(here.toString())
-        todo += [e.getPath() for e in entries if e.isDirectory() and e.getPath().getName()[:1] not in "._"]
-    return sorted(found)
+    """Folders below ``root`` (any file system Spark reads) that directly hold files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    hidden = F.col("path").rlike("/[._][^/]*$")
+    return sorted(r[0] for r in files.where(~hidden).select(folder).distinct().collect())
 
 
 def read_folder(spark: SparkSession, folder: str, required: tuple[str, ...],
-                overrides: Mapping[str, str] | None = None) -> Loaded:
+                overrides: Mapping[str, str] | None = None, multi_line: bool = True) -> Loaded:
     """One folder of CSV files with a common header, bound by name.
 
     All files of a folder must carry the header of the first; Spark refuses the file
-    otherwise instead of binding by position.
+    otherwise instead of binding by position. Rows with too many or too few fields are
+    rejected. ``multi_line=False`` lets Spark split large files, for files whose values
+    hold no line breaks.
     """
-    header = spark.read.options(**{**CSV_OPTIONS, "inferSchema": "false"}).csv(folder).columns
+    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
+    header = spark.read.options(**{**options, "inferSchema": "false"}).csv(folder).columns
     cols = [parse_header(c, overrides) for c in header]
     names = [c.name for c in cols]
     missing = [r for r in required if r not in names]
     if missing:
         raise ValueError(f"{folder}: header lacks {missing}")
-    schema = T.StructType([T.StructField(c.raw, T.StringType()) for c in cols])
-    raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(folder)
-    raw = raw.toDF(*[f"c{i}" for i in range(len(cols))])
-    bad = F.lit(False)
+    schema = T.StructType([T.StructField(c.raw, T.StringType()) for c in cols] +
+                          [T.StructField("_malformed", T.StringType())])
+    raw = spark.read.options(**options).schema(schema).csv(folder)
+    raw = raw.toDF(*[f"c{i}" for i in range(len(cols))], "_malformed")
+    bad = F.col("_malformed").isNotNull()
     for i, c in enumerate(cols):
         if c.name in required:
             bad = bad | F.col(f"c{i}").isNull() | (F.trim(f"c{i}") == "")
@@ -117,19 +116,18 @@ def read_folder(spark: SparkSession, folder: str, required: tuple[str, ...],
     out = [typed(F.col(f"c{i}"), c.dtype).alias(c.name) for i, c in enumerate(cols)]
     if "~label" not in names:
         out.append(F.lit(re.sub(r"/+$", "", folder).rsplit("/", 1)[-1]).alias("~label"))
-    rejected = raw.filter(bad).select(
-        F.lit(folder).alias("folder"),
-        F.to_json(F.map_from_arrays(F.array(*[F.lit(c.name) for c in cols]),
-                                    F.array(*[F.col(f"c{i}") for i in range(len(cols))]))).alias("raw"))
+    cells = F.to_json(F.map_from_arrays(F.array(*[F.lit(c.name) for c in cols]),
+                                        F.array(*[F.col(f"c{i}") for i in range(len(cols))])))
+    rejected = raw.filter(bad).select(F.lit(folder).alias("folder"), F.coalesce("_malformed", cells).alias("raw"))
     return Loaded(folder, raw.filter(~bad).select(*out), rejected)
 
 
-def read_vertices(spark, root: str, overrides=None) -> list[Loaded]:
-    return [read_folder(spark, f, ("~id",), overrides) for f in leaf_folders(spark, root)]
+def read_vertices(spark, root: str, overrides=None, multi_line: bool = True) -> list[Loaded]:
+    return [read_folder(spark, f, ("~id",), overrides, multi_line) for f in leaf_folders(spark, root)]
 
 
-def read_edges(spark, root: str, overrides=None) -> list[Loaded]:
-    return [read_folder(spark, f, ("~from", "~to"), overrides) for f in leaf_folders(spark, root)]
+def read_edges(spark, root: str, overrides=None, multi_line: bool = True) -> list[Loaded]:
+    return [read_folder(spark, f, ("~from", "~to"), overrides, multi_line) for f in leaf_folders(spark, root)]
 
 
 def _census(parts: list[Loaded]) -> list[tuple[str, str, int, int]]:
@@ -177,13 +175,15 @@ def with_edge_ids(rows: DataFrame, label: str) -> DataFrame:
 
 def load(spark: SparkSession, vertices_root: str, edges_root: str, duplicates: str = "fail",
          overrides: Mapping[str, str] | None = None,
-         endpoints: Mapping[str, tuple[str, str]] | None = None) -> tuple[PropertyGraph, DataFrame]:
+         endpoints: Mapping[str, tuple[str, str]] | None = None,
+         multi_line: bool = True) -> tuple[PropertyGraph, DataFrame]:
     """Load a folder tree; returns the graph and the per-stage report.
 
     ``endpoints`` optionally names the vertex labels an edge label connects, which lets
     hops skip edge tables.
     """
-    vparts, eparts = read_vertices(spark, vertices_root, overrides), read_edges(spark, edges_root, overrides)
+    vparts = read_vertices(spark, vertices_root, overrides, multi_line)
+    eparts = read_edges(spark, edges_root, overrides, multi_line)
     vcensus, ecensus = _census(vparts), _census(eparts)
     vertices = {label: resolve_duplicates(df.withColumnRenamed("~id", "id"), duplicates)
                 for label, df in _by_label(vparts, vcensus).items()}
@@ -249,7 +249,8 @@ def write_csv(g: PropertyGraph, root: str, max_rows: int = FILE_ROWS) -> None:
     Every file starts with the header. Existing folders are not overwritten.
     """
     def save(df, path):
-        (df.write.options(header="true", quote='"', escape='"', maxRecordsPerFile=max_rows)
+        (df.write.options(header="true", quote='"', escape='"', maxRecordsPerFile=max_rows,
+                          ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
          .mode("append").csv(path))
 
     for label, v in g.vertices.items():

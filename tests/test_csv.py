@@ -51,6 +51,25 @@ def test_crlf_types_lists_and_rejects(spark, tmp_path):
     assert got["b"]["age"] is None and got["b"]["tags"] == ["p", "q"] and got["b"]["phone"] is None
 
 
+def test_field_counts_line_breaks_spaces_and_empty_texts(spark, tmp_path):
+    put(f"{tmp_path}/v/N/a.csv", '~id,name,n:int\na,"line1\nline2",1\nb,x\nc,x,2,y\nd,"",3\ne,,4\nf,  padded  ,5\n')
+    part = csv_graph.read_vertices(spark, f"{tmp_path}/v")[0]
+    assert {r["~id"]: (r["name"], r["n"]) for r in part.rows.collect()} == {
+        "a": ("line1\nline2", 1), "d": ("", 3), "e": (None, 4), "f": ("  padded  ", 5)}
+    assert sorted(r["raw"] for r in part.rejected.collect()) == ["b,x", "c,x,2,y"]
+    v = spark.createDataFrame([("a", "x\ny"), ("b", " p "), ("c", ""), ("d", None), ("e", 'q"')], "id string, name string")
+    csv_graph.write_csv(PropertyGraph({"N": v}, ()), f"{tmp_path}/out")
+    back = csv_graph.read_vertices(spark, f"{tmp_path}/out/vertices")[0]
+    assert {r["~id"]: r["name"] for r in back.rows.collect()} == {r["id"]: r["name"] for r in v.collect()}
+
+
+def test_ids_repeated_across_labels_are_found(spark):
+    a, b = (spark.createDataFrame([(x,) for x in ids], "id string") for ids in (["1", "2"], ["2", "3", "3"]))
+    e = spark.createDataFrame([("e", "1", "2")], "eid string, src string, dst string")
+    found = checks.validate(PropertyGraph({"A": a, "B": b}, (EdgeTable("T", e, "A", "B"),)))
+    assert rows(found, "label", "problems") == [("A", 1), ("B", 2), ("T", 0)]
+
+
 def test_files_with_another_header_are_refused(spark, tmp_path):
     put(f"{tmp_path}/e/a.csv", "~from,~to,~label\n1,2,x\n")
     put(f"{tmp_path}/e/b.csv", "~label,~to,~from\nx,4,3\n")
