@@ -438,7 +438,7 @@ _MEAN = """(select cast(sum(t) as double) / cast(count(*) as double) from r cros
 
 @add("a9_fenced_mean")
 def _a9(spark, sf):
-    totals = materialize(payments.rank_accounts(payments_graph(spark, sf)).select("total_cents"), "totals")
+    totals = materialize(payments.account_totals(payments_graph(spark, sf)).select("total_cents"), "totals")
     return payments.fenced_stats(totals, "total_cents")
 
 

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 20.0 / ACCURACY
-IN_ONE_TASK = 100_000
 
 
 def value_at_rank(df: DataFrame, col: str, rank: int, n: int):
     """The ``rank``-th largest value (1-based) of the ``n`` non-null values; None past the end.
 
-    A mergeable quantile sketch brackets the rank and one aggregate counts exactly how many
-    values lie above and inside the bracket. The search continues in the part that holds
-    the rank, whichever it is, so the sketch only steers and the answer is exact. Once few
-    distinct values are left they are tallied (ties combined map-side) and cumulated; that
-    window sees at most ``IN_ONE_TASK`` rows unless no bracket can shrink the range.
+    A mergeable quantile sketch brackets the rank by two values of the column, and one aggregate counts exactly how many
+    values lie above, on, between and below them. If the rank falls on one of the two, that is the answer; otherwise
+    the search goes on in the open part that holds the rank. Every round leaves both bounds behind, so it ends; the
+    sketch only steers. No sort and no window is involved.
     """
     if not 1 <= rank <= n:
         return None
@@ -27,22 +25,21 @@ def value_at_rank(df: DataFrame, col: str, rank: int, n: int):
         lo, hi = part.agg(F.percentile_approx(col, [max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)], ACCURACY)
                           .alias("q")).first()["q"]
         low, high = F.lit(lo), F.lit(hi)
-        inside = v.between(low, high)
-        above, within, kinds = part.agg(
-            F.count(F.when(v > high, 1)), F.count(F.when(inside, 1)),
-            F.approx_count_distinct(F.when(inside, v))).first()
+        above, on_high, between, on_low = part.agg(
+            F.count(F.when(v > high, 1)), F.count(F.when(v == high, 1)),
+            F.count(F.when((v < high) & (v > low), 1)), F.count(F.when((v == low) & (v < high), 1))).first()
+        down_to_low = above + on_high + between
         if rank <= above:
             part, n = part.filter(v > high), above
-        elif rank > above + within:
-            part, n, rank = part.filter(v < low), n - above - within, rank - above - within
+        elif rank <= above + on_high:
+            return hi
+        elif rank <= down_to_low:
+            part, n, rank = part.filter((v < high) & (v > low)), between, rank - above - on_high
+        elif rank <= down_to_low + on_low:
+            return lo
         else:
-            stuck = within == n
-            part, n, rank = part.filter(inside), within, rank - above
-            if kinds <= IN_ONE_TASK or stuck:
-                break
-    running = F.sum("c").over(Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    tallied = part.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    return tallied.withColumn("cum", running).filter(F.col("cum") >= rank).agg(F.max("v").alias("v")).first()["v"]
+            rank -= down_to_low + on_low
+            part, n = part.filter(v < low), n - down_to_low - on_low
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: list[int], n: int) -> list:

@@ -14,6 +14,7 @@ from hopframe.functions.scalars import mean_of_cents
 from hopframe.model import PropertyGraph
 from hopframe.operators.messages import pull, total_per_seed
 from hopframe.operators.skew import splittable
+from hopframe.session import fresh_path
 
 HAS = ("has_account", "has_card")
 INSTRUMENTS = ("BankAccount", "Card")
@@ -53,7 +54,9 @@ def to_persons(g: PropertyGraph, per_vpa: DataFrame, measures: list[str]) -> Dat
 
 def paid_before(g: PropertyGraph, requests: DataFrame) -> DataFrame:
     """Has the sending VPA paid this VPA before? ``requests``: payment, vpa, target."""
-    pairs = _tx(g).select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    asked = requests.select(F.col("vpa").alias("_v"), F.col("target").alias("_t")).distinct()
+    pairs = (_tx(g).select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+             .join(asked, (F.col("_v") == F.col("_s")) & (F.col("_t") == F.col("_d")), "left_semi").distinct())
     return (requests.join(pairs, (F.col("vpa") == F.col("_s")) & (F.col("target") == F.col("_d")), "left")
             .select("payment", F.col("_s").isNotNull().alias("known")))
 
@@ -157,7 +160,7 @@ def second_degree(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex
     transfers into C, or C's payers probed against A's receivers. A hub on one end is thus
     reached from the other end, and both branches are exact, so no pair is dropped.
     """
-    index = index or beneficiary_index(g)
+    index = index or beneficiary_index(g, fresh_path(requests.sparkSession, "beneficiary-index"))
     # Each distinct (person, target) is walked once, however many payments repeat it.
     pairs = (requests.select("person", "target").distinct()
              .join(index.out_deg.withColumnRenamed("person", "_dp"), F.col("person") == F.col("_dp"))
@@ -185,7 +188,7 @@ def beneficiary_status(g: PropertyGraph, requests: DataFrame, index: Beneficiary
 
     Pairs found in the index are settled first; only the others are walked a second step.
     """
-    index = index or beneficiary_index(g)
+    index = index or beneficiary_index(g, fresh_path(requests.sparkSession, "beneficiary-index"))
     k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
     hit = (F.col("person") == F.col("_p")) & (F.col("target") == F.col("_r"))
     known = requests.join(k, hit, "left_semi").select("payment", F.lit("known").alias("status"))

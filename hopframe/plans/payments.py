@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.model import PropertyGraph
@@ -106,13 +106,23 @@ def in_out_totals(g: PropertyGraph, name: str | None = None) -> DataFrame:
 
 # ---- subgraphs -------------------------------------------------------------
 
-def _step(g: PropertyGraph, direction: str, far_labels: tuple[str, ...] | None = None) -> DataFrame:
-    """``k, e, f``: near vertex, edge, far vertex of one hop in ``direction``."""
+def _step(g: PropertyGraph, direction: str, far_labels: tuple[str, ...] | None = None,
+          near_labels: tuple[str, ...] | None = None) -> DataFrame:
+    """``k, e, f``: near vertex, edge, far vertex of one hop in ``direction``.
+
+    Edge tables known to touch none of the given labels at that end are left out.
+    """
+    def may(label: str | None, wanted: tuple[str, ...] | None) -> bool:
+        return wanted is None or label in wanted
+
+    def near(label: str | None) -> bool:
+        return label is None or may(label, near_labels)
+
     frames = []
     for t in g.edges:
-        if direction in ("out", "both") and (far_labels is None or t.dst_label in far_labels):
+        if direction in ("out", "both") and may(t.dst_label, far_labels) and near(t.src_label):
             frames.append(t.df.select(F.col("src").alias("k"), F.col("eid").alias("e"), F.col("dst").alias("f")))
-        if direction in ("in", "both") and (far_labels is None or t.src_label in far_labels):
+        if direction in ("in", "both") and may(t.src_label, far_labels) and near(t.dst_label):
             frames.append(t.df.select(F.col("dst").alias("k"), F.col("eid").alias("e"), F.col("src").alias("f")))
     out = frames[0]
     for f in frames[1:]:
@@ -174,7 +184,7 @@ def user_transfer_paths(g: PropertyGraph, direction: str = "out", seeds: DataFra
     middle account are not expanded a second time.
     """
     start = (g.V("User").df if seeds is None else seeds).select("seed")
-    h1 = _named(_step(g, "out"), "_k1", "e1", "v1")
+    h1 = _named(_step(g, "out", near_labels=("User",) if seeds is None else None), "_k1", "e1", "v1")
     h2 = _named(_step(g, direction), "_k2", "e2", "v2")
     h3 = _named(_step(g, "both", ("User",)), "_k3", "e3", "v3")
     return (start.join(h1, F.col("seed") == F.col("_k1")).join(h2, F.col("v1") == F.col("_k2"))
@@ -184,26 +194,37 @@ def user_transfer_paths(g: PropertyGraph, direction: str = "out", seeds: DataFra
 
 # ---- ranking ---------------------------------------------------------------
 
-def rank_accounts(g: PropertyGraph) -> DataFrame:
-    """``id, accountId, total_cents, owner_id, owner``: every account, 0 when it sent nothing.
-
-    One owner per account: the smallest user id, by an aggregate that combines map-side.
-    """
+def account_totals(g: PropertyGraph) -> DataFrame:
+    """``id, accountId, total_cents``: every account, 0 when it sent nothing."""
     sums = (g.edge_view(["Transaction"], ["cents"]).groupBy(F.col("src").alias("_s"))
             .agg(F.sum("cents").alias("_t")))
+    return (g.vertices["Account"].select("id", "accountId").join(sums, F.col("id") == F.col("_s"), "left")
+            .select("id", "accountId", F.coalesce("_t", F.lit(0)).cast("bigint").alias("total_cents")))
+
+
+def with_owner(g: PropertyGraph, totals: DataFrame) -> DataFrame:
+    """Adds ``owner_id, owner``: the smallest user id, by an aggregate that combines map-side."""
     users = g.vertices["User"].select(F.col("id").alias("_uid"), F.col("name").alias("owner"))
-    first = (g.edge_view(["owns"], ()).groupBy(F.col("dst").alias("_a"))
-             .agg(F.min("src").alias("owner_id")))
-    return (g.vertices["Account"].select("id", "accountId")
-            .join(sums, F.col("id") == F.col("_s"), "left")
-            .join(first, F.col("id") == F.col("_a"), "left")
+    held = g.edge_view(["owns"], ()).select(F.col("dst").alias("_a"), "src")
+    first = held.join(totals.select(F.col("id").alias("_id")), F.col("_a") == F.col("_id"), "left_semi") \
+        .groupBy("_a").agg(F.min("src").alias("owner_id"))
+    return (totals.join(first, F.col("id") == F.col("_a"), "left")
             .join(users, F.col("owner_id") == F.col("_uid"), "left")
-            .select("id", "accountId", F.coalesce("_t", F.lit(0)).cast("bigint").alias("total_cents"),
-                    "owner_id", "owner"))
+            .select(*totals.columns, "owner_id", "owner"))
+
+
+def rank_accounts(g: PropertyGraph) -> DataFrame:
+    """``id, accountId, total_cents, owner_id, owner`` of every account."""
+    return with_owner(g, account_totals(g))
+
+
+def largest(totals: DataFrame, n: int) -> DataFrame:
+    return totals.orderBy(F.col("total_cents").desc(), F.col("id")).limit(n)
 
 
 def top_accounts(g: PropertyGraph, n: int) -> DataFrame:
-    return rank_accounts(g).orderBy(F.col("total_cents").desc(), F.col("id")).limit(n)
+    """The ``n`` largest; owners are looked up for those only."""
+    return largest(with_owner(g, largest(account_totals(g), n)), n)
 
 
 def fenced_stats(totals: DataFrame, col: str) -> DataFrame:
@@ -230,9 +251,9 @@ def fenced_stats(totals: DataFrame, col: str) -> DataFrame:
 
 def suspected_hub(g: PropertyGraph) -> DataFrame:
     """The account with the largest outgoing total and its ratio to the fenced mean."""
-    ranked = materialize(rank_accounts(g), "ranked-accounts")
-    mean = fenced_stats(ranked.select("total_cents"), "total_cents").select("mean").scalar()
-    top = ranked.orderBy(F.col("total_cents").desc(), F.col("id")).limit(1)
+    totals = materialize(account_totals(g), "account-totals")
+    mean = fenced_stats(totals.select("total_cents"), "total_cents").select("mean").scalar()
+    top = with_owner(g, largest(totals, 1))
     return top.select("accountId", "owner", "total_cents",
                       F.when(mean != 0, F.col("total_cents").cast("double") / mean).alias("increase"))
 
@@ -242,9 +263,3 @@ def pair_multiplicity(g: PropertyGraph, label: str = "Transaction") -> DataFrame
     e = g.edge_view([label], ())
     return (e.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
             .agg(F.count(F.lit(1)).alias("n")))
-
-
-def latest_per(df: DataFrame, key: str, k: int, *order) -> DataFrame:
-    """Top ``k`` rows per key; each map task keeps at most ``k`` per key before the shuffle."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")

@@ -14,7 +14,7 @@ from hopframe.functions.scalars import mean_of_cents
 from hopframe.model import PropertyGraph
 from hopframe.operators.update import assign_drivers
 from hopframe.plans import fraud
-from hopframe.session import fresh_path
+from hopframe.session import fresh_path, materialize
 
 
 def _start(stream: DataFrame, apply, checkpoint: str, continuous: str | None) -> StreamingQuery:
@@ -35,7 +35,11 @@ def score_beneficiaries(stream: DataFrame, g: PropertyGraph, out: str, checkpoin
     index = index or fraud.beneficiary_index(g, fresh_path(stream.sparkSession, "beneficiary-index"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        fraud.beneficiary_status(g, batch, index).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        held = batch.persist()
+        try:
+            fraud.beneficiary_status(g, held, index).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return _start(stream.select("payment", "person", "target"), score, checkpoint, every)
 
@@ -43,9 +47,10 @@ def score_beneficiaries(stream: DataFrame, g: PropertyGraph, out: str, checkpoin
 def velocity_scores(stream: DataFrame, g: PropertyGraph) -> DataFrame:
     """Stream–static join: each payment with its sender's mean amount and the ratio to it.
 
-    ``stream``: payment, vpa, cents. A sender without history has NULL mean and ratio.
+    ``stream``: payment, vpa, cents. A sender without history has NULL mean and ratio. The means are stored once per
+    start, not computed again for every batch.
     """
-    mean = fraud.sender_totals(g).select(
+    mean = materialize(fraud.sender_totals(g), "sender-totals").select(
         F.col("id").alias("_v"), mean_of_cents(F.col("tx_cents"), F.col("tx_n")).alias("mean_amount"))
     amount = F.col("cents").cast("double") / F.lit(100).cast("double")
     return (stream.join(mean, F.col("vpa") == F.col("_v"), "left")
@@ -54,7 +59,11 @@ def velocity_scores(stream: DataFrame, g: PropertyGraph) -> DataFrame:
 
 
 def hourly_velocity(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Per sender and window: number of payments and total; payments later than ``late`` drop."""
+    """Per sender and window: number of payments and total; payments later than ``late`` drop.
+
+    In append mode a window appears once the watermark has passed its end; to close the last windows of a finite feed,
+    send a row later than ``width`` plus ``late`` after them, or use complete mode.
+    """
     return (stream.withWatermark("ts", late)
             .groupBy(F.window("ts", width), "vpa")
             .agg(F.count(F.lit(1)).alias("payments"), F.sum("cents").alias("total_cents"))

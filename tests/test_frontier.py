@@ -178,12 +178,11 @@ def test_neighbourhood_against_brute_force(spark):
     assert sorted((r["seed"], tuple(r["path"])) for r in f.paths().collect()) == want
 
 
-@pytest.mark.parametrize("few", [100_000, 3])
+@pytest.mark.parametrize("margin", [0.02, 0.1])
 @pytest.mark.parametrize("values", [[5], [3, 3, 3, 3], list(range(1000)), [0] * 400 + list(range(200)),
                                     [int(1.3 ** i) for i in range(40)] * 3])
-def test_values_at_ranks(spark, monkeypatch, values, few):
-    monkeypatch.setattr(quantiles, "IN_ONE_TASK", few)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.02 if few > 3 else 0.1)
+def test_values_at_ranks(spark, monkeypatch, values, margin):
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
     df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
     order, n = sorted(values, reverse=True), len(values)
     ranks = sorted({1, n // 4 + 1, n // 2 + 1, n, n + 1})
