@@ -13,9 +13,11 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopframe.session import materialize
+
 
 def degrees(vertices: DataFrame, edges: DataFrame, end: str = "src") -> DataFrame:
     """``id, degree`` with zero-degree vertices; ``end`` is src, dst or both."""
@@ -81,100 +83,176 @@ def zeta_tail(alpha, start):
             - alpha * (alpha + 1) * (alpha + 2) / 720 * x ** (-alpha - 3))
 
 
-def _best_alpha(n: float, sum_log: float, xmin: float, low: float = 1.0001, high: float = 12.0) -> float:
-    """Maximise the discrete likelihood -n ln zeta(a, xmin) - a S; it is concave in a."""
-    grid = np.linspace(low, high, 64)
-    for _ in range(6):
-        ll = -n * np.log(zeta_tail(grid, xmin)) - grid * sum_log
-        i = int(np.argmax(ll))
-        grid = np.linspace(grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)], 64)
-    return float(grid[len(grid) // 2])
-
-
-def _tail_fit(k: np.ndarray, c: np.ndarray, start: int) -> tuple[float, float]:
-    """alpha and KS distance for the tail that begins at position ``start``."""
-    kk, cc = k[start:], c[start:]
-    n = cc.sum()
-    alpha = _best_alpha(n, float((cc * np.log(kk)).sum()), kk[0])
-    tail = zeta_tail(alpha, kk)
-    below = 1 - tail / tail[0]
-    theory = 1 - (tail - kk ** -alpha) / tail[0]
-    seen = np.cumsum(cc) / n
-    # The empirical CDF is flat between observed degrees, so both edges of a step count.
-    gap = max(np.abs(seen - theory).max(), np.abs(np.concatenate([[0], seen[:-1]]) - below).max())
-    return alpha, float(gap)
+def log_zeta(alpha, start):
+    """Logarithm of ``zeta_tail``, in terms of (start + i) / start, so that no power underflows."""
+    alpha, start = np.asarray(alpha, float), np.asarray(start, float)
+    total = sum((1 + i / start) ** -alpha for i in range(32))
+    x = start + 32
+    rest = x / (alpha - 1) + 0.5 + alpha / (12 * x) - alpha * (alpha + 1) * (alpha + 2) / (720 * x ** 3)
+    return -alpha * np.log(start) + np.log(total + (x / start) ** -alpha * rest)
 
 
-def power_law_fit(hist: DataFrame) -> DataFrame:
-    """One row ``alpha, xmin, ks, n_tail``: the tail start with the smallest KS distance.
+def tails(hist: DataFrame) -> DataFrame:
+    """``degree, n, bin, count, log_sum``: vertices from ``degree`` upwards and the sum of their log degrees.
 
-    Candidate starts are all distinct degrees but the largest; they are spread over the
-    cluster and each task fits its share against the histogram (small, see above).
+    Sums run within bins of an eighth of a doubling and over the few hundred bins, never over the whole histogram.
     """
-    spark = hist.sparkSession
-    rows = sorted((r["degree"], r["n"]) for r in hist.filter(F.col("degree") > 0).collect())
-    schema = "alpha double, xmin bigint, ks double, n_tail bigint"
-    if len(rows) < 2:
-        return spark.createDataFrame([], schema)
-    k = np.array([r[0] for r in rows], float)
-    c = np.array([r[1] for r in rows], float)
-    shared = spark.sparkContext.broadcast((k, c))
-    # Executors need not have this package installed: ship the helpers with the function.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = hist.filter(F.col("degree") > 0).select(
+        "degree", "n", F.floor(F.log2("degree") * 8).cast("int").alias("bin"),
+        (F.col("n") * F.log("degree")).alias("_l"))
+    upward = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("bin").agg(F.sum("n").alias("_bn"), F.sum("_l").alias("_bl")).select(
+        "bin", F.coalesce(F.sum("_bn").over(upward), F.lit(0)).alias("_an"),
+        F.coalesce(F.sum("_bl").over(upward), F.lit(0.0)).alias("_al"))
+    within = Window.partitionBy("bin").orderBy(F.desc("degree"))
+    return rows.join(bins, "bin").select(
+        "degree", "n", "bin", (F.col("_an") + F.sum("n").over(within)).alias("count"),
+        (F.col("_al") + F.sum("_l").over(within)).alias("log_sum"))
+
+
+def best_alphas(count, log_sum, start, steps: int = 90):
+    """Per tail, the exponent that maximises -count * log zeta(a, start) - a * log_sum, which is concave in a.
+
+    The upper bound is doubled until the likelihood falls, so the optimum is inside the bracket.
+    """
+    count, log_sum, start = (np.asarray(x, float) for x in (count, log_sum, start))
 
-    def fit(batches):
-        kk, cc = shared.value
-        for pdf in batches:
-            out = [(*_tail_fit(kk, cc, int(i)),) for i in pdf["id"]]
-            yield pd.DataFrame({"alpha": [a for a, _ in out], "xmin": kk[pdf["id"]].astype("int64"),
-                                "ks": [d for _, d in out],
-                                "n_tail": [int(cc[int(i):].sum()) for i in pdf["id"]]})
+    def value(a):
+        return -count * log_zeta(a, start) - a * log_sum
 
-    # Low starts have long tails: deal the candidates out evenly instead of in ranges.
-    parts = max(1, min(len(rows) - 1, 4 * spark.sparkContext.defaultParallelism))
-    fits = spark.range(0, len(rows) - 1, 1, 1).repartition(parts).mapInPandas(fit, schema)
-    return (fits.agg(F.min_by(F.struct("alpha", "xmin", "ks", "n_tail"), F.struct("ks", "xmin")).alias("r"))
-            .select("r.*"))
+    low, high = np.full(len(start), 1 + 1e-9), np.full(len(start), 2.0)
+    while (rising := value(high) > value(1 + (high - 1) / 2)).any() and high.max() < 1e9:
+        high = np.where(rising, 1 + 2 * (high - 1), high)
+    ratio = (5 ** 0.5 - 1) / 2
+    for _ in range(steps):
+        left, right = high - ratio * (high - low), low + ratio * (high - low)
+        lower = value(left) < value(right)
+        low, high = np.where(lower, left, low), np.where(lower, high, right)
+    return (low + high) / 2
 
 
-def _upper(z: np.ndarray) -> np.ndarray:
-    """Upper tail of the standard normal."""
-    return 0.5 * np.array([math.erfc(x / math.sqrt(2)) for x in np.atleast_1d(z)])
+def distances(degree, n, count, start: float, total: float, alpha: float):
+    """Distance of the two CDFs of a tail at each of its degrees.
 
+    The empirical CDF is flat between observed degrees, so both edges of a step count.
+    """
+    degree, n, count = (np.asarray(x, float) for x in (degree, n, count))
+    base = log_zeta(alpha, start)
+    before = np.abs(np.exp(log_zeta(alpha, degree) - base) - count / total)
+    after = np.abs(np.exp(log_zeta(alpha, degree + 1) - base) - (count - n) / total)
+    return np.maximum(before, after)
 
-def _lognormal_logpmf(k, mu, sigma, xmin):
-    """Log-normal mass of [k - 1/2, k + 1/2], conditioned on k >= xmin.
 
-    -inf where the tail beyond xmin is too small to be computed reliably.
+def power_law_fit(hist: DataFrame, at_once: int = 32) -> DataFrame:
+    """One row ``alpha, xmin, ks, n_tail``: the tail start with the smallest KS distance.
+
+    Candidate starts are all distinct degrees but the largest. Exponents come from the running sums alone. The distance
+    at the first degree of every bin bounds a candidate's KS distance from below; candidates are scanned in the order
+    of that bound, ``at_once`` per pass over the histogram, until no bound is below the best distance. So no candidate
+    is left out unseen, and the driver holds the bins and ``at_once`` candidates only.
     """
-    tail = _upper((math.log(xmin - 0.5) - mu) / sigma)[0]
-    if tail < 1e-200:
-        return np.full(len(k), -np.inf)
-    mass = _upper((np.log(k - 0.5) - mu) / sigma) - _upper((np.log(k + 0.5) - mu) / sigma)
-    return np.log(np.maximum(mass, 1e-300)) - math.log(tail)
+    spark = hist.sparkSession
+    # Executors need not have this package installed: ship the helpers with the functions.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    table = materialize(tails(hist), "degree-tails")
+    schema = "alpha double, xmin bigint, ks double, n_tail bigint"
+    top = table.agg(F.max("degree")).first()[0]
+    first = table.groupBy("bin").agg(F.min(F.struct("degree", "n", "count")).alias("f")).select("f.*") \
+        .orderBy("degree").collect()
+    marks = tuple(np.array([r[x] for r in first], float) for x in ("degree", "n", "count"))
+
+    def bound(batches):
+        for pdf in batches:
+            alpha = best_alphas(pdf["count"], pdf["log_sum"], pdf["degree"]) if len(pdf) else []
+            low = []
+            for k, total, a in zip(pdf["degree"], pdf["count"], alpha):
+                seen = marks[0] >= k
+                low.append(float(distances(*(m[seen] for m in marks), k, total, a).max()) if seen.any() else 0.0)
+            yield pd.DataFrame({"xmin": pdf["degree"], "n_tail": pdf["count"], "alpha": alpha, "low": low})
+
+    starts = materialize(table.filter(F.col("degree") < (top or 0)).mapInPandas(
+        bound, "xmin bigint, n_tail bigint, alpha double, low double"), "degree-starts")
+    best, seen = None, (-1.0, -1)
+    while True:
+        after = (F.col("low") > seen[0]) | ((F.col("low") == seen[0]) & (F.col("xmin") > seen[1]))
+        some = starts.filter(after).orderBy("low", "xmin").limit(at_once).collect()
+        some = [r for r in some if best is None or r["low"] <= best[0]]
+        if not some:
+            break
+        seen = (some[-1]["low"], some[-1]["xmin"])
+        tried = [(r["xmin"], r["n_tail"], r["alpha"]) for r in some]
+
+        def scan(batches, tried=tried):
+            for pdf in batches:
+                out = []
+                for k, total, a in tried:
+                    part = pdf[pdf["degree"] >= k]
+                    if len(part):
+                        out.append((k, float(distances(part["degree"], part["n"], part["count"], k, total, a).max())))
+                yield pd.DataFrame(out, columns=["xmin", "ks"])
+
+        exact = {r["xmin"]: r["ks"] for r in table.mapInPandas(scan, "xmin bigint, ks double")
+                 .groupBy("xmin").agg(F.max("ks").alias("ks")).collect()}
+        best = min([(exact[k], k, a, total) for k, total, a in tried] + ([best] if best else []))
+    return spark.createDataFrame([(best[2], best[1], best[0], best[3])] if best else [], schema)
+
+
+def log_upper(z):
+    """Logarithm of the upper tail of the standard normal, for any z."""
+    z = np.asarray(z, float)
+    near = np.array([math.log(0.5 * math.erfc(x / math.sqrt(2))) if x < 25 else 0.0 for x in z.ravel()]).reshape(z.shape)
+    far = np.maximum(z, 25.0)
+    series = -far ** 2 / 2 - np.log(far * math.sqrt(2 * math.pi)) + np.log1p(-1 / far ** 2 + 3 / far ** 4)
+    return np.where(z < 25, near, series)
+
+
+def lognormal_logpmf(k, mu: float, sigma: float, xmin: float):
+    """Log of the log-normal mass of [k - 1/2, k + 1/2], conditioned on k >= xmin."""
+    k = np.asarray(k, float)
+    low, high = (log_upper((np.log(k + d) - mu) / sigma) for d in (-0.5, 0.5))
+    ratio = np.minimum(np.exp(high - low), 1 - 1e-16)
+    return low + np.log1p(-ratio) - log_upper(np.array([(math.log(xmin - 0.5) - mu) / sigma]))[0]
 
 
 def compare_lognormal(hist: DataFrame, alpha: float, xmin: int) -> dict:
     """Log-likelihood ratio of power law over log-normal on the tail, its p and a verdict.
 
-    The log-normal parameters are refined over shrinking grids of the histogram likelihood.
+    The log-normal parameters are refined over shrinking grids; every grid is one pass over the histogram, of which a
+    sum per grid point comes back. A grid whose best point is at its edge is moved there without shrinking.
     """
-    rows = sorted((r["degree"], r["n"]) for r in hist.filter(F.col("degree") >= xmin).collect())
-    k = np.array([r[0] for r in rows], float)
-    c = np.array([r[1] for r in rows], float)
-    mu0 = float((c * np.log(k)).sum() / c.sum())
-    s0 = max(float(np.sqrt((c * (np.log(k) - mu0) ** 2).sum() / c.sum())), 0.1)
-    best, span_m, span_s = (mu0, s0), 6 * s0 + 6, 0.95
-    for _ in range(9):
-        mus = np.linspace(best[0] - span_m, best[0] + span_m, 9)
-        sigmas = best[1] * np.linspace(1 - span_s, 1 + 2 * span_s, 9)
-        scored = [(float((c * _lognormal_logpmf(k, m, s, xmin)).sum()), m, s)
-                  for m in mus for s in sigmas if s > 1e-3]
-        _, m, s = max(scored)
-        best, span_m, span_s = (m, s), span_m * 0.5, span_s * 0.6
-    diff = (-alpha * np.log(k) - np.log(zeta_tail(alpha, xmin))) - _lognormal_logpmf(k, *best, xmin)
-    n, ratio = float(c.sum()), float((c * diff).sum())
-    var = float((c * (diff - ratio / n) ** 2).sum() / n)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    tail = materialize(hist.filter(F.col("degree") >= xmin).select("degree", "n"), "degree-tail")
+    log = F.log("degree")
+    n, mean, square = tail.agg(F.sum("n").cast("double"), (F.sum(F.col("n") * log) / F.sum("n")),
+                               (F.sum(F.col("n") * log * log) / F.sum("n"))).first()
+    best, span = (mean, max(math.sqrt(max(square - mean ** 2, 0.0)), 0.1)), (3.0, 1.0)
+
+    def sums(points, power_law=False):
+        """Per point: sums over the tail of d and d^2, where d is the log mass or its distance to the power law's."""
+        def add(batches):
+            for pdf in batches:
+                k, c = pdf["degree"].to_numpy(float), pdf["n"].to_numpy(float)
+                out = []
+                for at, (mu, sigma) in enumerate(points):
+                    d = lognormal_logpmf(k, mu, sigma, xmin)
+                    d = -alpha * np.log(k) - log_zeta(alpha, xmin) - d if power_law else d
+                    out.append((at, float((c * d).sum()), float((c * d * d).sum())))
+                yield pd.DataFrame(out, columns=["at", "one", "two"])
+
+        return {r["at"]: (r["one"], r["two"]) for r in tail.mapInPandas(add, "at int, one double, two double")
+                .groupBy("at").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).collect()}
+
+    rounds = 0
+    while rounds < 12 and span[0] > 1e-5:
+        shift = np.linspace(-1, 1, 7)
+        points = [(best[0] + span[0] * best[1] * a, best[1] * math.exp(span[1] * b)) for a in shift for b in shift]
+        found = sums(points)
+        at = max(found, key=lambda x: found[x][0])
+        best, rounds = points[at], rounds + 1
+        if at // 7 in (1, 2, 3, 4, 5) and at % 7 in (1, 2, 3, 4, 5):
+            span = (span[0] * 0.4, span[1] * 0.4)
+    ratio, squares = sums([best], power_law=True)[0]
+    var = squares / n - (ratio / n) ** 2
     p = math.erfc(abs(ratio) / math.sqrt(2 * n * var)) if var > 0 else 1.0
     verdict = "inconclusive"
     if p < 0.05:
@@ -184,6 +262,7 @@ def compare_lognormal(hist: DataFrame, alpha: float, xmin: int) -> dict:
 
 def fit_verdict(hist: DataFrame) -> DataFrame:
     """One row ``alpha, xmin, ks, n_tail, ratio, p, verdict``."""
+    hist = materialize(hist, "degree-histogram")
     fit = power_law_fit(hist).first()
     schema = "alpha double, xmin bigint, ks double, n_tail bigint, ratio double, p double, verdict string"
     if fit is None:

@@ -209,9 +209,34 @@ def test_power_law_recovers_gamma(spark):
     assert dstats.compare_lognormal(dstats.histogram(flat), 1.5, 5)["verdict"] == "log_normal"
 
 
+def test_fit_is_the_best_of_all_starts(spark):
+    """Every start tried one by one, with plain sums."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    k = np.unique(np.concatenate((np.arange(1, 40), rng.integers(40, 5000, 60))))
+    n = np.maximum(1, (20000 * k ** -2.1 * rng.uniform(0.7, 1.3, len(k))).astype(int))
+    hist = spark.createDataFrame([(int(a), int(b)) for a, b in zip(k, n)], "degree bigint, n bigint").repartition(3)
+    tried = []
+    for i in range(len(k) - 1):
+        kk, nn = k[i:].astype(float), n[i:].astype(float)
+        a = float(dstats.best_alphas([nn.sum()], [(nn * np.log(kk)).sum()], [kk[0]])[0])
+        grid = [float(-nn.sum() * np.log(dstats.zeta_tail(x, kk[0])) - x * (nn * np.log(kk)).sum()) for x in (a - .01, a, a + .01)]
+        assert grid[1] >= max(grid)
+        seen = np.cumsum(nn) / nn.sum()
+        theory = 1 - np.array([dstats.zeta_tail(a, x + 1) for x in kk]) / dstats.zeta_tail(a, kk[0])
+        below = 1 - np.array([dstats.zeta_tail(a, x) for x in kk]) / dstats.zeta_tail(a, kk[0])
+        tried.append((max(np.abs(seen - theory).max(), np.abs(np.concatenate(([0], seen[:-1])) - below).max()), int(kk[0]), a, int(nn.sum())))
+    want = min(tried)
+    got = dstats.power_law_fit(hist, at_once=4).first()
+    assert (got["xmin"], got["n_tail"]) == (want[1], want[3])
+    assert got["ks"] == pytest.approx(want[0], abs=1e-9) and got["alpha"] == pytest.approx(want[2], abs=1e-6)
+
+
 def test_zeta_tail():
     assert abs(dstats.zeta_tail(2.0, 1.0) - math.pi ** 2 / 6) < 1e-11
     assert abs(dstats.zeta_tail(4.0, 1.0) - math.pi ** 4 / 90) < 1e-12
+    assert abs(float(dstats.log_zeta(2.5, 7.0)) - math.log(dstats.zeta_tail(2.5, 7.0))) < 1e-12
+    assert abs(float(dstats.log_zeta(900.0, 50.0)) + 900 * math.log(50)) < 1e-6
     assert abs(dstats.zeta_tail(2.5, 3.0) - (dstats.zeta_tail(2.5, 1.0) - 1 - 2 ** -2.5)) < 1e-11
 
 
