@@ -44,8 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no earlier run has used.
+
+    All paths of an application lie in one folder named by its id, so its intermediates can be dropped as a whole.
+    """
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):

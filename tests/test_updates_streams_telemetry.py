@@ -138,3 +138,26 @@ def test_assignment_stream_is_idempotent(spark, food, tmp_path):
 def test_known_paid_before(spark, pay):
     r = spark.createDataFrame([("a", "V1", "V2"), ("b", "V2", "V1")], "payment string, vpa string, target string")
     assert rows(fraud.paid_before(pay, r)) == [("a", True), ("b", False)]
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster(spark):
+    from hopframe import session
+
+    class Settings:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Settings(**values)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session(**{"spark.master": "yarn"}))
+    with pytest.raises(ValueError):
+        session.shared_dir(Session(**{"spark.master": "local-cluster[3,2,1000]"}))
+    assert session.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "s3a://b/c/"})) == "s3a://b/c"
+    path = session.fresh_path(spark, "x")
+    assert spark.sparkContext.applicationId in path and path != session.fresh_path(spark, "x")
