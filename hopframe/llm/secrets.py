@@ -31,6 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+THRESHOLD = 3.0  # of the mean log-likelihood ratio per character
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0 stands for the start of a string
 STATES = len(ALPHABET) + 1
@@ -164,7 +165,7 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", threshold=0.5) -> DataFrame:
+def scan(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", threshold=THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, comma-joined)."""
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)  # STATES^2 numbers, 38 kB
 

@@ -145,11 +145,11 @@ def test_markov_models_tell_random_from_ordinary(spark):
     model = secrets.train(spark.createDataFrame(words, "run string, random boolean"))
     rng = random.Random(5)
     keys = ["".join(rng.choices(secrets.ALPHABET[:62], k=32)) for _ in range(200)]
-    assert sum(model.score(k) >= 0.5 for k in keys) >= 190
-    assert sum(model.score(w) >= 0.5 for w, _ in words) == 0
+    assert sum(model.score(k) >= secrets.THRESHOLD for k in keys) >= 190
+    assert sum(model.score(w) >= 0 for w, _ in words) == 0
     t = f"call {words[0][0]} with {keys[0]} now"
     start = t.index(keys[0])
-    assert secrets.random_spans(t, model, [], 0.5) == [(start, 3, start + 32)]
+    assert secrets.random_spans(t, model, [], secrets.THRESHOLD) == [(start, 3, start + 32)]
 
 
 # ---- personal data --------------------------------------------------------------------------
