@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.model import PropertyGraph, union_all
-from hopframe.operators.skew import salted_join
+from hopframe.operators.skew import first_per, salted_join
 
 Predicate = Callable[[Column], Column]
 
@@ -124,8 +124,7 @@ class Frontier:
             # The cap keeps the first edges of a vertex by id, the same for every traverser,
             # so it is applied to the adjacency before the join: a hub contributes at most
             # ``cap`` rows per traverser.
-            w = Window.partitionBy("_key").orderBy("eid", "_side")
-            rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
+            rows = first_per(rows, "_key", [F.col("eid"), F.col("_side")], cap, "eid").drop("_rn")
         keep = self._carry()
         left = self.df.select(*keep, F.col("cur").alias("_at"))
         if self.graph.supernodes is not None:
@@ -283,8 +282,7 @@ class Frontier:
         return replace(self, df=self.df.drop(*drop).dropDuplicates(["seed", "cur"]))
 
     def limit_per_seed(self, n: int, *order: Column) -> Frontier:
-        w = Window.partitionBy("seed").orderBy(*(order or (F.col("cur"),)))
-        df = self.df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+        df = first_per(self.df, "seed", list(order) or [F.col("cur")], n, "cur").drop("_rn")
         return replace(self, df=df)
 
     # ---- projections ----------------------------------------------------

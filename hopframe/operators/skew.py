@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,19 @@ def split_copies(counted: DataFrame, count_col: str, index_col: str,
                 F.col("_chunk") * chunk + 1,
                 F.least(c, (F.col("_chunk") + 1) * chunk))).alias(index_col)))
     return few.unionByName(many)
+
+
+def first_per(df: DataFrame, key: str, order: list[Column], k: int, spread_by: str, rank: str = "_rn",
+              slices: int = 64) -> DataFrame:
+    """The first ``k`` rows of every key, numbered from 1 in ``rank``.
+
+    Up to a threshold Spark drops the rest before the shuffle; beyond it, the rows of a key are first ranked in
+    ``slices`` by a hash of ``spread_by``, so that a key with very many rows is no single task. Both give the same rows.
+    """
+    at_once = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > at_once:
+        part = Window.partitionBy(key, "_slice").orderBy(*order)
+        df = (df.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(slices)))
+              .withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= k).drop("_slice", "_part"))
+    whole = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)

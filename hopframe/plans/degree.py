@@ -41,9 +41,14 @@ def stats(hist: DataFrame) -> DataFrame:
                     F.percentile(d, 0.5, n).alias("median_degree"))
 
 
+# Logarithmic bins cover degrees above LOG_FROM with LOG_EDGES edges.
+LOG_FROM, LOG_EDGES = 10, 40
+
+
 def log_edges(max_degree: int) -> list[float]:
-    """Distinct rounded edges, evenly spaced in log10 between 10 and the largest degree."""
-    return sorted(set(np.round(np.logspace(1, math.log10(max_degree), num=40)).tolist()))
+    """Distinct rounded edges, evenly spaced in log10 between LOG_FROM and the largest degree."""
+    step = math.log10(max_degree / LOG_FROM) / (LOG_EDGES - 1)
+    return sorted({float(np.round(LOG_FROM * 10 ** (step * i))) for i in range(LOG_EDGES)})
 
 
 def linear_edges(low: int, high: int, bins: int = 20) -> list[float]:
@@ -57,13 +62,13 @@ def binned(hist: DataFrame, kind: str = "log", bins: int = 20) -> DataFrame:
     """
     top = hist.agg(F.max("degree").alias("hi"), F.min("degree").alias("lo")).first()
     schema = "bin_start double, bin_end double, vertices bigint, percent double"
-    if top["hi"] is None or (kind == "log" and top["hi"] <= 10):
+    if top["hi"] is None or (kind == "log" and top["hi"] <= LOG_FROM):
         return hist.sparkSession.createDataFrame([], schema)
     edges = log_edges(top["hi"]) if kind == "log" else linear_edges(top["lo"], top["hi"], bins)
     arr = F.array(*[F.lit(float(e)) for e in edges])
     d = F.col("degree").cast("double")
     rank = F.least(F.size(F.filter(arr, lambda e: e <= d)), F.lit(len(edges) - 1))
-    chosen = hist.filter(F.col("degree") > 10) if kind == "log" else hist
+    chosen = hist.filter(F.col("degree") > LOG_FROM) if kind == "log" else hist
     total = hist.agg(F.sum("n").alias("t")).scalar()
     return (chosen.groupBy(rank.alias("_b")).agg(F.sum("n").alias("vertices"))
             .select(F.element_at(arr, F.col("_b")).alias("bin_start"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.functions.rng import uniform
 from hopframe.functions.scalars import micros, or_unknown
 from hopframe.model import PropertyGraph
 from hopframe.operators.frontier import Frontier
+from hopframe.operators.skew import first_per
 
 def order_items(g: PropertyGraph) -> DataFrame:
     """``order_id, status, item, qty, price``: one row per CONTAINS edge, status attached.
@@ -48,16 +49,14 @@ def latest_order(g: PropertyGraph) -> DataFrame:
 
 def recent_orders(g: PropertyGraph, k: int = 5) -> DataFrame:
     """The ``k`` newest orders per customer with their rank."""
-    w = Window.partitionBy("customer").orderBy(F.col("order_date").desc(), F.col("order_id"))
-    return (_customer_orders(g).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    order = [F.col("order_date").desc(), F.col("order_id")]
+    return (first_per(_customer_orders(g), "customer", order, k, "order_id", "rank")
             .select("customer", "rank", "order_id", "order_date", "status"))
 
 
 def restaurant_ratings(g: PropertyGraph, k: int = 10) -> DataFrame:
     """``restaurant, eid, rating, comment``: the first ``k`` ratings by edge id."""
-    w = Window.partitionBy("dst").orderBy("eid")
-    return (g.edge_view(["RATED"], ["rating", "comment"]).withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= k)
+    return (first_per(g.edge_view(["RATED"], ["rating", "comment"]), "dst", [F.col("eid")], k, "eid")
             .select(F.col("dst").alias("restaurant"), "eid", "rating", "comment"))
 
 
@@ -67,8 +66,7 @@ def random_ids(g: PropertyGraph, labels: list[str], n: int, seed: int = 0, algo:
     Each map task keeps its ``n`` smallest hashes per label before the shuffle.
     """
     ids = g.vertex_view(labels, ()).withColumn("_u", uniform(seed, "sample", F.col("id"), algo=algo))
-    w = Window.partitionBy("label").orderBy("_u", "id")
-    return (ids.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).select("label", "id"))
+    return first_per(ids, "label", [F.col("_u"), F.col("id")], n, "id").select("label", "id")
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0, algo: str = "xxhash64") -> DataFrame:

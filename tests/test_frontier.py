@@ -226,3 +226,15 @@ def test_pull_splits_a_hub(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_first_rows_of_a_hub_for_any_k(spark):
+    df = spark.range(0, 20_000, 1, 6).select(
+        F.when(F.col("id") % 4 > 0, F.lit("hub")).otherwise(F.concat(F.lit("v"), F.col("id") % 50)).alias("key"),
+        (F.col("id") * 7919 % 20_011).alias("o"), "id")
+    for k in (3, 1500):
+        got = rows(skew.first_per(df, "key", [F.col("o").desc(), F.col("id")], k, "id"), "key", "_rn", "id")
+        by_key = {}
+        for key, o, i in df.collect():
+            by_key.setdefault(key, []).append((-o, i))
+        assert got == sorted((key, n + 1, i) for key, v in by_key.items() for n, (_, i) in enumerate(sorted(v)[:k]))
