@@ -28,6 +28,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def sample_rows(df: DataFrame, key: str, salt: int, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``key``, the same in every run.
+
+    Rows far above the expected limit are dropped first, so about twice ``most`` rows are sorted whatever the size.
+    """
+    whole_range = 1 << 40
+    share = min(1.0, (2 * most + 100) / max(df.count(), 1))
+    place = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(whole_range))
+    return df.withColumn("_place", place).where(F.col("_place") < int(share * whole_range)) \
+        .orderBy("_place", key).limit(most).drop("_place")
+
+
 def map_texts(df: DataFrame, text_col: str, added: str, compute: Callable[[list[str]], dict], rows=256,
               keep_text=False, per_task=False) -> DataFrame:
     """Adds columns (DDL ``added``) that ``compute`` makes from a list of texts, in Arrow batches of at most ``rows``.

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import map_texts, whole
+from hopframe.llm.common import map_texts, sample_rows, whole
 
 # The patterns, their least lengths and their order in the contract.
 KINDS = ("assign", "access", "hex", "random")
@@ -103,8 +103,8 @@ def labelled_samples(docs: DataFrame, id_col="doc_id", text_col="text", max_docu
     The sample is the ``max_documents`` rows with the smallest hash of their id, so it repeats and its size does not
     grow with the corpus.
     """
-    chosen = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .withColumn("order", F.xxhash64(F.lit(29), "doc_id")).orderBy("order").limit(max_documents)
+    chosen = sample_rows(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")), "doc_id", 29,
+                         max_documents)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
