@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopframe.llm.common import sample_rows
+
 
 def usable(table: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """(vec_id, v) of the rows that take part."""
@@ -34,7 +36,7 @@ def usable(table: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFra
 
 def choose_pivots(rows: DataFrame, pivots: int, seed=3) -> np.ndarray:
     """Distinct vectors of the rows with the smallest hash of their id; at most ``pivots`` rows reach the driver."""
-    found = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(pivots).collect()
+    found = sample_rows(rows, "vec_id", seed, pivots).collect()
     if not found:
         return np.zeros((0, 0))
     return np.unique(np.array([r["v"] for r in found], dtype=np.float64), axis=0)
