@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import map_texts, whole
+from hopframe.llm.common import map_texts, sample_rows, whole
 
 # Digits that stand for letters, and letters of other scripts that look like Latin ones.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -139,10 +139,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     """(text, toxic) of the labelled rows with the smallest hash of their id, at most ``max_rows``."""
     chosen = labels.where(F.col("toxic").isNotNull()) \
         .select(F.col(id_col).alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")) \
-        .withColumn("order", F.xxhash64(F.lit(17), "doc_id")).orderBy("order", "doc_id", "toxic").limit(max_rows)
+        .distinct()
+    chosen = sample_rows(chosen, "doc_id", 17, max_rows)
     # Bounded: max_rows ids and labels.
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(chosen.drop("order")), "doc_id").select(whole("text").alias("text"), "toxic") \
+        .join(F.broadcast(chosen), "doc_id").select(whole("text").alias("text"), "toxic") \
         .dropDuplicates(["text", "toxic"])
 
 
