@@ -1,9 +1,11 @@
 """Removal of repeated multi-line chunks.
 
-Lines (and, within long lines, sentences) are the units. A rolling hash over the hashes of neighbouring units starts a
-new chunk wherever it hits a residue, so boundaries depend on nearby content only and an inserted line shifts at most
-the chunks around it. Chunks of at least two units that occur more than once anywhere, inside one text included, are
-removed everywhere but at their first place (smallest id), after their bytes were compared with that first place.
+Lines (and, within long lines, sentences) are the units. A chunk is a run of units that counts (see ``chunk_table``) and
+has no shorter run that counts at the same start or at the same end. So chunks depend on their own content only, never
+on the units around a passage, and they overlap: every unit of a repeated passage that counts lies in a chunk which is
+inside that passage. Chunks that occur more than once anywhere, inside one text included, are removed everywhere but at
+their first place (smallest id), after their bytes were compared with that first place. A unit is therefore removed if
+and only if it is part of a run that counts and has occurred at an earlier place.
 
 Only hashes and ranges are grouped over the whole corpus; chunk texts travel for repeated chunks alone. The texts as
 such are shuffled twice: to cut out the repeated chunks for comparison and to apply the removals.
@@ -14,42 +16,63 @@ and gets the same result. Columns beginning with ``_ld_`` are reserved; all othe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import whole
+from hopframe.llm.common import SPACE, whole
 from hopframe.session import materialize
 
-# A unit ends with a line break, or with the end of a sentence and a space.
+# A unit ends with a line break, or with the end of a sentence and a space. The empty rest after the last is none.
 UNIT_END = r"(?<=\n)|(?<=[.!?] )"
-UNITS = f"split(_ld_text, '{UNIT_END}', -1)".replace("\\", "\\\\")
-
-
-def _chunks(units: str, hashes: str, window: int, divisor: int) -> str:
-    """SQL: array of (s, e), ranges of units from s to before e."""
-    rolling = ", ".join(f"{hashes}[i - {k}]" for k in range(window, 0, -1))
-    starts = f"""concat(array(0), filter(CASE WHEN size({units}) > {window} THEN sequence({window}, size({units}) - 1)
-        ELSE CAST(array() AS array<int>) END, i -> pmod(xxhash64({rolling}), {divisor}) = 0))"""
-    return f"""flatten(transform(array({starts}), b -> transform(b,
-        (s, k) -> named_struct('s', s, 'e', coalesce(get(b, k + 1), size({units}))))))"""
-
-
-def chunk_table(docs: DataFrame, id_col="doc_id", text_col="text", window=2, divisor=2, min_units=2,
-                min_chars=60, long_chars=300) -> DataFrame:
-    """One row per chunk that is long enough: _ld_id, _ld_th, s, e, h.
-
-    A chunk counts if it has ``min_units`` units and ``min_chars`` characters, or ``long_chars`` characters.
+UNITS = f"filter(split(_ld_text, '{UNIT_END}', -1), u -> u != '')".replace("\\", "\\\\")
+
+
+def _long_unit(unit: str, min_words: int, min_chars: int, long_chars: int) -> str:
+    """SQL: whether a unit counts as a chunk by itself."""
+    word, space = SPACE[:-1].replace("[", "[^") + "++", SPACE + "+"
+    many = rf"^{SPACE[:-1]}*+(?:{word}{space}){{{min_words - 1}}}{word}".replace("\\", "\\\\")
+    return f"(length({unit}) >= {long_chars} OR (length({unit}) >= {min_chars} AND {unit} rlike '{many}'))"
+
+
+def _chunks(min_units: int, min_chars: int) -> str:
+    """SQL: array of (s, e), ranges of units from s to before e, from the arrays ``lengths`` and ``alone``."""
+    def units(step: int, near: str) -> str:
+        """Units of the shortest run from i on that counts, null if there is none; most are short."""
+        short = " ".join("WHEN {} >= {} THEN {}".format(
+            " + ".join(f"get(lengths, i + {step * k})" for k in range(n)), min_chars, n)
+            for n in range(min_units, min_units + 5))
+        return f"""CASE WHEN get(alone, i) THEN 1 {short} ELSE aggregate({near}, struct(0 AS chars, 0 AS n),
+                (a, x) -> IF(a.chars >= {min_chars} AND a.n >= {min_units}, a, struct(a.chars + x AS chars, a.n + 1 AS n)),
+                a -> IF(a.chars >= {min_chars} AND a.n >= {min_units}, a.n, CAST(NULL AS int))) END"""
+
+    # No unit is empty, so a run of this many units counts.
+    most = max(min_units, min_chars)
+    after = units(1, f"slice(lengths, i + 1, {most})")
+    before = units(-1, f"reverse(slice(lengths, greatest(i - {most - 1}, 0) + 1, least(i + 1, {most})))")
+    # As numbers, since array_distinct compares all pairs of structs.
+    code = 1 << 31
+    return f"""transform(filter(array_distinct(concat(
+        transform(lengths, (x, i) -> i * {code}L + i + ({after})),
+        transform(lengths, (x, i) -> (i + 1 - ({before})) * {code}L + i + 1))), c -> c IS NOT NULL),
+        c -> named_struct('s', CAST(c div {code}L AS int), 'e', CAST(c % {code}L AS int)))"""
+
+
+def chunk_table(docs: DataFrame, id_col="doc_id", text_col="text", min_units=2, min_words=20, min_chars=60,
+                long_chars=300) -> DataFrame:
+    """One row per chunk: _ld_id, _ld_th, s, e, h.
+
+    A run counts if it has ``min_units`` units and ``min_chars`` characters; a unit counts by itself if it has
+    ``min_words`` words and ``min_chars`` characters, or ``long_chars`` characters.
     """
     units = _keyed(docs, id_col, text_col).where(F.length("_ld_text") >= min_chars) \
         .select("_ld_id", "_ld_th", F.expr(UNITS).alias("units"))
-    cut = units.withColumn("hashes", F.expr("transform(units, u -> xxhash64(u))")) \
-        .select("_ld_id", "_ld_th", "units", F.expr(_chunks("units", "hashes", window, divisor)).alias("ranges"))
-    texts = cut.select("_ld_id", "_ld_th", F.expr(
-        "transform(ranges, r -> named_struct('s', r.s, 'e', r.e, 't', array_join(slice(units, r.s + 1, r.e - r.s), '')))"
-    ).alias("texts"))
-    return texts.select("_ld_id", "_ld_th", F.inline(F.expr(
-        f"""transform(filter(texts, c -> (c.e - c.s >= {min_units} AND length(c.t) >= {min_chars})
-            OR length(c.t) >= {long_chars}), c -> named_struct('s', c.s, 'e', c.e, 'h', xxhash64(c.t)))""")))
+    measured = units.select(
+        "_ld_id", "_ld_th", F.expr("transform(units, u -> xxhash64(u))").alias("hashes"),
+        F.expr("transform(units, u -> length(u))").alias("lengths"),
+        F.expr(f"transform(units, u -> {_long_unit('u', min_words, min_chars, long_chars)})").alias("alone"))
+    ranges = measured.select("_ld_id", "_ld_th", "hashes", F.expr(_chunks(min_units, min_chars)).alias("ranges"))
+    return ranges.select("_ld_id", "_ld_th", F.inline(F.expr("""transform(ranges, r -> named_struct(
+        's', r.s, 'e', r.e, 'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s))))""")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,32 +90,48 @@ def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", **rules)
     flagged = chunks.alias("c").join(repeated.alias("r"), "h").select(
         "_ld_id", "_ld_th", "s", "e", "h",
         F.expr("first._ld_id <=> _ld_id AND first._ld_th = _ld_th AND first.s = s").alias("is_first"))
+    # Among later places of a document, every second one is left out if its neighbours meet, so nearly every unit is
+    # compared once. First places are all needed, since others may be compared with any of them.
+    by_place = Window.partitionBy("_ld_id", "_ld_th", "is_first").orderBy("s", "e")
+    flagged = flagged.distinct().withColumn("place", F.row_number().over(by_place)) \
+        .withColumn("meet", F.lag("e").over(by_place) >= F.lead("s").over(by_place)) \
+        .where("is_first OR place % 2 = 1 OR NOT coalesce(meet, false)")
     per_doc = materialize(flagged.groupBy("_ld_id", "_ld_th").agg(
-        F.collect_set(F.struct("s", "e", "h", "is_first")).alias("flagged")), "chunks-flagged")
+        F.collect_list(F.struct("s", "e", "h", "is_first")).alias("flagged")), "chunks-flagged")
     texts = _keyed(docs, id_col, text_col).select("_ld_id", "_ld_th", "_ld_text").alias("d") \
         .join(per_doc.alias("f"), F.expr("d._ld_id <=> f._ld_id AND d._ld_th = f._ld_th")) \
         .select("d._ld_id", "d._ld_th", F.expr(UNITS).alias("units"), "flagged") \
         .select("_ld_id", "_ld_th", F.inline(F.expr("""transform(flagged, c -> named_struct('s', c.s, 'e', c.e,
             'h', c.h, 'is_first', c.is_first, 't', array_join(slice(units, c.s + 1, c.e - c.s), '')))""")))
-    texts = materialize(texts, "chunks-texts")
+    texts = materialize(texts, "chunks-texts", compression="zstd")
     # Repeated rows of one document give the same first place more than once.
     first = texts.where("is_first").groupBy("h").agg(F.first("t").alias("t"))
-    first = materialize(first, "chunks-first")
+    first = materialize(first, "chunks-first", compression="zstd")
     return texts.where("NOT is_first").alias("c").join(first.alias("f"), F.expr("c.h = f.h AND c.t = f.t")) \
         .select("_ld_id", "_ld_th", "s", "e")
 
 
+def _joined_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges of a document that overlap or touch, as one."""
+    key = Window.partitionBy("_ld_id", "_ld_th").orderBy("s", "e")
+    fresh = F.coalesce(F.col("s") > F.max("e").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return ranges.distinct().withColumn("_ld_fresh", fresh.cast("int")) \
+        .withColumn("_ld_range", F.sum("_ld_fresh").over(key.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("_ld_id", "_ld_th", "_ld_range").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+
+
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", **rules) -> DataFrame:
     """All columns of ``docs`` with repeated chunks cut from the text, plus _ld_removed, the characters removed."""
-    removed = repeated_chunks(docs, id_col, text_col, **rules).groupBy("_ld_id", "_ld_th") \
-        .agg(F.collect_set(F.struct("s", "e")).alias("_ld_cut"))
+    removed = _joined_ranges(repeated_chunks(docs, id_col, text_col, **rules)).groupBy("_ld_id", "_ld_th") \
+        .agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_ld_cut"))
     removed = materialize(removed, "chunks-removed")
     joined = _keyed(docs, id_col, text_col).alias("d").join(
-        removed.alias("r"), F.expr("d._ld_id <=> r._ld_id AND d._ld_th = r._ld_th"), "left")
-    # Ranges do not overlap, so each unit is looked up in the list of cut units.
-    left = F.expr(f"""CASE WHEN _ld_cut IS NULL THEN d.`{text_col}` ELSE array_join(transform(filter(
-        transform({UNITS}, (u, i) -> named_struct('u', u, 'i', i)),
-        x -> NOT exists(_ld_cut, c -> x.i >= c.s AND x.i < c.e)), x -> x.u), '') END""")
+        removed.alias("r"), F.expr("d._ld_id <=> r._ld_id AND d._ld_th = r._ld_th"), "left") \
+        .withColumn("_ld_units", F.expr(f"CASE WHEN _ld_cut IS NOT NULL THEN {UNITS} END"))
+    # What lies between two ranges stays.
+    left = F.expr(f"""CASE WHEN _ld_cut IS NULL THEN d.`{text_col}` ELSE array_join(flatten(transform(
+        sequence(0, size(_ld_cut)), k -> slice(_ld_units, coalesce(get(_ld_cut, k - 1).e, 0) + 1,
+            coalesce(get(_ld_cut, k).s, size(_ld_units)) - coalesce(get(_ld_cut, k - 1).e, 0)))), '') END""")
     out = [left.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
     return joined.select(*out, (F.length("_ld_text") - F.length(left)).alias("_ld_loss")) \
         .withColumn("_ld_removed", F.coalesce("_ld_loss", F.lit(0)).cast("long")).drop("_ld_loss")

@@ -218,6 +218,58 @@ def test_repeated_chunks_go_but_the_first(spark, nasty, empty):
     assert lines.deduplicate(empty).count() == 0
 
 
+def slow_dedup(rows):
+    """Units that lie in a run that counts and has occurred before go; all runs are tried."""
+    def counts(run):
+        t = "".join(run)
+        return len(t) >= 300 or len(t) >= 60 and (len(run) > 1 or len(re.findall(r"[^\x20\x09-\x0D]+", t)) >= 20)
+
+    cut = {i: [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u] for i, t in rows}
+    first, gone = {}, set()
+    for i, units in sorted(cut.items()):
+        for s in range(len(units)):
+            for e in range(s + 1, len(units) + 1):
+                run = tuple(units[s:e])
+                if counts(run) and first.setdefault(run, (i, s)) != (i, s):
+                    gone |= {(i, k) for k in range(s, e)}
+    return {i: "".join(u for k, u in enumerate(units) if (i, k) not in gone) for i, units in cut.items()}
+
+
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(12)
+    passages = []
+    for k in range(40):
+        w = prose(7000 + k, rng.randint(50, 120)).split()
+        for _ in range(k % 5):  # none: a single sentence
+            w[rng.randrange(len(w) - 1)] += rng.choice([".", "!", "\n"])
+        passages.append(" ".join(w).replace("\n ", "\n") + ".")
+    own = {i: [f"{prose(8000 + 9 * i + k, rng.randint(3, 30))}." for k in range(6)] for i in range(100)}
+    places = collections.defaultdict(list)
+    for k, passage in enumerate(passages):
+        for i in rng.sample(range(100), 5):
+            places[i].append(k)
+    docs = {i: "\n".join(x for k, line in enumerate(own[i]) for x in [line, *[passages[p] for p in places[i][k::6]]]) + "\n"
+            for i in own}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()}
+    for k, passage in enumerate(passages):
+        assert [i for i in sorted(docs) if passage in got[i]] == [min(i for i in docs if k in places[i])]
+    for i in docs:
+        later = [passages[k] + "\n" for k in places[i] if min(j for j in docs if k in places[j]) != i]
+        assert got[i] == "".join(re.split("|".join(map(re.escape, later)), docs[i]) if later else docs[i])
+
+
+def test_line_dedup_is_exact(spark):
+    rng = random.Random(13)
+    pool = [prose(k, rng.choice([1, 2, 5, 9, 15, 19, 20, 25, 70])) for k in range(60)] + ["", "", "x"]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([". ", "\n", "! ", " "]) for _ in range(rng.randint(0, 25))))
+            for i in range(120)] + [(500, "\n" * 200), (501, "a\n" * 90), (502, "é" * 300), (503, "é" * 300)]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, texts = slow_dedup(rows), dict(rows)
+    same([(r["doc_id"], r["text"], r["_ld_removed"]) for r in got],
+         [(i, t, len(texts[i]) - len(t)) for i, t in want.items()])
+
+
 # ---- mixing ---------------------------------------------------------------------------------
 
 def slow_targets(sizes):
