@@ -338,6 +338,17 @@ def test_sentencepiece_parity_and_round_trip(spark, nasty, empty):
     assert sentencepiece.encode(empty, data).count() == 0
 
 
+def test_every_text_is_checked_for_parity(spark):
+    rows = [(i, prose(i % 40, 12)) for i in range(60)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.tokenize(spark, df, "").collect()
+    assert len(got) == len(rows) and all(r["parity"] is True for r in got)
+    codec = sentencepiece.Codec(sentencepiece.load(PIECES))
+    other = [codec.raw.token_to_id(c) for c in "the"]  # decodes to the same text
+    assert codec.decode(other) == "the"
+    assert not codec.parity("the", other, 1)
+
+
 def field(number, value):
     def varint(x):
         out = b""
