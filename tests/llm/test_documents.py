@@ -115,6 +115,25 @@ def test_line_frequency_rejects_depleted_documents(spark):
     assert all(got[i] == (False, 12) for i in range(30, 35)) and all(got[i] == (True, 0) for i in range(35, 38))
 
 
+def test_frequent_lines_are_cut_from_texts(spark, nasty):
+    common = prose(90, 12)
+    rows = [(i, f"{common}\n\n{prose(i + 100, 40)}\n {common.upper()} ", "h", i) for i in range(25)]
+    rows += [(24, rows[24][1], "h", 99), (50, f"{common}\n{prose(1, 9)}", None, 50), (51, None, "h", 51)]
+    rows += [(0, rows[0][1], "h", 98)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    got = {r["other"]: r for r in quality.remove_lines(df).collect()}
+    assert sorted(got) == sorted(r[3] for r in rows)
+    assert all(got[i]["text"] == f"\n{prose(100 + min(i, 24), 40)}" for i in (*range(1, 25), 99))
+    # Of the two equal rows of document 0 one keeps the lines.
+    assert sorted([got[0]["text"], got[98]["text"]]) == sorted([rows[0][1], f"\n{prose(100, 40)}"])
+    assert got[50]["text"] == rows[26][1] and got[51]["text"] is None
+    assert all(r["_ql_removed_words"] == len((rows[0][1] if r["other"] == 98 else dict((x[3], x[1] or "") for x in rows)[r["other"]]).split())
+               - len((r["text"] or "").split()) for r in got.values())
+    same([(r["doc_id"], r["n_removed_words"], r["kept"]) for r in quality.apply_rules(df).collect()],
+         [(r["doc_id"], r["_ql_removed_words"], r["_ql_kept"]) for r in got.values()])
+    same([(r["doc_id"], r["text"]) for r in quality.remove_lines(nasty).collect()], [(i, t) for i, t, *_ in NASTY])
+
+
 # ---- secrets --------------------------------------------------------------------------------
 
 def slow_spans(t):
