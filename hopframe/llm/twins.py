@@ -162,8 +162,115 @@ select p.doc_id, p.size, source_size, target,
 from placed p join runs r on p.source is not distinct from r.source and p.shard = r.shard"""
 
 
+# One row with the 256 steps of the checksum, made by its rule.
+CRC_STEPS = """crc_steps as (
+  select list_transform(range(0, 256), lambda i: list_reduce(
+    range(0, 8), lambda c, k: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), i)) as steps)"""
+
+
+def crc32(hexes: str) -> str:
+    """Unsigned crc32 of bytes given as hex digits, with ``steps`` in scope."""
+    return f"""xor(list_reduce(
+      list_transform(range(0, length({hexes}) // 2), lambda i: ('0x' || substr({hexes}, (2 * i + 1)::bigint, 2))::bigint),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+def resampling(buckets=10_000, seed=2024, percent=10, min_words=20) -> str:
+    def features(source: str) -> str:
+        return f"""regexp_extract_all(translate(coalesce({source}, ''), '{UPPER}', '{LOWER}'), '{LICENSE_WORD}')"""
+
+    return rf"""
+with {CRC_STEPS},
+d as (select row_number() over () as rid, doc_id, {features('text')} as words from documents),
+w as (select rid, unnest(words) as w from d),
+b as (select unnest({features('text')}) as w from benchmark),
+vocabulary as (select w, hex(encode(w)) as x from (select w from w union select w from b)),
+codes as (select w, {crc32('x')} % {buckets} as bucket from vocabulary, crc_steps),
+s as (select bucket, count(*) as s from w join codes using (w) group by bucket),
+t as (select bucket, count(*) as t from b join codes using (w) group by bucket),
+counts as (
+  select n.bucket, coalesce(s, 0)::double as s, coalesce(t, 0)::double as t
+  from range(0, {buckets}) n(bucket) left join s using (bucket) left join t using (bucket)),
+gains as (
+  select bucket, floor(1000 * ln((t + 1) * ((sum(s) over ()) + {buckets})
+                                 / ((s + 1) * ((sum(t) over ()) + {buckets}))))::bigint as gain from counts),
+weights as (
+  select rid, floor(sum(gain)::double / count(*))::bigint as weight
+  from w join codes using (w) join gains using (bucket) group by rid),
+scored as (
+  select rid, doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint
+                                                + 0.5::double) / 4294967296)))::bigint as score
+  from d left join weights using (rid)),
+ranked as (
+  select rid, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as n
+  from scored where n_features >= {min_words})
+select doc_id, n_features, weight, score, case when place <= {percent} * n // 100 then place end as rank
+from scored left join ranked using (rid)"""
+
+
+def merkle() -> str:
+    def enc(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(map(enc, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+    return rf"""
+with recursive {CRC_STEPS},
+d as (
+  select doc_id, lang, {leaf('n_chars')} as leaf,
+         case when {crc32('hex(encode(doc_id::varchar))')} % 7 = 0 then {leaf('(n_chars + 1)')} end as tampered
+  from documents, crc_steps),
+p as (
+  select *, row_number() over () as rid, dense_rank() over (order by lang nulls first) - 1 as tree,
+         row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as spot from d),
+up as (
+  select tree, 0 as level, spot, leaf as node, count(*) over (partition by tree) as n from p
+  union all
+  select tree, level + 1, spot // 2, sha256(string_agg(node, '' order by spot)), (n + 1) // 2
+  from up where n > 1 group by tree, level, spot // 2, n),
+subroots as (select tree, node as subroot, max(level) over (partition by tree) as height from up where n = 1),
+top as (
+  select 0 as level, tree as spot, subroot as node, count(*) over () as n from subroots
+  union all
+  select level + 1, spot // 2, sha256(string_agg(node, '' order by spot)), (n + 1) // 2
+  from top where n > 1 group by level, spot // 2, n),
+top_places as (
+  select tree, level, tree // (1::bigint << level) as spot from subroots, (select distinct level from top where n > 1)),
+runs as (
+  select tree, level, spot // 2 as parent, coalesce(max(node) filter (spot % 2 = 0), '') as c0,
+         coalesce(max(node) filter (spot % 2 = 1), '') as c1
+  from up where n > 1 group by all
+  union all
+  select t.tree, s.height + t.level, parent, c0, c1
+  from (select level, spot // 2 as parent, coalesce(max(node) filter (spot % 2 = 0), '') as c0,
+               coalesce(max(node) filter (spot % 2 = 1), '') as c1 from top where n > 1 group by all) r
+  join (select s.tree, t.level, t.spot // 2 as parent from subroots s join top_places t using (tree)) t using (level, parent)
+  join subroots s using (tree)),
+steps as (
+  select rid, r.level, case when level_at % 2 = 0 then '' else c0 end as lft, case when level_at % 2 = 0 then c1 else '' end as rgt
+  from (select p.rid, p.tree, l.level,
+               case when l.level < s.height then p.spot // (1::bigint << l.level)
+                    else p.tree // (1::bigint << (l.level - s.height)) end as level_at
+        from p join subroots s using (tree) join (select distinct tree, level from runs) l using (tree)) q
+  join runs r on r.tree = q.tree and r.level = q.level and r.parent = q.level_at // 2),
+proofs as (select rid, sha256(string_agg(lft || rgt, '' order by level)) as proof from steps group by rid),
+folds as (
+  select rid, 0 as level, coalesce(tampered, leaf) as node from p
+  union all
+  select rid, f.level + 1, sha256(lft || node || rgt) from folds f join steps using (rid, level)),
+folded as (select rid, arg_max(node, level) as folded_root from folds group by rid)
+select doc_id, leaf, subroot, t.node as root, coalesce(proof, sha256('')) as proof_sha256, folded_root,
+       folded_root = t.node as verified
+from p join subroots using (tree) join (select node from top where n = 1) t on true
+left join proofs using (rid) join folded using (rid)"""
+
+
 SQL = {
     "op4_license_scans": license_scans(),
     "op6_mixing": mixing(),
     "op8_quality_rules": quality_rules(),
+    "op11_resampling": resampling(),
+    "op12_merkle": merkle(),
 }
