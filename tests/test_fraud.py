@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 
 from hopframe.model import EdgeTable, PropertyGraph
+from hopframe.operators import bitsets
 from hopframe.plans import fraud
 
 
@@ -108,3 +109,50 @@ def test_counts_agree_with_frontier_walk(small):
     assert rows(flagged, "seed", "n") == rows(fraud.flagged_tx_immediate(g), "person", "n")
     assert rows(g.V("Person").out(*fraud.HAS).out("owns").out("transaction").dedup().ids(), "seed", "id") == \
         rows(fraud.known_receivers(g), "person", "receiver")
+
+
+def test_bitmap_sets(spark):
+    rng = random.Random(8)
+    members = [(f"k{rng.randrange(30)}", rng.choice([None, *(f"v{int(rng.random() ** 3 * 4000)}" for _ in range(9))]))
+               for _ in range(6000)]
+    links = [(f"n{rng.randrange(12)}", f"k{rng.randrange(34)}") for _ in range(60)]
+    df = spark.createDataFrame(members, "k string, v string").repartition(5)
+    numbers = bitsets.numbered(df, "v")
+    sets = bitsets.build(df, "k", "v", numbers)
+    want = {}
+    for k, v in members:
+        if v is not None:
+            want.setdefault(k, set()).add(v)
+    assert rows(bitsets.members(sets, numbers)) == sorted((k, v) for k, vs in want.items() for v in vs)
+    found = numbers.collect()
+    assert len({r["number"] for r in found}) == len(found) == len(set().union(*want.values()))
+    up = bitsets.pull(spark.createDataFrame(links, "n string, k string"), "n", "k", sets)
+    union = {n: set().union(*(want.get(k, set()) for m, k in links if m == n)) for n, _ in links}
+    assert dict(rows(bitsets.sizes(up))) == {n: len(s) for n, s in union.items() if s}
+
+
+def test_hub_cities_do_not_multiply(spark):
+    """A third of all transfers go to one receiver that has paid from 3000 cities."""
+    n, cities = 200, 3000
+    tx = [(f"t{i}", f"V{i % n}", "HUB" if i % 3 == 0 else f"V{i * 7 % n}", f"C{i % 5}") for i in range(3 * n)]
+    tx += [(f"h{i}", "HUB", "V0", f"C{i}") for i in range(cities)]
+    owns = [(f"o{i}", f"A{i}", f"V{i}") for i in range(n)]
+    has = [(f"a{i}", f"P{i}", f"A{i}") for i in range(n)]
+    ends = "eid string, src string, dst string"
+    g = PropertyGraph({"Person": spark.createDataFrame([(f"P{i}",) for i in range(n)], "id string")},
+                      (EdgeTable("has_account", spark.createDataFrame(has, ends), "Person", "BankAccount"),
+                       EdgeTable("owns", spark.createDataFrame(owns, ends), "BankAccount", "VPA"),
+                       EdgeTable("transaction", spark.createDataFrame(tx, ends + ", ip_city string"), "VPA", "VPA")))
+    sets, numbers = fraud._vpa_city_sets(g)
+    pages = dict(rows(sets.groupBy("key").count()))
+    largest = max(r["number"] for r in numbers.collect())
+    assert pages["HUB"] <= largest // bitsets.PAGE + 1 <= 6  # 3000 cities, a few rows
+    pairs = {(s, d) for _, s, d, _ in tx}
+    joined = sum(pages.get(d, 0) for _, d in pairs)  # rows that the join on the receiver gives, not 3000 a payer
+    assert joined <= pages["HUB"] * len(pairs)
+    of = {}
+    for _, s, _, c in tx:
+        of.setdefault(s, set()).add(c)
+    want = sorted((f"P{v[1:]}", c) for v in (f"V{i}" for i in range(n))
+                  for c in set().union(*(of.get(d, set()) for s, d in pairs if s == v)))
+    assert rows(fraud.cities_extended(g), "person", "ip_city") == want
