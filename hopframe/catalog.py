@@ -211,6 +211,25 @@ def _s9(spark, sf):
     return csv_graph.with_edge_ids(e, "buys")
 
 
+def _adjacency_hop(spark, sf, hop):
+    """Neighbours with the number of edges, over the stored adjacency."""
+    root = fresh_path(spark, "adjacency")
+    name = "adj_" + root.rsplit("-", 1)[1]
+    stored = parquet_graph.save_adjacency(payments_graph(spark, sf), name, root, 8)
+    return hop(stored.V("Account")).bulk().df.select("seed", F.col("cur").alias("id"), "n")
+
+
+@add("s9_adjacency_out", "select src seed, dst id, count(*) n from p_tx group by 1, 2")
+def _s9_out(spark, sf):
+    return _adjacency_hop(spark, sf, lambda f: f.out("Transaction"))
+
+
+@add("s9_adjacency_in", """select dst seed, src id, count(*) n from (select src, dst from p_tx union all
+ select src, dst from p_owns) group by 1, 2""")
+def _s9_in(spark, sf):
+    return _adjacency_hop(spark, sf, lambda f: f.in_())
+
+
 @add("s10_write_counts", """select 'vertex' kind, 'User' label, (select count(*) from p_user) as rows union all
  select 'vertex', 'Account', (select count(*) from p_account) union all
  select 'edge', 'owns', (select count(*) from p_owns) union all

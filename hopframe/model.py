@@ -18,12 +18,20 @@ class EdgeTable:
 
     ``src_label``/``dst_label`` let a hop skip tables that cannot match, the way a
     partition filter skips folders. ``None`` means unknown, which is never skipped.
+
+    ``stored`` has copies of the edges laid out for hops from either end (``src``, ``dst``):
+    tables that together hold every edge once.
     """
 
     label: str
     df: DataFrame
     src_label: str | None = None
     dst_label: str | None = None
+    stored: Mapping[str, tuple[DataFrame, ...]] | None = None
+
+    def layout(self, end: str) -> tuple[DataFrame, ...]:
+        """The tables to join on ``end``."""
+        return self.stored[end] if self.stored else (self.df,)
 
     @property
     def props(self) -> list[str]:

@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.model import PropertyGraph, union_all
+from hopframe.model import PropertyGraph, aligned, union_all
 from hopframe.operators.skew import first_per, salted_join
 
 Predicate = Callable[[Column], Column]
@@ -119,14 +119,20 @@ class Frontier:
 
     # ---- hops -----------------------------------------------------------
     def _hop(self, direction: str, labels: tuple[str, ...], cap: int | None = None) -> DataFrame:
-        rows = _edge_rows(self.graph, self.graph.edge_tables(labels), direction, self.labels)
+        tables = self.graph.edge_tables(labels)
+        keep = self._carry()
+        left = self.df.select(*keep, F.col("cur").alias("_at"))
+        if cap is None and self.graph.supernodes is None and any(t.stored for t in tables):
+            # Stored layouts are joined one by one, since a union would hide their buckets.
+            frames = _edge_frames(tables, direction, self.labels)
+            if frames:
+                return union_all([left.join(f, F.col("_at") == F.col("_key")) for f in frames]).drop("_at", "_key")
+        rows = _edge_rows(self.graph, tables, direction, self.labels)
         if cap is not None:
             # The cap keeps the first edges of a vertex by id, the same for every traverser,
             # so it is applied to the adjacency before the join: a hub contributes at most
             # ``cap`` rows per traverser.
             rows = first_per(rows, "_key", [F.col("eid"), F.col("_side")], cap, "eid").drop("_rn")
-        keep = self._carry()
-        left = self.df.select(*keep, F.col("cur").alias("_at"))
         if self.graph.supernodes is not None:
             joined = salted_join(left, rows, "_at", "_key", "eid", self.graph.supernodes, self.graph.salts)
         else:
@@ -405,9 +411,8 @@ def _unlabelled(graph: PropertyGraph) -> bool:
     return any(t.src_label is None or t.dst_label is None for t in graph.edges)
 
 
-def _edge_rows(graph, tables, direction: str, known: frozenset[str] | None = None) -> DataFrame:
-    """Edges keyed by the end the traverser stands on (``_key``); ``_far`` is the other end."""
-    props = sorted({p for t in tables for p in t.props})
+def _edge_frames(tables, direction: str, known: frozenset[str] | None = None) -> list[DataFrame]:
+    """Edges keyed by the end the traverser stands on (``_key``), a frame per table and end; ``_far`` is the other end."""
     frames = []
     for t in tables:
         sides = []
@@ -416,20 +421,26 @@ def _edge_rows(graph, tables, direction: str, known: frozenset[str] | None = Non
         if direction in ("in", "both") and _may(known, t.dst_label):
             sides.append(("dst", "src", t.src_label, 1))
         for near, far, far_label, side in sides:
-            frames.append(t.df.select(
-                F.col(near).alias("_key"), "eid", F.lit(t.label).alias("elab"),
-                F.col("src").alias("_src"), F.col("dst").alias("_dst"),
-                F.lit(t.src_label).cast("string").alias("_slab"),
-                F.lit(t.dst_label).cast("string").alias("_dlab"),
-                F.col(far).alias("_far"), F.lit(far_label).cast("string").alias("_flab"),
-                F.lit(side).alias("_side"),
-                *[F.col(p).alias(f"e_{p}") for p in t.props]))
+            for df in t.layout(near):
+                frames.append(df.select(
+                    F.col(near).alias("_key"), "eid", F.lit(t.label).alias("elab"),
+                    F.col("src").alias("_src"), F.col("dst").alias("_dst"),
+                    F.lit(t.src_label).cast("string").alias("_slab"),
+                    F.lit(t.dst_label).cast("string").alias("_dlab"),
+                    F.col(far).alias("_far"), F.lit(far_label).cast("string").alias("_flab"),
+                    F.lit(side).alias("_side"),
+                    *[F.col(p).alias(f"e_{p}") for p in t.props]))
+    return aligned(frames, {"_key", "eid", "_src", "_dst"})
+
+
+def _edge_rows(graph, tables, direction: str, known: frozenset[str] | None = None) -> DataFrame:
+    """All frames of ``_edge_frames`` as one."""
+    frames = _edge_frames(tables, direction, known)
     if not frames:
         # No table can match: an empty relation with the right columns.
+        props = sorted({p for t in tables for p in t.props})
         schema = ("_key string, eid string, elab string, _src string, _dst string, _slab string, "
                   "_dlab string, _far string, _flab string, _side int")
         base = graph.edges[0].df.sparkSession.createDataFrame([], schema)
         return base.select("*", *[F.lit(None).cast("string").alias(f"e_{p}") for p in props])
-    from hopframe.model import aligned
-
-    return union_all(aligned(frames, {"_key", "eid", "_src", "_dst"}))
+    return union_all(frames)

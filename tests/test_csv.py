@@ -144,6 +144,28 @@ def test_parquet_round_trip_and_adjacency(spark, transfers_graph, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hops_use_stored_adjacency_in_both_directions(spark, tmp_path):
+    tx = [(f"t{i}", f"A{i % 17}", "A0" if i % 3 == 0 else f"A{i * 7 % 40}", i) for i in range(300)]
+    g = PropertyGraph({"Account": spark.createDataFrame([(f"A{i}",) for i in range(40)], "id string")}, (EdgeTable(
+        "pays", spark.createDataFrame(tx, "eid string, src string, dst string, w int"), "Account", "Account"),))
+    stored = parquet_graph.save_adjacency(g, "t_both", f"{tmp_path}/adj", 4)
+    for hop in (lambda f: f.out("pays"), lambda f: f.in_("pays"), lambda f: f.both("pays"),
+                lambda f: f.out_e("pays").has("w", lambda w: w > 50).in_v(), lambda f: f.out("pays").in_("pays")):
+        assert rows(hop(stored.V("Account")).ids()) == rows(hop(g.V("Account")).ids())
+    hub = sum(d == "A0" for _, _, d, _ in tx)
+    assert [df.count() for df in stored.edges[0].layout("dst")] == [len(tx) - hub, hub]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hop in (lambda f: f.out("pays"), lambda f: f.in_("pays")):
+            # The buckets need an exchange of the frontier only; the hubs' join has two plain ones.
+            plan = hop(stored.V("Account")).df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3
+            bucketed = next(x for x in plan.split("SortMergeJoin") if "Bucketed: true" in x)
+            assert bucketed.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_infer_endpoints(spark, transfers_graph):
     g = PropertyGraph(transfers_graph.vertices, tuple(EdgeTable(t.label, t.df) for t in transfers_graph.edges))
     assert {(t.label, t.src_label, t.dst_label) for t in csv_graph.infer_endpoints(g).edges} == {
