@@ -131,8 +131,9 @@ class Frontier:
         if cap is not None:
             # The cap keeps the first edges of a vertex by id, the same for every traverser,
             # so it is applied to the adjacency before the join: a hub contributes at most
-            # ``cap`` rows per traverser.
-            rows = first_per(rows, "_key", [F.col("eid"), F.col("_side")], cap, "eid").drop("_rn")
+            # ``cap`` rows per traverser. Only vertices of the frontier are ranked.
+            at = left.select(F.col("_at").alias("_key")).distinct()
+            rows = first_per(rows.join(at, "_key", "left_semi"), "_key", [F.col("eid"), F.col("_side")], cap, "eid", "_nth")
         if self.graph.supernodes is not None:
             joined = salted_join(left, rows, "_at", "_key", "eid", self.graph.supernodes, self.graph.salts)
         else:
@@ -260,22 +261,25 @@ class Frontier:
     def name_contains(self, text: str, key: str = "name") -> Frontier:
         return self.has(key, lambda c: F.lower(c).contains(text.lower()))
 
-    def where(self, sub: Callable[[Frontier], Frontier]) -> Frontier:
+    def _tags(self) -> list[str]:
+        return [c for c in self.df.columns if c == "path" or c.startswith("t_")]
+
+    def where(self, sub: Callable[[Frontier], Frontier | DataFrame]) -> Frontier:
         """Keep traversers for which ``sub`` reaches anything.
 
-        Survival depends only on the element (and, on an edge, the end it was entered
-        from), so ``sub`` runs once per distinct element, then a semi-join filters.
+        Survival depends on the element, on an edge also on the end it was entered from, and on the path and the
+        remembered values if the traversers have any. ``sub`` starts with them and runs once per distinct combination,
+        then a semi-join filters. ``sub`` may end in rows per seed, such as ``select``.
         """
         if self.kind == "v":
-            probe = self.df.select("cur", "lab").distinct().select(
-                F.col("cur").alias("seed"), "cur", "lab")
-            key = F.col("cur")
+            near = ["cur", "lab"]
         else:
-            key = F.concat_ws("\u0001", "cur", F.coalesce("_far", F.lit("")))
-            cols = [c for c in self.df.columns if c in ("cur", "lab") or c.startswith(("_", "e_"))]
-            probe = (self.df.select(key.alias("seed"), *cols).dropDuplicates(["seed"]))
-        inner = replace(self, df=probe, seeds=probe.select("seed"))
-        alive = sub(inner).df.select(F.col("seed").alias("_alive")).distinct()
+            near = [c for c in self.df.columns if c in ("cur", "lab") or c.startswith(("_", "e_"))]
+        parts = ["cur", *(["_far"] if self.kind == "e" else []), *self._tags()]
+        key = F.struct(*parts) if len(parts) > 1 else F.col("cur")
+        probe = self.df.select(key.alias("seed"), *near, *self._tags()).dropDuplicates(["seed"])
+        reached = sub(replace(self, df=probe, seeds=probe.select("seed")))
+        alive = (reached if isinstance(reached, DataFrame) else reached.df).select(F.col("seed").alias("_alive")).distinct()
         return replace(self, df=self.df.join(alive, key == F.col("_alive"), "left_semi"))
 
     def simple_path(self) -> Frontier:
@@ -283,9 +287,13 @@ class Frontier:
 
     # ---- order, limit, dedup -------------------------------------------
     def dedup(self) -> Frontier:
-        """One traverser per seed and element."""
-        drop = [c for c in ("n",) if c in self.df.columns]
-        return replace(self, df=self.df.drop(*drop).dropDuplicates(["seed", "cur"]))
+        """One traverser per seed and element, of those with paths or remembered values the smallest."""
+        df = self.df.drop(*[c for c in ("n",) if c in self.df.columns])
+        if not self._tags():
+            return replace(self, df=df.dropDuplicates(["seed", "cur"]))
+        rest = [*self._tags(), *[c for c in df.columns if c not in ("seed", "cur", *self._tags())]]
+        least = df.groupBy("seed", "cur").agg(F.min(F.struct(*rest)).alias("_least"))
+        return replace(self, df=least.select("seed", "cur", "_least.*"))
 
     def limit_per_seed(self, n: int, *order: Column) -> Frontier:
         df = first_per(self.df, "seed", list(order) or [F.col("cur")], n, "cur").drop("_rn")

@@ -5,9 +5,11 @@ Graph: Person -has_account/has_card-> instrument -owns-> VPA -transaction-> VPA.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.functions.scalars import mean_of_cents
@@ -15,10 +17,13 @@ from hopframe.model import PropertyGraph
 from hopframe.operators import bitsets
 from hopframe.operators.messages import pull, total_per_seed
 from hopframe.operators.skew import splittable
-from hopframe.session import fresh_path
+from hopframe.session import materialize
 
 HAS = ("has_account", "has_card")
 INSTRUMENTS = ("BankAccount", "Card")
+# Tables of a stored beneficiary index and the column that their buckets come from.
+INDEX_KEYS = {"known": "person", "into": "dst", "out_deg": "person", "in_deg": "target"}
+VERSIONS = "version bigint, path string, buckets int"
 
 
 # ---- shared pieces ---------------------------------------------------------
@@ -99,13 +104,14 @@ def outgoing_paths(g: PropertyGraph):
             .out_e("transaction").in_v().paths())
 
 
-def known_receivers(g: PropertyGraph) -> DataFrame:
-    """``person, receiver``: distinct VPAs each person has paid.
+def known_receivers(g: PropertyGraph, people: DataFrame | None = None) -> DataFrame:
+    """``person, receiver``: distinct VPAs each person (of ``people``, if given) has paid.
 
     Parallel transfers are merged before the join with the owners.
     """
     pairs = _tx(g).select(F.col("src").alias("_s"), F.col("dst").alias("receiver")).distinct()
-    return (person_vpas(g).join(pairs, F.col("vpa") == F.col("_s"))
+    owned = person_vpas(g) if people is None else person_vpas(g).join(people, "person", "left_semi")
+    return (owned.join(pairs, F.col("vpa") == F.col("_s"))
             .select("person", "receiver").distinct())
 
 
@@ -117,37 +123,72 @@ class BeneficiaryIndex:
     into       src, dst, m: number of parallel transfers per VPA pair
     out_deg    person, da: distinct receivers
     in_deg     target, dc: distinct payers
+
+    A stored index lies in ``buckets`` folders by person (known, out_deg) or by target (into, in_deg).
     """
 
     known: DataFrame
     into: DataFrame
     out_deg: DataFrame
     in_deg: DataFrame
+    buckets: int = 0
+
+    def only(self, requests: DataFrame) -> BeneficiaryIndex:
+        """The buckets of the requests' persons and targets; no others are read."""
+        def held(key: str) -> list[int]:
+            return [r[0] for r in requests.select(_bucket(key, self.buckets)).distinct().collect()]  # up to ``buckets``
+
+        people, targets = F.col("bucket").isin(held("person")), F.col("bucket").isin(held("target"))
+        return replace(self, known=self.known.filter(people), out_deg=self.out_deg.filter(people),
+                       into=self.into.filter(targets), in_deg=self.in_deg.filter(targets))
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def beneficiary_index(g: PropertyGraph, store: str | None = None) -> BeneficiaryIndex:
-    """Build the index; with ``store`` it is written there once, as a stream needs it."""
-    known = known_receivers(g)
-    into = _tx(g).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    if store is not None:
-        spark = known.sparkSession
-        known.write.parquet(f"{store}/known")
-        into.write.parquet(f"{store}/into")
-        known = spark.read.schema(known.schema).parquet(f"{store}/known")
-        into = spark.read.schema(into.schema).parquet(f"{store}/into")
-    out_deg = known.groupBy("person").agg(F.count(F.lit(1)).alias("da"))
-    in_deg = into.groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("dc"))
-    if store is not None:
-        out_deg.write.parquet(f"{store}/out_deg")
-        in_deg.write.parquet(f"{store}/in_deg")
-        out_deg = spark.read.schema(out_deg.schema).parquet(f"{store}/out_deg")
-        in_deg = spark.read.schema(in_deg.schema).parquet(f"{store}/in_deg")
-    return BeneficiaryIndex(known, into, out_deg, in_deg)
+def beneficiary_index(g: PropertyGraph, requests: DataFrame | None = None) -> BeneficiaryIndex:
+    """The index of all transfers, or of those that the persons and targets of ``requests`` can need."""
+    known, tx = known_receivers(g), _tx(g).select("src", "dst")
+    if requests is not None:
+        known = known_receivers(g, requests.select("person").distinct())
+        tx = tx.join(requests.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi")
+    into = tx.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    known, into = materialize(known, "known-receivers"), materialize(into, "transfer-pairs")
+    return BeneficiaryIndex(known, into, known.groupBy("person").agg(F.count(F.lit(1)).alias("da")),
+                            into.groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("dc")))
+
+
+def refresh_index(g: PropertyGraph, store: str, buckets: int = 64) -> int:
+    """Add a version of the index to ``store`` and return its number, the time at which it was complete.
+
+    A version is listed only after all its tables are complete, so readers never see half of one.
+    """
+    index = beneficiary_index(g)
+    spark = index.known.sparkSession
+    path = f"{store}/index-{uuid.uuid4().hex}"
+    for name, key in INDEX_KEYS.items():
+        table = getattr(index, name).withColumn("bucket", _bucket(key, buckets))
+        # A hub's bucket is written in several files.
+        spread = F.pmod(F.xxhash64(*table.columns), F.lit(8))
+        table.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{path}/{name}")
+    version = time.time_ns()
+    spark.createDataFrame([(version, path, buckets)], VERSIONS).coalesce(1).write.parquet(f"{store}/version-{version}")
+    return version
+
+
+def newest_index(spark: SparkSession, store: str) -> BeneficiaryIndex:
+    """The newest complete version in ``store``."""
+    v = spark.read.schema(VERSIONS).parquet(f"{store}/version-*").orderBy(F.desc("version")).first()
+    schemas = {"known": "person string, receiver string", "into": "src string, dst string, m bigint",
+               "out_deg": "person string, da bigint", "in_deg": "target string, dc bigint"}
+    return BeneficiaryIndex(*[spark.read.schema(f"{schemas[name]}, bucket int").parquet(f"{v['path']}/{name}")
+                              for name in INDEX_KEYS], v["buckets"])
 
 
 def known_beneficiary(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex | None = None) -> DataFrame:
     """``payment, known``: has the person paid ``target`` from any of their VPAs?"""
-    index = index or beneficiary_index(g)
+    index = index or beneficiary_index(g, requests)
     k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
     return (requests.join(k, (F.col("person") == F.col("_p")) & (F.col("target") == F.col("_r")), "left")
             .select("payment", F.col("_p").isNotNull().alias("known")))
@@ -161,7 +202,7 @@ def second_degree(g: PropertyGraph, requests: DataFrame, index: BeneficiaryIndex
     transfers into C, or C's payers probed against A's receivers. A hub on one end is thus
     reached from the other end, and both branches are exact, so no pair is dropped.
     """
-    index = index or beneficiary_index(g, fresh_path(requests.sparkSession, "beneficiary-index"))
+    index = index or beneficiary_index(g, requests)
     # Each distinct (person, target) is walked once, however many payments repeat it.
     pairs = (requests.select("person", "target").distinct()
              .join(index.out_deg.withColumnRenamed("person", "_dp"), F.col("person") == F.col("_dp"))
@@ -189,7 +230,7 @@ def beneficiary_status(g: PropertyGraph, requests: DataFrame, index: Beneficiary
 
     Pairs found in the index are settled first; only the others are walked a second step.
     """
-    index = index or beneficiary_index(g, fresh_path(requests.sparkSession, "beneficiary-index"))
+    index = index or beneficiary_index(g, requests)
     k = index.known.select(F.col("person").alias("_p"), F.col("receiver").alias("_r"))
     hit = (F.col("person") == F.col("_p")) & (F.col("target") == F.col("_r"))
     known = requests.join(k, hit, "left_semi").select("payment", F.lit("known").alias("status"))

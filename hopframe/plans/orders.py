@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.functions.rng import uniform
 from hopframe.functions.scalars import micros, or_unknown
-from hopframe.model import PropertyGraph
+from hopframe.model import PropertyGraph, union_all
 from hopframe.operators.frontier import Frontier
 from hopframe.operators.skew import first_per
+from hopframe.session import materialize
+
+# Growth of the width for seeds whose kept prefixes gave too few paths.
+WIDER = 4
+
 
 def order_items(g: PropertyGraph) -> DataFrame:
     """``order_id, status, item, qty, price``: one row per CONTAINS edge, status attached.
@@ -82,9 +89,68 @@ def neighbourhood(g: PropertyGraph, seeds: DataFrame, label: str, depth: int,
     ``per_hop`` keeps that many edges of a vertex and ``max_paths`` that many paths of a seed, both in id order, so
     reruns agree.
     """
+    if max_paths is not None:
+        return smallest_walks(g, seeds, label, depth, max_paths, per_hop)
     start = g.seeded(seeds, [label]).with_path()
-    walked = start.repeat(lambda f: f.both_e(cap=per_hop).other_v().simple_path(), depth)
-    return walked if max_paths is None else walked.limit_per_seed(max_paths, F.col("path"))
+    return start.repeat(lambda f: f.both_e(cap=per_hop).other_v().simple_path(), depth)
+
+
+def smallest_walks(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, k: int,
+                   per_hop: int | None = None) -> Frontier:
+    """The ``k`` smallest simple paths of exactly ``depth`` hops per seed, grown as prefixes.
+
+    A path sorts by its prefix first, so after every hop only the smallest prefixes of a seed go on, and a vertex
+    offers each of them only its first edges. What is dropped sorts after everything that is kept. Prefixes may lead
+    nowhere: a seed that lost some and has fewer than ``k`` paths is walked again with ``WIDER`` times the width. So the
+    result is exact, and between hops a seed has at most width times width rows, whatever the hubs.
+    """
+    done, todo, width = [], seeds.select("seed").distinct(), k
+    while True:
+        f, lost = _grow(g, todo, label, depth, width, per_hop)
+        enough = f.df.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+        short = materialize(lost.distinct().join(enough, "seed", "left_anti"), "walks-short")
+        done.append(f.df.join(short, "seed", "left_anti"))
+        if short.isEmpty():
+            break
+        todo, width = short, width * WIDER
+    best = first_per(union_all(done), "seed", [F.col("path")], k, "cur").drop("_rn")
+    return replace(f, df=best, seeds=seeds.select("seed"))
+
+
+def _grow(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, width: int,
+          per_hop: int | None) -> tuple[Frontier, DataFrame]:
+    """All paths below some bound per seed, and the ``seed`` of those that have paths beyond it."""
+    f, lost = g.seeded(seeds, [label]).with_path(), []
+    for _ in range(depth):
+        if per_hop is None:
+            # One edge more than wanted marks where the edges left out begin.
+            e = f.both_e(cap=width + 1)
+            over = F.min(F.when(F.col("_nth") > width, F.col("path"))).over(Window.partitionBy("seed"))
+            rows = materialize(e.df.withColumn("_over", over), "walks-edges")
+            lost.append(rows.filter(F.col("_nth") > width).select("seed"))
+            e = replace(e, df=rows.filter("_over IS NULL OR path < _over"))
+        else:
+            e = f.both_e(cap=per_hop)
+        f = e.other_v().simple_path()
+        kept = materialize(first_per(f.df, "seed", [F.col("path")], width + 1, "cur"), "walks")
+        lost.append(kept.filter(F.col("_rn") > width).select("seed"))
+        f = replace(f, df=kept.filter(F.col("_rn") <= width).drop("_rn"))
+    return f, union_all(lost)
+
+
+def first_walks(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, k: int,
+                per_hop: int | None = None) -> DataFrame:
+    """``seed, path``: the ``k`` smallest walks over all seeds together, one global cap.
+
+    Seeds are walked in id order, ``k`` at first and ``WIDER`` times as many if those have too few walks.
+    """
+    ordered, many = seeds.select("seed").distinct().orderBy("seed"), k
+    while True:
+        some = materialize(ordered.limit(many), "walks-seeds")
+        walks = smallest_walks(g, some, label, depth, k, per_hop).paths().orderBy("seed", "path").limit(k)
+        if walks.count() == k or some.count() < many:
+            return walks
+        many *= WIDER
 
 
 def neighbourhood_elements(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, **caps) -> DataFrame:

@@ -6,7 +6,7 @@ replayed after a failure replaces its own output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,19 +24,23 @@ def _start(stream: DataFrame, apply, checkpoint: str, continuous: str | None) ->
 
 
 def score_beneficiaries(stream: DataFrame, g: PropertyGraph, out: str, checkpoint: str,
-                        every: str | None = None,
-                        index: fraud.BeneficiaryIndex | None = None) -> StreamingQuery:
+                        every: str | None = None, store: str | None = None) -> StreamingQuery:
     """Write ``payment, status`` (known / second_degree / first_time) for each payment.
 
-    ``stream``: payment, person, target. The look-up tables are written once per start (or
-    given as ``index``); each batch then runs the pair-driven joins of ``fraud`` against
-    them. No closure of all second-degree pairs is ever built.
+    ``stream``: payment, person, target. The look-up tables lie in ``store``, where ``fraud.refresh_index`` adds
+    versions at any time; without it a first version is written once per start. Each batch takes the newest complete
+    version and reads only the buckets of its own persons and targets. No closure of all second-degree pairs is ever
+    built.
     """
-    index = index or fraud.beneficiary_index(g, fresh_path(stream.sparkSession, "beneficiary-index"))
+    spark = stream.sparkSession
+    if store is None:
+        store = fresh_path(spark, "beneficiary-index")
+        fraud.refresh_index(g, store)
 
     def score(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
+            index = fraud.newest_index(spark, store).only(held)
             fraud.beneficiary_status(g, held, index).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
             held.unpersist()
@@ -61,8 +65,7 @@ def velocity_scores(stream: DataFrame, g: PropertyGraph) -> DataFrame:
 def hourly_velocity(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Per sender and window: number of payments and total; payments later than ``late`` drop.
 
-    In append mode a window appears once the watermark has passed its end; to close the last windows of a finite feed,
-    send a row later than ``width`` plus ``late`` after them, or use complete mode.
+    ``upsert_windows`` serves open windows too; in append mode a window appears once the watermark has passed its end.
     """
     return (stream.withWatermark("ts", late)
             .groupBy(F.window("ts", width), "vpa")
@@ -70,6 +73,27 @@ def hourly_velocity(stream: DataFrame, late: str = "10 minutes", width: str = "1
             .select(F.col("window.start").alias("window_start"), "vpa", "payments", "total_cents"))
 
 
+def upsert_windows(windows: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Serve windows before they close: every batch writes the new state of the windows it has touched.
+
+    A batch that is replayed replaces its own folder. ``current_windows`` reads the latest state of each window.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
+
+def current_windows(spark: SparkSession, out: str) -> DataFrame:
+    """``window_start, vpa, payments, total_cents``: the state of the last batch that touched a window."""
+    states = spark.read.option("basePath", out).schema(
+        "window_start timestamp, vpa string, payments bigint, total_cents bigint, batch bigint").parquet(f"{out}/batch=*")
+    last = F.max(F.struct("batch", "payments", "total_cents")).alias("_last")
+    return states.groupBy("window_start", "vpa").agg(last).select(
+        "window_start", "vpa", "_last.payments", "_last.total_cents")
+
+
 def to_parquet(result: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append-mode file sink (exactly once through its own log)."""
     writer = (result.writeStream.format("parquet").outputMode("append")

@@ -178,6 +178,64 @@ def test_neighbourhood_against_brute_force(spark):
     assert sorted((r["seed"], tuple(r["path"])) for r in f.paths().collect()) == want
 
 
+def test_smallest_walks_grow_as_prefixes(spark, monkeypatch):
+    """A hub with a third of all edges, dead ends first in id order: widened until nothing is missing."""
+    edges = [(f"e{i:04d}", "HUB" if i % 3 == 0 else f"U{i % 9}", f"L{i}" if i < 200 else f"U{i * 5 % 9}") for i in range(300)]
+    g = PropertyGraph({"U": spark.createDataFrame([("HUB",), *((f"U{i}",) for i in range(9))], "id string")},
+                      (EdgeTable("x", spark.createDataFrame(edges, "eid string, src string, dst string"), "U", "U"),))
+    inc = {}
+    for e, s, d in edges:
+        inc.setdefault(s, []).append((e, d))
+        inc.setdefault(d, []).append((e, s))
+
+    def walk(path, depth):
+        if depth == 0:
+            yield tuple(path)
+            return
+        for e, far in inc.get(path[-1], []):
+            if len({*path, e, far}) == len(path) + 2:
+                yield from walk([*path, e, far], depth - 1)
+
+    sizes = []
+    real = orders.materialize
+    monkeypatch.setattr(orders, "materialize", lambda df, name, **o: (sizes.append((name, (t := real(df, name, **o)))), t)[1])
+    seeds = ["U1", "U4", "L3", "nobody"]
+    df = spark.createDataFrame([(s,) for s in seeds], "seed string")
+    for depth, k in ((2, 3), (3, 5)):
+        sizes.clear()
+        want = sorted((s, p) for s in seeds for p in sorted(walk([s], depth))[:k])
+        got = orders.smallest_walks(g, df, "U", depth, k).paths().collect()
+        assert sorted((r["seed"], tuple(r["path"])) for r in got) == want
+        first = next(t for name, t in sizes if name == "walks-edges")
+        assert max(r["count"] for r in first.groupBy("seed").count().collect()) <= k * (k + 1)
+        total = orders.first_walks(g, df, "U", depth, k).collect()
+        assert [(r["seed"], tuple(r["path"])) for r in total] == sorted(
+            (s, p) for s in seeds for p in walk([s], depth))[:k]
+
+
+def test_where_sees_paths_and_remembered_values(loops):
+    f = loops.V("User").as_("who").with_path().out("owns")
+    ahead = f.where(lambda x: x.out("Transaction").simple_path())
+    assert bag(ahead.ids(), "seed", "id") == [("U1", "A1"), ("U2", "A2")]
+    back = f.out("Transaction").where(lambda x: x.in_("Transaction").simple_path())
+    assert bag(back.ids(), "id") == []
+    named = f.where(lambda x: x.out("Transaction").as_("there").select("who", "there"))
+    assert bag(named.ids(), "seed", "id") == [("U1", "A1"), ("U2", "A2")]
+    edges = f.out_e("Transaction").where(lambda e: e.in_v().simple_path())
+    assert bag(edges.ids(), "id") == [("e2",), ("e3",), ("e4",)]
+
+
+def test_dedup_keeps_the_smallest_path(loops):
+    f = loops.V("User").as_("who").with_path().out_e("owns").in_v().out_e("Transaction").in_v()
+    least = {}
+    for r in f.df.collect():
+        key = (r["seed"], r["cur"])
+        least[key] = min(least.get(key, r["path"]), r["path"])
+    once = f.dedup()
+    assert {(r["seed"], r["cur"]): r["path"] for r in once.df.collect()} == least
+    assert bag(once.select("who"), "seed", "who") == sorted((s, s) for s, _ in least)
+
+
 @pytest.mark.parametrize("margin", [0.02, 0.1])
 @pytest.mark.parametrize("values", [[5], [3, 3, 3, 3], list(range(1000)), [0] * 400 + list(range(200)),
                                     [int(1.3 ** i) for i in range(40)] * 3])

@@ -110,6 +110,66 @@ def test_scoring_stream_equals_batch_and_restarts(spark, pay, tmp_path):
     assert got == {"r1": "known", "r2": "second_degree", "r3": "first_time"}
 
 
+def test_batches_use_the_newest_index_and_their_own_buckets(spark, pay, tmp_path):
+    feed, store = f"{tmp_path}/feed", f"{tmp_path}/index"
+    schema = "payment string, person string, vpa string, target string, cents bigint"
+    fraud.refresh_index(pay, store)
+
+    def go(payment):
+        spark.createDataFrame([(payment, "P2", "V2", "V1", 30)], schema).coalesce(1).write.mode("append").json(feed)
+        s = spark.readStream.schema(schema).json(feed)
+        jobs.score_beneficiaries(s, pay, f"{tmp_path}/out", f"{tmp_path}/ck", store=store).awaitTermination()
+
+    go("r1")
+    more = spark.createDataFrame([("7", "V2", "V1", 500)], "eid string, src string, dst string, cents bigint")
+    paid = pay.with_edges([*pay.edges, EdgeTable("transaction", more, "VPA", "VPA")])
+    fraud.refresh_index(paid, store)
+    go("r2")
+    got = dict(rows(spark.read.schema("payment string, status string").parquet(f"{tmp_path}/out/batch=*")))
+    assert got == {"r1": "first_time", "r2": "known"}
+
+    n = 400
+    edge = "eid string, src string, dst string"
+    wide = PropertyGraph({}, (
+        EdgeTable("has_account", spark.range(n).selectExpr("string(id) AS eid", "'P' || id AS src", "'A' || id AS dst")),
+        EdgeTable("has_card", spark.createDataFrame([], edge)),
+        EdgeTable("owns", spark.range(n).selectExpr("string(id) AS eid", "'A' || id AS src", "'V' || id AS dst")),
+        EdgeTable("transaction", spark.range(5 * n).selectExpr(
+            "string(id) AS eid", f"'V' || id % {n} AS src", f"'V' || id * 7 % {n} AS dst"))))
+    fraud.refresh_index(wide, f"{tmp_path}/wide")
+    index = fraud.newest_index(spark, f"{tmp_path}/wide")
+    ten = spark.createDataFrame([(f"r{i}", f"P{i}", f"V{i + 50}") for i in range(10)],
+                                "payment string, person string, target string")
+    some = index.only(ten)
+    for name in ("known", "into"):
+        def folders(df):
+            return {r[0].split("bucket=")[1].split("/")[0] for r in df.select(F.input_file_name()).distinct().collect()}
+
+        assert len(folders(getattr(index, name))) > 55 and len(folders(getattr(some, name))) <= 10
+    assert rows(fraud.beneficiary_status(wide, ten, some)) == rows(fraud.beneficiary_status(wide, ten))
+
+
+def test_open_windows_are_served_and_replays_change_nothing(spark, tmp_path):
+    feed, out = f"{tmp_path}/feed", f"{tmp_path}/out"
+    events = [(0, "a", 100), (30, "a", 50), (61, "a", 7), (10, "b", 1)], [(59, "a", 3), (65, "b", 2), (300, "b", 9)]
+
+    def go(batch):
+        spark.createDataFrame(batch, "m int, vpa string, cents bigint").coalesce(1).write.mode("append").json(feed)
+        s = spark.readStream.schema("m int, vpa string, cents bigint").json(feed).select(
+            F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m)").alias("ts"), "vpa", "cents")
+        jobs.upsert_windows(jobs.hourly_velocity(s, "2 hours"), out, f"{tmp_path}/ck").awaitTermination()
+        return {(str(r[0])[11:13], r[1]): (r[2], r[3]) for r in jobs.current_windows(spark, out).collect()}
+
+    assert go(events[0]) == {("00", "a"): (2, 150), ("01", "a"): (1, 7), ("00", "b"): (1, 1)}
+    want = {("00", "a"): (3, 153), ("01", "a"): (1, 7), ("00", "b"): (1, 1), ("01", "b"): (1, 2), ("05", "b"): (1, 9)}
+    assert go(events[1]) == want
+    # A batch that is replayed overwrites its own folder.
+    at = spark.read.option("basePath", out).parquet(f"{out}/batch=*").agg(F.max("batch")).first()[0]
+    last = spark.read.parquet(f"{out}/batch={at}")
+    spark.createDataFrame(last.collect(), last.schema).write.mode("overwrite").parquet(f"{out}/batch={at}")
+    assert {(str(r[0])[11:13], r[1]): (r[2], r[3]) for r in jobs.current_windows(spark, out).collect()} == want
+
+
 def test_velocity_stream(spark, pay, tmp_path):
     schema = "payment string, vpa string, cents bigint"
     spark.createDataFrame([("r1", "V1", 2000), ("r2", "V3", 5)], schema).write.json(f"{tmp_path}/in")
