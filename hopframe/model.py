@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopframe.session import materialize
+
 EDGE_COLS = ("eid", "src", "dst")
 
 
@@ -111,8 +113,8 @@ class PropertyGraph:
 
     # ---- variants -------------------------------------------------------
     def with_supernodes(self, supernodes: DataFrame, salts: int) -> PropertyGraph:
-        """Salt hop joins at the listed vertices (see ``operators.skew``)."""
-        return replace(self, supernodes=supernodes.select("id"), salts=salts)
+        """Salt hop joins at the listed vertices, found once and stored (see ``operators.skew``)."""
+        return replace(self, supernodes=materialize(supernodes.select("id").distinct(), "supernodes"), salts=salts)
 
     def with_vertices(self, label: str, df: DataFrame) -> PropertyGraph:
         return replace(self, vertices={**self.vertices, label: df})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Hot keys that are broadcast at most: some megabytes of ids.
+MARKS = 100_000
+
 
 def supernodes(edges: DataFrame, threshold: int, end: str = "src") -> DataFrame:
     """Vertices with at least ``threshold`` edges at ``end``: ``id, degree``.
@@ -26,24 +29,31 @@ def splittable(aggregated: DataFrame) -> DataFrame:
 
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 spread_by: str, hot: DataFrame, salts: int, how: str = "inner") -> DataFrame:
-    """Equi-join where the ``hot`` keys of ``right`` are cut into ``salts`` slices.
+    """Equi-join where the ``hot`` keys (``id``, one row each) of ``right`` are cut into ``salts`` slices.
 
     Rows of ``right`` at a hot key get a slice number from a hash of ``spread_by``; rows
     of ``left`` at a hot key are copied once per slice. Every pair meets exactly once, so
     the result equals the plain join. Other keys keep one slice and no copies.
+
+    The rows are marked by a list of the hot keys. Its length is checked: up to ``MARKS`` ids are broadcast, so no row
+    is shuffled by a hot key before it has its slice. A longer list comes from a threshold so low that no key is large
+    in comparison; it is joined by shuffle.
     """
-    hot_l = hot.select(F.col("id").alias("_hl"), F.lit(True).alias("_is_l"))
-    hot_r = hot.select(F.col("id").alias("_hr"), F.lit(True).alias("_is_r"))
+    listed = hot.select(F.col("id").alias("_hot"))
+    if listed.limit(MARKS + 1).count() <= MARKS:
+        listed = F.broadcast(listed)
+
+    def marked(df: DataFrame, key: str) -> DataFrame:
+        return df.join(listed, df[key] == F.col("_hot"), "left")
+
     slices = F.sequence(F.lit(0), F.lit(salts - 1))
-    lhs = (left.join(hot_l, left[left_key] == F.col("_hl"), "left")
-           .withColumn("_ls", F.explode(F.when(F.col("_is_l"), slices)
-                                        .otherwise(F.array(F.lit(0)))))
-           .drop("_hl", "_is_l"))
-    rhs = (right.join(hot_r, right[right_key] == F.col("_hr"), "left")
-           .withColumn("_rs", F.when(F.col("_is_r"),
-                                     F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    lhs = (marked(left, left_key)
+           .withColumn("_ls", F.explode(F.when(F.col("_hot").isNotNull(), slices).otherwise(F.array(F.lit(0)))))
+           .drop("_hot"))
+    rhs = (marked(right, right_key)
+           .withColumn("_rs", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
                        .otherwise(F.lit(0)))
-           .drop("_hr", "_is_r"))
+           .drop("_hot"))
     cond = (F.col(left_key) == F.col(right_key)) & (F.col("_ls") == F.col("_rs"))
     return lhs.join(rhs, cond, how).drop("_ls", "_rs")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.model import PropertyGraph
+from hopframe.model import PropertyGraph, union_all
 from hopframe.operators.frontier import Frontier, gte
 from hopframe.operators.quantiles import values_at_ranks
+from hopframe.operators.skew import splittable
 from hopframe.session import materialize
 
 
@@ -143,38 +146,64 @@ def paths_between(g: PropertyGraph, pairs: DataFrame,
     two hops from a with the last looked up, or two hops from b with the first looked up.
     An account with millions of transfers is only expanded if every other order costs more.
     """
-    back = {"out": "in", "in": "out", "both": "both"}
-    first = _named(_step(g, pattern[0]), "_k1", "e1", "v1")
-    last = _named(_step(g, back[pattern[2]]), "_k3", "e3", "v2")
-    mid = _named(_step(g, pattern[1]), "_m1", "e2", "_m2")
+    index = pair_costs(g, pairs, pattern)
+    from_a, from_b = F.col("a") == F.col("_k1"), F.col("b") == F.col("_k3")
+    orders = {
+        "meet": lambda p: p.join(index.first, from_a).join(index.last, from_b)
+        .join(index.mid, (F.col("v1") == F.col("_m1")) & (F.col("v2") == F.col("_m2"))),
+        "forth": lambda p: p.join(index.first, from_a).join(index.mid, F.col("v1") == F.col("_m1"))
+        .join(index.last, from_b & (F.col("_m2") == F.col("v2"))),
+        "rear": lambda p: p.join(index.last, from_b).join(index.mid, F.col("v2") == F.col("_m2"))
+        .join(index.first, from_a & (F.col("_m1") == F.col("v1"))),
+    }
+    path = F.array("a", "e1", "v1", "e2", "v2", "e3", "b").alias("path")
+    used = [r[0] for r in index.pairs.select("order").distinct().collect()]  # at most three names
+    walks = [orders[o](index.pairs.filter(F.col("order") == o)).select("a", "b", path) for o in sorted(used) or ["meet"]]
+    return union_all(walks)
+
+
+@dataclass(frozen=True)
+class PairCosts:
+    """Written tables for walks between pairs: the hops at either end, the middle hops, and the order of every pair.
+
+    first   _k1, e1, v1: first hops of the vertices ``a``
+    last    _k3, e3, v2: last hops of the vertices ``b``, seen from there
+    mid     _m1, e2, _m2: all middle hops
+    pairs   a, b, order: pairs that may have a walk, and the cheapest order of the three hops
+    """
 
-    def size(df, key, name):
-        return df.groupBy(F.col(key).alias(f"_{name}")).agg(F.count(F.lit(1)).alias(name))
+    first: DataFrame
+    last: DataFrame
+    mid: DataFrame
+    pairs: DataFrame
 
-    def reach(step, key, via, mid_key, name):
-        ways = size(mid, mid_key, "w")
-        return (step.join(ways, F.col(via) == F.col("_w")).groupBy(F.col(key).alias(f"_{name}"))
-                .agg(F.sum("w").alias(name)))
 
+def pair_costs(g: PropertyGraph, pairs: DataFrame, pattern: tuple[str, str, str]) -> PairCosts:
+    """Degrees and numbers of two-hop walks of the vertices in ``pairs`` only, read once to choose their orders."""
+    back = {"out": "in", "in": "out", "both": "both"}
     pairs = pairs.select("a", "b").distinct().filter(F.col("a") != F.col("b"))
-    costed = (pairs.join(size(first, "_k1", "da"), F.col("a") == F.col("_da"))
-              .join(size(last, "_k3", "db"), F.col("b") == F.col("_db"))
-              .join(reach(first, "_k1", "v1", "_m1", "ra"), F.col("a") == F.col("_ra"))
-              .join(reach(last, "_k3", "v2", "_m2", "rb"), F.col("b") == F.col("_rb"))
-              .select("a", "b", (F.col("da") * F.col("db")).alias("meet"), "ra", "rb"))
-    from_a, from_b = F.col("a") == F.col("_k1"), F.col("b") == F.col("_k3")
-    via_mid = (F.col("v1") == F.col("_m1")) & (F.col("v2") == F.col("_m2"))
+
+    def end(direction: str, column: str, key: str, e: str, f: str) -> DataFrame:
+        wanted = pairs.select(F.col(column).alias(key)).distinct()
+        return materialize(_named(_step(g, direction), key, e, f).join(wanted, key, "left_semi"), "pair-ends")
+
+    first = end(pattern[0], "a", "_k1", "e1", "v1")
+    last = end(back[pattern[2]], "b", "_k3", "e3", "v2")
+    mid = _named(_step(g, pattern[1]), "_m1", "e2", "_m2")
+
+    def cost(hops: DataFrame, key: str, via: str, mid_key: str, degree: str, two: str) -> DataFrame:
+        near = hops.groupBy(key, via).agg(F.count(F.lit(1)).alias("_n"))
+        ways = (mid.join(near.select(F.col(via).alias(mid_key)).distinct(), mid_key, "left_semi")
+                .groupBy(mid_key).agg(F.count(F.lit(1)).alias("_w")))
+        walks = near.join(splittable(ways), F.col(via) == F.col(mid_key), "left")
+        return walks.groupBy(key).agg(F.sum("_n").alias(degree), F.sum(F.col("_n") * F.col("_w")).alias(two))
+
+    costed = (pairs.join(cost(first, "_k1", "v1", "_m1", "da", "ra"), F.col("a") == F.col("_k1"))
+              .join(cost(last, "_k3", "v2", "_m2", "db", "rb"), F.col("b") == F.col("_k3"))
+              .filter("ra > 0 AND rb > 0").withColumn("meet", F.col("da") * F.col("db")))
     best = F.least("meet", "ra", "rb")
-    meet = costed.filter(F.col("meet") == best).join(first, from_a).join(last, from_b).join(mid, via_mid)
-    forth = (costed.filter((F.col("meet") > best) & (F.col("ra") == best)).join(first, from_a)
-             .join(mid, F.col("v1") == F.col("_m1"))
-             .join(last, from_b & (F.col("_m2") == F.col("v2"))))
-    rear = (costed.filter((F.col("meet") > best) & (F.col("ra") > best)).join(last, from_b)
-            .join(mid, F.col("v2") == F.col("_m2"))
-            .join(first, from_a & (F.col("_m1") == F.col("v1"))))
-    path = F.array("a", "e1", "v1", "e2", "v2", "e3", "b").alias("path")
-    return (meet.select("a", "b", path).unionByName(forth.select("a", "b", path))
-            .unionByName(rear.select("a", "b", path)))
+    order = F.when(F.col("meet") == best, "meet").when(F.col("ra") == best, "forth").otherwise("rear")
+    return PairCosts(first, last, mid, materialize(costed.select("a", "b", order.alias("order")), "pair-costs"))
 
 
 def user_transfer_paths(g: PropertyGraph, direction: str = "out", seeds: DataFrame | None = None) -> DataFrame:

@@ -102,6 +102,20 @@ def test_where_on_edges_uses_the_side_entered(loops):
     assert bag(f.element_map(), "seed", "id") == [("A2", "e4")]
 
 
+def test_hot_rows_are_marked_without_a_shuffle(spark, loops):
+    hot = skew.supernodes(loops.edge_view(["Transaction"], ()), 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hop = loops.with_supernodes(hot, salts=3).V("Account").out("Transaction").df
+        shuffles = [x for x in hop._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in x]
+        assert len(shuffles) == 2 and "_ls" in shuffles[0] and "_rs" in shuffles[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    many = spark.range(skew.MARKS + 1).selectExpr("string(id) AS id").union(hot.select("id"))
+    assert rows(loops.with_supernodes(many, salts=3).V("Account").out("Transaction").ids()) == rows(
+        loops.V("Account").out("Transaction").ids())
+
+
 def test_salted_hop_equals_plain(loops):
     hot = skew.supernodes(loops.edge_view(["Transaction"], ()), 3)
     assert rows(hot) == [("A1", 3)]
