@@ -5,6 +5,8 @@ A query is ``(spark, sf_dir) -> DataFrame``; it always runs over the whole table
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +109,21 @@ def _s14t(spark, sf):
     return part.rows.select(F.col("~id").alias("id"), "text")
 
 
+@add("s14_csv_escaped", """select doc_id::varchar id, case when doc_id % 5 = 0 then concat(text, chr(13), chr(10), '"\\n\\s ')
+ when doc_id % 5 = 1 then '' when doc_id % 5 = 2 then null when doc_id % 5 = 3 then chr(1) else text end as text
+ from documents""")
+def _s14e(spark, sf):
+    """Files that Spark splits: line breaks and backslashes are written as codes."""
+    n = F.col("doc_id") % 5
+    text = F.when(n == 0, F.concat("text", F.lit('\r\n"\\n\\s '))).when(n == 1, "").when(n == 2, None) \
+        .when(n == 3, "\u0001").otherwise(F.col("text"))
+    v = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    root = fresh_path(spark, "csv")
+    csv_graph.write_csv(PropertyGraph({"Note": v}, ()), root, escaped=True)
+    part = csv_graph.read_vertices(spark, f"{root}/vertices", multi_line=False)[0]
+    return part.rows.select(F.col("~id").alias("id"), "text")
+
+
 def _round_trip(spark, sf):
     root = fresh_path(spark, "csv")
     csv_graph.write_csv(payments_graph(spark, sf), root)
@@ -157,6 +174,29 @@ def _s6(spark, sf):
     return _round_trip(spark, sf)[1]
 
 
+@add("s6_load_validation", """with v as (select c_custkey k, c_custkey % 10 r from customer),
+ e as (select o_custkey % 10 r from orders)
+ select 'vertices' stage, 'Customer' label, count(*) rows_in, count(*) filter (r > 1) rows_ok,
+ count(*) filter (r <= 1) rows_rejected from v union all
+ select 'edges', 'knows', count(*), count(*) filter (r <> 5), count(*) filter (r = 5) from e union all
+ select 'vertex validation', 'Customer', count(*) filter (r > 1), count(*) filter (r > 1 and r <> 3),
+ count(*) filter (r = 3) from v union all
+ select 'edge validation', 'knows', count(*) filter (r <> 5), count(*) filter (r not in (0, 1, 3, 5)),
+ count(*) filter (r in (0, 1, 3)) from e""")
+def _s6v(spark, sf):
+    """Files with blank ids, cells of the wrong type, repeated ids and edges without a vertex."""
+    root = fresh_path(spark, "csv")
+    k, r = F.col("c_custkey"), F.col("c_custkey") % 10
+    table(spark, sf, "customer").select(
+        F.when(r != 0, F.concat(F.lit("c"), F.when(r == 3, k - 1).otherwise(k))).alias("~id"),
+        F.when(r == 1, F.lit("one")).otherwise(k.cast("string")).alias("n:int"),
+    ).write.option("header", True).csv(f"{root}/vertices/Customer")
+    end, r = F.concat(F.lit("c"), "o_custkey"), F.col("o_custkey") % 10
+    table(spark, sf, "orders").select(
+        F.when(r != 5, end).alias("~from"), end.alias("~to")).write.option("header", True).csv(f"{root}/edges/knows")
+    return csv_graph.load(spark, f"{root}/vertices", f"{root}/edges", "first", validated=True)[1]
+
+
 def _repeated(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("order_"), "l_orderkey").alias("id"), F.col("l_returnflag").alias("flag"),
@@ -771,10 +811,10 @@ def _g1(spark, sf):
         F.count("*").alias("vertices"), F.min(F.substring("id", -19, 19).cast("bigint")).alias("first_n"))
 
 
-def _zipf_sql(gamma: float) -> str:
+def _zipf_sql(gamma: float, stream: str = "e", most: str = "(select count(*) - 1 from customer)") -> str:
     """The inverse CDF over the driver's customers, with its table and series written out."""
     cdf, steps = gdeg.zipf_table(gamma), 2 * gdeg.SEARCH + 1
-    u = _U.format("42|e/degree", "c_custkey")
+    u = _U.format(f"42|{stream}/degree", "c_custkey")
     items = ", ".join(repr(x) + "::double" for x in cdf)
     mass = " + ".join(f"({c!r}::double * pow(f + i + 1, {p!r}::double))" for c, p in gdeg.tail_terms(gamma))
     far = " + ".join(f"(select ({mass}) > l from (select {i}.0::double as i))::int" for i in range(steps))
@@ -783,7 +823,7 @@ def _zipf_sql(gamma: float) -> str:
  c as (select *, greatest(floor(pow(l * {gamma - 1!r}::double, {-1 / (gamma - 1)!r}::double)) - {gdeg.SEARCH},
  {gdeg.HEAD + 1}.0)::double f from b)
  select c_custkey n, least(case when u < {cdf[-1]!r}::double then 1 + len(list_filter([{items}], lambda c: c <= u))
- else f + {far} end, (select count(*) - 1 from customer))::bigint as degree from c"""
+ else f + {far} end, {most})::bigint as degree from c"""
 
 
 @add("g2_zipf_degrees", _zipf_sql(2.5))
@@ -793,12 +833,31 @@ def _g2(spark, sf):
                                   algo="md5")
 
 
-@add("g3_targets")
+def _targets_sql() -> str:
+    """The keyed permutation over the driver's customers and parts: six rounds, walked on until inside the pool."""
+    def permuted(x: str, rows: str) -> str:
+        sql = f"select s, i, {x} >> half as l, {x} & ((1::bigint << half) - 1) as r, half from {rows}"
+        for k in range(1, 7):
+            h = f"('0x' || substr(md5(concat_ws('|', '42', 'buys/permute', s, {k}, r)), 1, 13))::bigint"
+            sql = f"select s, i, r as l, xor(l, {h} & ((1::bigint << half) - 1)) as r, half from ({sql})"
+        return f"select s, i, (l << half) | r as x, half from ({sql})"
+
+    degrees = _zipf_sql(2.0, "buys", "(select count(*) - 1 from customer), (select count(*) from part)")
+    return f"""with recursive pools as (
+ select count(*) pool, greatest(1, (length(bin(count(*) - 1)) + 1) // 2)::int half from part),
+ degs as ({degrees}),
+ pairs as (select n s, unnest(range(0, degree)) i, half from degs, pools),
+ walk as ({permuted('i', 'pairs')} union all
+  {permuted('x', '(select w.* from walk w, pools where x >= pool)')})
+ select s::bigint s, (x + (select count(*) from customer))::bigint t from walk, pools where x < pool"""
+
+
+@add("g3_targets", _targets_sql())
 def _g3(spark, sf):
     """Edges between customers and parts; targets of one customer are distinct."""
     c, p = _n(spark, sf), _n(spark, sf, "part")
     sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("n"))
-    return scale_free.target_table(sources, "buys", "C", "P", {"C": (0, c), "P": (c, c + p)}, 2.0, 42)
+    return scale_free.target_table(sources, "buys", "C", "P", {"C": (0, c), "P": (c, c + p)}, 2.0, 42, algo="md5")
 
 
 @add("g3_target_checks", """select 0::bigint repeated, 0::bigint outside, 0::bigint wrong_degree""")
@@ -879,6 +938,30 @@ def _g7c(spark, sf):
     return egos.select(F.lit("Member").alias("label"), "egos", orphans.alias("orphans"))
 
 
+def _poisson_sql(u: str, rate: float = 1.0, terms: int = 40) -> str:
+    """The inverse CDF, its sums written out."""
+    chance, total, sums = math.exp(-rate), 0.0, []
+    for k in range(1, terms):
+        total += chance
+        chance *= rate / k
+        sums.append(f"({u} >= {total!r}::double)::int")
+        if total >= 1 - 1e-15:
+            break
+    return " + ".join(sums)
+
+
+@add("g8_degree_defaults", f"""select c_custkey n, cast(greatest(round_even(0.5 + {_hash_sql('u')}, 0), 0) as bigint) u,
+ cast(greatest(round_even(exp(sqrt(-2 * ln(1 - {_hash_sql('l')})) * cos(2 * pi() * {_hash_sql('l/2')})), 0), 0) as bigint) l,
+ cast({_poisson_sql(_hash_sql('p/part', "concat(c_custkey, '|1')"))} as bigint) p from customer""")
+def _g8d(spark, sf):
+    """Specs that leave all settings to the defaults."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        k.alias("n"), gdeg.degree({}, 5, "u", k, algo="md5").alias("u"),
+        gdeg.degree({"dist": "lognormal"}, 5, "l", k, algo="md5").alias("l"),
+        gdeg.degree({"dist": "poisson"}, 5, "p", k, algo="md5").alias("p"))
+
+
 @add("g8_degree_distributions", f"""select c_custkey n, cast(rint_u as bigint) u, 3::bigint f,
  cast(least(greatest(round_even(4 + sqrt(-2 * ln(1 - z1)) * cos(2 * pi() * z2) * 1.5, 0), 0), 9) as bigint) g
  from (select c_custkey, round_even(2 + {_hash_sql('u')} * 7, 0) rint_u, {_hash_sql('g')} z1, {_hash_sql('g/2')} z2

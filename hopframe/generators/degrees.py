@@ -137,21 +137,35 @@ FAMILIES = (
     ("poisson", ("lam",), _events("lam")),
     ("poisson", ("lambda",), _events("lambda")),
 )
+# What a spec means that leaves settings out.
+DEFAULT_DIST = "uniform"
+DEFAULTS = {
+    "uniform": {"median": 1.0, "sigma": 0.5},
+    "normal": {"mean": 1.0, "sigma": 1.0},
+    "lognormal": {"median": 1.0, "sigma": 1.0},
+    "poisson": {"lam": 1.0},
+}
 ROUNDING = {"round": F.rint, "floor": F.floor, "ceil": F.ceil}
 
 
 def degree(spec: Mapping, seed: int, stream: str, *keys: Column, algo: str = "xxhash64") -> Column:
-    """A degree column from a spec: ``dist`` and the settings of one of its FAMILIES, all of them required.
+    """A degree column from a spec: ``dist`` and the settings of one of its FAMILIES.
+
+    The first way whose settings are all given is taken, else the first that is complete with the DEFAULTS; a fixed
+    degree has no default.
 
     ``round`` says how to make an integer (round by default); ``min`` (0 by default) and ``max`` bound the result.
     """
-    named = [f for f in FAMILIES if f[0] == spec.get("dist")]
+    dist = str(spec.get("dist", DEFAULT_DIST)).lower()
+    named = [f for f in FAMILIES if f[0] == dist]
     if not named:
-        raise ValueError(f"degree distribution {spec.get('dist')!r}: expected one of {sorted({f[0] for f in FAMILIES})}")
-    fitting = [f for f in named if all(spec.get(key) is not None for key in f[1])]
+        raise ValueError(f"degree distribution {dist!r}: expected one of {sorted({f[0] for f in FAMILIES})}")
+    given = {key: value for key, value in spec.items() if value is not None}
+    full = {**DEFAULTS.get(dist, {}), **given}
+    fitting = [f for known in (given, full) for f in named if all(key in known for key in f[1])]
     if not fitting:
-        raise ValueError(f"{spec['dist']} degree: needs " + " or ".join(" and ".join(f[1]) for f in named))
-    if spec.get("sigma") is not None and float(spec["sigma"]) < 0:
+        raise ValueError(f"{dist} degree: needs " + " or ".join(" and ".join(f[1]) for f in named))
+    if float(full.get("sigma", 0)) < 0:
         raise ValueError("degree: sigma must not be negative")
     to_integer = ROUNDING.get(spec.get("round", "round"))
     if to_integer is None:
@@ -163,7 +177,7 @@ def degree(spec: Mapping, seed: int, stream: str, *keys: Column, algo: str = "xx
     def of(part: str, *more: Column) -> Column:
         return uniform(seed, stream + part, *keys, *more, algo=algo)
 
-    drawn = to_integer(fitting[0][2](Draw(spec, of))).cast("bigint")
+    drawn = to_integer(fitting[0][2](Draw(full, of))).cast("bigint")
     bounds = [(F.greatest, least), (F.least, most)]
     for pick, bound in bounds:
         if bound is not None:

@@ -19,7 +19,7 @@ from hopframe.generators.values import check_spec, property_columns
 from hopframe.model import EdgeTable, PropertyGraph
 
 CHUNK = 1 << 16
-WALK = 128
+WALK, WALKS = 8, 32
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def numbered(spark: SparkSession, keys: int | DataFrame, first: int = 1) -> Data
     return keys.select(F.col("n").cast("bigint").alias("n"))
 
 
-def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str) -> Column:
+def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str, algo: str = "xxhash64") -> Column:
     """The i-th (0-based) target of ``src`` in [0, pool); distinct for i < pool.
 
     A keyed permutation per source: six Feistel rounds over the smallest square of a power of two that holds the pool,
@@ -89,16 +89,17 @@ def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str)
         return F.aggregate(
             F.sequence(F.lit(1), F.lit(6)), start,
             lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(
-                hash_bits(seed, f"{stream}/permute", src, k, s["r"]).bitwiseAND(low)).alias("r")),
+                hash_bits(seed, f"{stream}/permute", src, k, s["r"], algo=algo).bitwiseAND(low)).alias("r")),
             lambda s: F.shiftleft(s["l"], half).bitwiseOR(s["r"]))
 
-    # The square is less than four times the pool, so a walk of WALK steps leaves it open once in 10^15 values; such a
-    # value walks on in the same way from there.
-    def walk(x: Column, steps: int) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), rounds(x),
-                           lambda y, _: F.when(y < pool, y).otherwise(rounds(y)))
+    # The square is less than four times the pool, so WALKS times WALK steps leave a value outside with a probability
+    # below 10^-30; that would be an error, not a target. Most values need few steps, so the walk is looked at in parts.
+    def walk(y: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, lambda z, _: F.when(z < pool, z).otherwise(rounds(z)))
 
-    return walk(i.cast("bigint"), WALK)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), rounds(i.cast("bigint")),
+                        lambda y, _: F.when(y < pool, y).otherwise(walk(y)))
+    return F.when(found < pool, found).otherwise(F.raise_error(F.lit("a target stayed outside its pool")).cast("bigint"))
 
 
 def out_degrees(vertices: DataFrame, gamma: float, n_src: int, seed: int, stream: str,
@@ -130,7 +131,7 @@ def expand(degs: DataFrame, count: str, index: str, most: int | None = None) ->
 
 def target_table(sources: DataFrame, e_key: str, src_type: str, dst_type: str,
                  ranges: Mapping[str, tuple[int, int]], gamma: float, seed: int,
-                 allow_loops: bool = False) -> DataFrame:
+                 allow_loops: bool = False, algo: str = "xxhash64") -> DataFrame:
     """``s, t``: vertex numbers of the edges of one edge type."""
     lo, hi = ranges[dst_type]
     same = src_type == dst_type and not allow_loops
@@ -138,9 +139,9 @@ def target_table(sources: DataFrame, e_key: str, src_type: str, dst_type: str,
     n_src = ranges[src_type][1] - ranges[src_type][0]
     if pool <= 0:
         return sources.select(F.col("n").alias("s"), F.col("n").alias("t")).filter(F.lit(False))
-    degs = out_degrees(sources, gamma, n_src, seed, e_key).select(
+    degs = out_degrees(sources, gamma, n_src, seed, e_key, algo).select(
         F.col("n").alias("s"), F.least("degree", F.lit(pool).cast("bigint")).alias("_k"))
-    t = distinct_targets(F.col("s"), F.col("_i"), pool, seed, e_key) + F.lit(lo).cast("bigint")
+    t = distinct_targets(F.col("s"), F.col("_i"), pool, seed, e_key, algo) + F.lit(lo).cast("bigint")
     t = F.when(t >= F.col("s"), t + 1).otherwise(t) if same else t
     return expand(degs, "_k", "_i", pool).select("s", t.alias("t"))
 

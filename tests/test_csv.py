@@ -166,6 +166,42 @@ def test_hops_use_stored_adjacency_in_both_directions(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+ODD = ["x\ny", "\r", "a\r\nb", "\\", "\\n", "\\s\\\\n", "\u0001", "", None, ' "q", ', "é\n😀", "\n", "plain"]
+
+
+@pytest.mark.parametrize("escaped", [False, True])
+def test_texts_come_back(spark, tmp_path, escaped):
+    v = spark.createDataFrame([(f"i{k}\n" if escaped else f"i{k}", t) for k, t in enumerate(ODD)], "id string, t string")
+    e = spark.createDataFrame([("e", "i0", "i1", t) for t in ODD], "eid string, src string, dst string, t string")
+    csv_graph.write_csv(PropertyGraph({"N": v}, (EdgeTable("TO", e),)), f"{tmp_path}/out", escaped=escaped)
+    part = csv_graph.read_vertices(spark, f"{tmp_path}/out/vertices", multi_line=not escaped)[0]
+    assert {r["~id"].rstrip("\n"): r["t"] for r in part.rows.collect()} == {f"i{k}": t for k, t in enumerate(ODD)}
+    part = csv_graph.read_edges(spark, f"{tmp_path}/out/edges", multi_line=not escaped)[0]
+    assert sorted(map(repr, (r["t"] for r in part.rows.collect()))) == sorted(map(repr, ODD))
+    if escaped:
+        # Whatever the caller says, such files are read line by line, so one file is split.
+        csv_graph.write_csv(PropertyGraph({"N": v.coalesce(1)}, ()), f"{tmp_path}/one", escaped=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        try:
+            assert csv_graph.read_vertices(spark, f"{tmp_path}/one/vertices")[0].parsed.rdd.getNumPartitions() > 1
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_load_writes_rejects_and_validates(spark, tmp_path):
+    put(f"{tmp_path}/v/N/a.csv", "~id,~label,n:int\na,N,1\nb,,2\nb,M,3\n,N,4\nc,N,x\nd,N,1,2\n")
+    put(f"{tmp_path}/e/TO/a.csv", "~from,~to\na,b\na,zz\n,a\n")
+    put(f"{tmp_path}/e/NONE/a.csv", "~from,~to\n")
+    g, report = csv_graph.load(spark, f"{tmp_path}/v", f"{tmp_path}/e", rejects=f"{tmp_path}/bad", validated=True)
+    assert {k: rows(v) for k, v in g.vertices.items()} == {"N": [("a", 1), ("b", 2)], "M": [("b", 3)]}
+    assert rows(g.edge_view(), "src", "dst") == [("a", "b"), ("a", "zz")]
+    bad = spark.read.json(f"{tmp_path}/bad").collect()
+    assert len(bad) == 4 and "d,N,1,2" in {r["raw"] for r in bad}
+    assert rows(report) == [
+        ("edge validation", "TO", 2, 1, 1), ("edges", "TO", 3, 2, 1), ("vertex validation", "M", 1, 0, 1),
+        ("vertex validation", "N", 2, 1, 1), ("vertices", "M", 1, 1, 0), ("vertices", "N", 5, 2, 3)]
+
+
 def test_infer_endpoints(spark, transfers_graph):
     g = PropertyGraph(transfers_graph.vertices, tuple(EdgeTable(t.label, t.df) for t in transfers_graph.edges))
     assert {(t.label, t.src_label, t.dst_label) for t in csv_graph.infer_endpoints(g).edges} == {

@@ -115,11 +115,29 @@ def test_degree_distributions(spark, spec, mean, sd):
     assert abs(r[0] - mean) < 0.12 + sd / 50 and abs(r[1] - sd) < 0.15 + sd / 50 and r[2] >= 0
 
 
+def test_degree_defaults(spark):
+    """Settings left out mean what they mean in the reference: uniform 1 +- 0.5, normal (1, 1), Poisson 1, median 1."""
+    k = F.col("id")
+
+    def same(spec, full):
+        a, b = (degrees.degree(x, 7, "d", k) for x in (spec, full))
+        assert spark.range(500).filter(a != b).count() == 0
+
+    same({}, {"dist": "uniform", "median": 1, "sigma": 0.5})
+    same({"dist": "UNIFORM", "low": 4}, {"dist": "uniform", "median": 1, "sigma": 0.5})
+    same({"dist": "normal", "mean": 9}, {"dist": "normal", "mean": 9, "sigma": 1})
+    same({"dist": "normal", "sigma": 2}, {"dist": "normal", "mean": 1, "sigma": 2})
+    same({"dist": "poisson"}, {"dist": "poisson", "lambda": 1})
+    same({"dist": "poisson", "lambda": 4}, {"dist": "poisson", "lam": 4})
+    same({"dist": "lognormal", "meanlog": 2}, {"dist": "lognormal", "meanlog": 2, "sigma": 1})
+    same({"dist": "lognormal"}, {"dist": "lognormal", "median": 1, "sigma": 1})
+
+
 def test_degree_clip_and_errors(spark):
     df = spark.range(2000).select(degrees.degree({"dist": "normal", "mean": 3, "sigma": 5, "min": 1, "max": 6}, 7, "d",
                                                  F.col("id")).alias("d"))
     assert tuple(df.agg(F.min("d"), F.max("d")).first()) == (1, 6)
-    for bad in ({"dist": "zeta"}, {"dist": "uniform", "low": 3, "high": 1}, {"dist": "normal", "mean": 1, "sigma": -1}, {"dist": "normal", "sigma": 1}, {"dist": "lognormal", "median": 0, "sigma": 1},
+    for bad in ({"dist": "zeta"}, {"dist": "uniform", "low": 3, "high": 1}, {"dist": "normal", "mean": 1, "sigma": -1}, {"dist": "fixed"}, {"dist": "lognormal", "median": 0, "sigma": 1},
                 {"dist": "fixed", "value": 1, "round": "up"}, {"dist": "fixed", "value": 1, "min": 4, "max": 3}):
         with pytest.raises(ValueError):
             degrees.degree(bad, 1, "d", F.lit(1))
