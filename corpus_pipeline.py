@@ -27,14 +27,20 @@ def _with_length(docs: DataFrame, changed) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below the limit."""
+    """Documents with a toxicity score below the limit.
+
+    Null and empty texts and texts without a hit stay; rows that are repeated are judged alike.
+    """
     lexicon = toxicity_lexicon(spark, docs, sf_dir)
     scored = toxicity.score(docs, lexicon, keep=docs.columns, names=("_tx_weight", "_tx_score"))
     return scored.where(F.col("_tx_score") < TOXIC_SCORE).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated multi-line chunks; a document that loses all its words that way goes."""
+    """Documents without repeated multi-line chunks; a document that loses all its words that way goes.
+
+    Null and empty texts have no chunks and stay. Rows equal in id and text are one document and keep the same text.
+    """
     left = lines.deduplicate(docs)
     changed = F.col("_ld_removed") > 0
     kept = left.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -42,7 +48,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate class, the one with the smallest id."""
+    """One document of every near-duplicate class, the one with the smallest id.
+
+    Texts without a word, null ones included, are classes of their own and stay. Of rows equal in id and text one stays.
+    """
     first = materialize(minhash.near_duplicates(docs).where("is_first")
                         .select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash")).distinct(),
                         "near-first")
@@ -54,13 +63,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row per copy, cut at the ends of a run."""
+    """The documents that the mix takes, a row per copy, cut at the ends of a run.
+
+    Texts without a word have size 0 and are never taken. Repeated rows are separate documents. Null sources are one source.
+    """
     mixed = mixing.realize(docs)
     return _with_length(mixed, F.lit(True)).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip, parity."""
+    """doc_id, n_tokens, ids, round_trip, parity; null and empty texts have no ids, repeated rows the same ones."""
     return sentencepiece.encode(docs, sentencepiece.load(PIECES))
 
 
