@@ -106,8 +106,10 @@ def manifest(leaves: DataFrame, group_col="lang", id_col="doc_id", leaf_col="lea
     ``path`` has a pair (left, right) of concatenated sibling digests per level, from the leaf to the root.
     """
     columns = [group_col, id_col, leaf_col, *keep]
+    # Written first, since ranges are chosen from a sample: the rows behind the leaves are read once.
+    digests = materialize(leaves.select(*columns), "merkle-digests")
     placed = with_places(
-        leaves.select(*columns), [F.col(group_col).asc_nulls_first(), F.col(id_col).asc_nulls_first(), F.col(leaf_col)],
+        digests, [F.col(group_col).asc_nulls_first(), F.col(id_col).asc_nulls_first(), F.col(leaf_col)],
         "merkle-leaves", "_mk_place")
     groups = materialize(placed.groupBy(group_col).agg(F.min("_mk_place").alias("_mk_first"),
                                                        F.count("*").alias("_mk_n")), "merkle-groups")
