@@ -35,6 +35,7 @@ BITS = 15
 LONGEST = 4
 SLICE = 1 << 18
 SPACE = 32
+PLACES = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -175,13 +176,18 @@ def fit(parts: Iterator[pd.DataFrame], error: float) -> Iterator[pd.DataFrame]:
 
 
 def sample_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_rows: int) -> DataFrame:
-    """lang, place and text of the rows to learn from; the texts are fetched for chosen rows only."""
+    """lang, place and text of the rows to learn from; the texts are fetched for chosen rows only.
+
+    Rows far above a language's expected limit are dropped by their hash before any row is sorted.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
         .where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL") \
-        .withColumn("place", F.xxhash64(F.lit("language"), "id"))
+        .withColumn("place", F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(PLACES)))
+    sizes = materialize(labelled.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")), "language-sizes")
+    near = F.col("place") < F.lit(PLACES) * (2 * per_language + 100) / F.col("n")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    chosen = labelled.select("id", "lang", "place").distinct().withColumn("turn", turn) \
-        .where(F.col("turn") <= per_language).orderBy("turn", "place", "lang", "id").limit(max_rows)
+    chosen = labelled.select("id", "lang", "place").join(sizes, "lang").where(near).drop("n").distinct() \
+        .withColumn("turn", turn).where(F.col("turn") <= per_language).orderBy("turn", "place", "lang", "id").limit(max_rows)
     chosen = materialize(chosen.select("id", "lang"), "language-sample")  # at most ``max_rows`` ids
     return labelled.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang", "place").agg(F.min("text").alias("text"))
 
