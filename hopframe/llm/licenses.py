@@ -6,8 +6,8 @@ unchanged copy puts all its votes. Neighbouring diagonals are merged, since an i
 of a copy to the next diagonal, and a merged span is accepted if it covers enough of the template without being
 stretched. The template table holds a few hundred rows whatever the data, so it is broadcast.
 
-Null and empty texts have no words, no labels and score 0. Repeated rows get the same result each. Other columns are
-not looked at.
+Null and empty texts have no words, no labels and score 0. A very long text is one array of word hashes, whose rows are
+filtered by the template table at once. Repeated rows get the same result each. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -1,22 +1,31 @@
 """Removal of repeated multi-line chunks.
 
-Lines (and, within long lines, sentences) are the units. A chunk is a run of units that counts (see ``chunk_table``) and
-has no shorter run that counts at the same start or at the same end. So chunks depend on their own content only, never
-on the units around a passage, and they overlap: every unit of a repeated passage that counts lies in a chunk which is
-inside that passage. Chunks that occur more than once anywhere, inside one text included, are removed everywhere but at
-their first place (smallest id), after their bytes were compared with that first place. A unit is therefore removed if
-and only if it is part of a run that counts and has occurred at an earlier place.
-
-Only hashes and ranges are grouped over the whole corpus; chunk texts travel for repeated chunks alone. The texts as
-such are shuffled twice: to cut out the repeated chunks for comparison and to apply the removals.
-
-Null and empty texts have no chunks and stay as they are. A row that equals another in id and text is the same document
-and gets the same result. Columns beginning with ``_ld_`` are reserved; all other columns pass through.
+Lines (and, within long lines, sentences) are the units. A rolling hash over the hashes of two neighbouring units chooses
+the boundaries: a place is one if its rolling hash is the smallest among ``reach`` places to each side. That depends on
+the units nearby alone, so boundaries resist shifts, and chunks have at least ``reach + 1`` units. One row per chunk is
+grouped over the whole corpus; a chunk that occurs more than once, inside one text included, is repeated.
+
+Repeats that hold no whole chunk, and the rest of a passage beyond its chunks, are found by links: pairs of neighbouring
+units, and units that count by themselves. Links outside the later places of repeated chunks are counted by their hash;
+stretches of links that occur elsewhere or lie in repeated chunks are cut into the shortest runs that count from and up
+to every unit (see ``runs_of``), and those are grouped in the same way. So a passage is extended over its chunk edges
+unit by unit, against any earlier place and not just the first place of its chunk.
+
+Chunks and runs are removed everywhere but at their first place (smallest id), after their bytes were compared with that
+first place. A unit is therefore removed if and only if it is part of a run that counts and has occurred at an earlier
+place: a run inside a later place of a repeated chunk occurs in the chunk's first place, all others are grouped.
+
+Only hashes and ranges are grouped over the whole corpus; texts travel for repeated chunks alone, and once to be cut.
+Rows of a key that holds many are spread over several tasks (``look_up``).
+
+Null and empty texts have no chunks and stay as they are. A very long text is one row, cut in time that grows with its
+units. A row that equals another in id and text is the same document and gets the same result. Columns beginning with
+``_ld_`` are reserved; all other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.llm.common import SPACE, whole
@@ -24,7 +33,23 @@ from hopframe.session import materialize
 
 # A unit ends with a line break, or with the end of a sentence and a space. The empty rest after the last is none.
 UNIT_END = r"(?<=\n)|(?<=[.!?] )"
-UNITS = f"filter(split(_ld_text, '{UNIT_END}', -1), u -> u != '')".replace("\\", "\\\\")
+ENDS = (r"\n", ". ", "! ", "? ")
+# Keys with more than one in HOT of all rows are spread over SALTS tasks.
+HOT = 1000
+SALTS = 64
+
+
+def _units() -> str:
+    """SQL: the units of _ld_text. Marks after every end are split faster than a pattern looks behind; a text that
+    holds the mark itself is split by the pattern."""
+    marked = "_ld_text"
+    for end in ENDS:
+        marked = f"replace({marked}, '{end}', '{end}\\u0001')"
+    by_pattern = f"split(_ld_text, '{UNIT_END}', -1)".replace("\\", "\\\\")
+    return f"filter(IF(instr(_ld_text, '\\u0001') = 0, split({marked}, '\\u0001', -1), {by_pattern}), u -> u != '')"
+
+
+UNITS = _units()
 
 
 def _long_unit(unit: str, min_words: int, min_chars: int, long_chars: int) -> str:
@@ -36,19 +61,32 @@ def _long_unit(unit: str, min_words: int, min_chars: int, long_chars: int) -> st
 
 def _chunks(min_units: int, min_chars: int) -> str:
     """SQL: array of (s, e), ranges of units from s to before e, from the arrays ``lengths`` and ``alone``."""
-    def units(step: int, near: str) -> str:
+    # No unit is empty, so a run of this many units counts; nearly all runs that do are shorter than ``few``.
+    most, few, code = max(min_units, min_chars), max(min_units, 16), 1 << 20
+
+    def near(step: int, n: int) -> str:
+        """Lengths of the next ``n`` units from i on, backwards for a negative step."""
+        if step > 0:
+            return f"slice(lengths, i + 1, {n})"
+        return f"reverse(slice(lengths, greatest(i - {n - 1}, 0) + 1, least(i + 1, {n})))"
+
+    def reached(lengths: str) -> str:
+        """Units up to the first place where they count, null if there is none; characters and units are one number.
+
+        Few units are looked at before, so here characters come last, unless the array ends."""
+        done = f"a >= {min_chars * code}L"
+        return f"""aggregate({lengths}, 0L, (a, x) -> IF({done}, a, a + x * {code}L + 1L),
+            a -> IF({done} AND a % {code} >= {min_units}, CAST(a % {code} AS int), CAST(NULL AS int)))"""
+
+    def units(step: int) -> str:
         """Units of the shortest run from i on that counts, null if there is none; most are short."""
         short = " ".join("WHEN {} >= {} THEN {}".format(
             " + ".join(f"get(lengths, i + {step * k})" for k in range(n)), min_chars, n)
-            for n in range(min_units, min_units + 5))
-        return f"""CASE WHEN get(alone, i) THEN 1 {short} ELSE aggregate({near}, struct(0 AS chars, 0 AS n),
-                (a, x) -> IF(a.chars >= {min_chars} AND a.n >= {min_units}, a, struct(a.chars + x AS chars, a.n + 1 AS n)),
-                a -> IF(a.chars >= {min_chars} AND a.n >= {min_units}, a.n, CAST(NULL AS int))) END"""
-
-    # No unit is empty, so a run of this many units counts.
-    most = max(min_units, min_chars)
-    after = units(1, f"slice(lengths, i + 1, {most})")
-    before = units(-1, f"reverse(slice(lengths, greatest(i - {most - 1}, 0) + 1, least(i + 1, {most})))")
+            for n in range(min_units, min_units + 3))
+        longer = ", ".join(reached(near(step, n)) for n in (few, most))
+        return f"CASE WHEN get(alone, i) THEN 1 {short} ELSE coalesce({longer}) END"
+
+    after, before = units(1), units(-1)
     # As numbers, since array_distinct compares all pairs of structs.
     code = 1 << 31
     return f"""transform(filter(array_distinct(concat(
@@ -57,64 +95,166 @@ def _chunks(min_units: int, min_chars: int) -> str:
         c -> named_struct('s', CAST(c div {code}L AS int), 'e', CAST(c % {code}L AS int)))"""
 
 
-def chunk_table(docs: DataFrame, id_col="doc_id", text_col="text", min_units=2, min_words=20, min_chars=60,
-                long_chars=300) -> DataFrame:
-    """One row per chunk: _ld_id, _ld_th, s, e, h.
+def inlined(array: Column) -> Column:
+    """Rows of an array of structs, and a row of nulls for an empty one, to be filtered by the caller.
 
-    A run counts if it has ``min_units`` units and ``min_chars`` characters; a unit counts by itself if it has
-    ``min_words`` words and ``min_chars`` characters, or ``long_chars`` characters.
+    The plain generator makes Spark infer a filter on the array's size, which computes the array three times.
     """
+    return F.inline_outer(array)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select("*", F.col(id_col).alias("_ld_id"), whole(text_col).alias("_ld_text")) \
+        .withColumn("_ld_th", F.xxhash64("_ld_text"))
+
+
+def unit_table(docs: DataFrame, id_col="doc_id", text_col="text", min_words=20, min_chars=60,
+               long_chars=300) -> DataFrame:
+    """Per document _ld_id, _ld_th and the arrays ``hashes``, ``lengths`` and ``alone`` (counts by itself) of its units."""
     units = _keyed(docs, id_col, text_col).where(F.length("_ld_text") >= min_chars) \
         .select("_ld_id", "_ld_th", F.expr(UNITS).alias("units"))
-    measured = units.select(
+    return units.select(
         "_ld_id", "_ld_th", F.expr("transform(units, u -> xxhash64(u))").alias("hashes"),
         F.expr("transform(units, u -> length(u))").alias("lengths"),
         F.expr(f"transform(units, u -> {_long_unit('u', min_words, min_chars, long_chars)})").alias("alone"))
-    ranges = measured.select("_ld_id", "_ld_th", "hashes", F.expr(_chunks(min_units, min_chars)).alias("ranges"))
-    return ranges.select("_ld_id", "_ld_th", F.inline(F.expr("""transform(ranges, r -> named_struct(
-        's', r.s, 'e', r.e, 'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s))))""")))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select("*", F.col(id_col).alias("_ld_id"), whole(text_col).alias("_ld_text")) \
-        .withColumn("_ld_th", F.xxhash64("_ld_text"))
+def chunk_table(units: DataFrame, min_chars=60, reach=2) -> DataFrame:
+    """One row per content-defined chunk of at least ``min_chars`` characters: _ld_id, _ld_th, s, e, h."""
+    # The rolling hash before unit i, null where there are not ``reach + 1`` units to each side.
+    rolling = f"""transform(hashes, (h, i) -> IF(i > {reach} AND i < size(hashes) - {reach},
+                                                xxhash64(get(hashes, i - 1), h), CAST(NULL AS bigint)))"""
+    # Of equal hashes side by side the first is the smallest.
+    least = " AND ".join([f"coalesce(x < get(rolling, i - {k}), true) AND coalesce(x <= get(rolling, i + {k}), true)"
+                          for k in range(1, reach + 1)])
+    cuts = f"""filter(transform(rolling, (x, i) -> IF(x IS NOT NULL AND {least}, i, -1)), i -> i >= 0)"""
+    ranges = units.withColumn("rolling", F.expr(rolling)).withColumn("cuts", F.expr(cuts)) \
+        .select("_ld_id", "_ld_th", "hashes", "lengths", F.expr("""zip_with(
+            concat(array(0), cuts), concat(cuts, array(size(hashes))), (s, e) -> named_struct('s', s, 'e', e))""")
+                .alias("ranges"))
+    return ranges.select("_ld_id", "_ld_th", inlined(F.expr("""transform(ranges, r -> named_struct('s', r.s, 'e', r.e,
+        'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s)),
+        'chars', aggregate(slice(lengths, r.s + 1, r.e - r.s), 0, (a, x) -> a + x)))"""))) \
+        .where((F.col("chars") >= min_chars) & (F.col("e") - F.col("s") >= 2)).drop("chars")
+
+
+def look_up(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, which have one row per key and the number ``n`` of rows that it has in ``rows``.
+
+    Rows of a key with more than one in ``HOT`` of all rows are spread over ``SALTS`` tasks by a hash of ``spread_by``
+    and the key is copied as often. Fewer than ``HOT`` keys are like that, so their list is broadcast.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.col("n") * HOT > total
+    hot = F.broadcast(keys.where(many).select(key, F.lit(True).alias("_ld_hot")))
+    salted = rows.join(hot, key, "left").withColumn("_ld_salt", F.when(
+        F.col("_ld_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_ld_hot")
+    copies = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keys.withColumn("_ld_salt", F.explode(copies)).drop("n"), [key, "_ld_salt"]).drop("_ld_salt")
 
 
-def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", **rules) -> DataFrame:
-    """Chunks to remove: _ld_id, _ld_th, s, e; equal in bytes to the first place of their text."""
-    chunks = materialize(chunk_table(docs, id_col, text_col, **rules), "chunks")
-    place = F.struct("_ld_id", "_ld_th", "s")
-    repeated = materialize(
-        chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"),
-        "chunks-repeated")
-    flagged = chunks.alias("c").join(repeated.alias("r"), "h").select(
-        "_ld_id", "_ld_th", "s", "e", "h",
+def repeats(ranges: DataFrame, name: str) -> DataFrame:
+    """Places of the repeated texts among ``ranges`` (_ld_id, _ld_th, s, e, h, covered), with is_first."""
+    repeated = materialize(ranges.groupBy("h").agg(
+        F.count("*").alias("n"), F.min(F.struct("_ld_id", "_ld_th", "s")).alias("first")).where("n > 1"), name)
+    return look_up(ranges, repeated, "h", ["_ld_id", "s"]).select(
+        "_ld_id", "_ld_th", "s", "e", "h", "covered",
         F.expr("first._ld_id <=> _ld_id AND first._ld_th = _ld_th AND first.s = s").alias("is_first"))
-    # Among later places of a document, every second one is left out if its neighbours meet, so nearly every unit is
+
+
+def with_chunks(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``units`` with the array ``until``: per unit the end of the repeated chunk that it is in, negative in a first
+    place, and 0 outside. ``chunks`` are the places of repeated chunks."""
+    taken = chunks.select("_ld_id", "_ld_th", "s", F.when(F.col("is_first"), -F.col("e")).otherwise(F.col("e")).alias("e")) \
+        .distinct().groupBy("_ld_id", "_ld_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("taken"))
+    return units.alias("u").join(taken.alias("t"), F.expr("u._ld_id <=> t._ld_id AND u._ld_th = t._ld_th"), "left") \
+        .select("u.*", F.expr("""IF(taken IS NULL, array_repeat(0, size(hashes)), concat(
+            flatten(transform(taken, (c, k) -> concat(array_repeat(0, c.s - abs(coalesce(get(taken, k - 1).e, 0))),
+                                                      array_repeat(c.e, abs(c.e) - c.s)))),
+            array_repeat(0, size(hashes) - abs(element_at(taken, -1).e))))""").alias("until"))
+
+
+def links(units: DataFrame) -> DataFrame:
+    """One row per pair of neighbouring units and per unit that counts by itself: _ld_id, _ld_th, s, e, h, shared, free.
+
+    ``shared`` ones lie in a repeated chunk, ``free`` ones are not inside a later place of one.
+    """
+    pairs = """transform(filter(sequence(0, size(hashes) - 1), i -> i + 1 < size(hashes)), i -> named_struct(
+        's', i, 'e', i + 2, 'h', xxhash64(get(hashes, i), get(hashes, i + 1)),
+        'shared', abs(get(until, i)) > i + 1, 'free', get(until, i) <= i + 1))"""
+    singles = """transform(filter(sequence(0, size(hashes) - 1), i -> get(alone, i)), i -> named_struct(
+        's', i, 'e', i + 1, 'h', xxhash64(get(hashes, i), 'alone'),
+        'shared', get(until, i) != 0, 'free', get(until, i) <= 0))"""
+    return units.select("_ld_id", "_ld_th", inlined(F.expr(f"concat({pairs}, {singles})"))).where("s IS NOT NULL")
+
+
+def runs_of(units: DataFrame, shared: DataFrame, min_units=2, min_chars=60) -> DataFrame:
+    """One row per shortest run that counts, from and up to every unit: _ld_id, _ld_th, s, e, h, covered.
+
+    A run counts if it has ``min_units`` units and ``min_chars`` characters; a unit may count by itself (``alone``). A
+    run lies in one stretch of the ``shared`` links and is not inside one later chunk; ``covered`` tells that all its
+    units are in later chunks.
+    """
+    per_doc = _joined_ranges(shared, touching=False).groupBy("_ld_id", "_ld_th") \
+        .agg(F.collect_list(F.struct("s", "e")).alias("stretches"))
+    parts = ", ".join(f"'{name}', slice({name}, c.s + 1, c.e - c.s)" for name in ("hashes", "lengths", "alone", "until"))
+    cut = units.alias("u").join(per_doc.alias("p"), F.expr("u._ld_id <=> p._ld_id AND u._ld_th = p._ld_th")) \
+        .select("u._ld_id", "u._ld_th", inlined(F.expr(
+            f"transform(stretches, c -> named_struct('at', c.s, {parts}))"))).where("at IS NOT NULL")
+    ranges = cut.withColumn("ranges", F.expr(
+        f"filter({_chunks(min_units, min_chars)}, r -> at + r.e > get(until, r.s))"))
+    return ranges.select("_ld_id", "_ld_th", inlined(F.expr("""transform(ranges, r -> named_struct(
+        's', at + r.s, 'e', at + r.e, 'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s)),
+        'covered', get(until, r.s) > 0 AND forall(slice(until, r.s + 1, r.e - r.s), x -> x > 0)))"""))) \
+        .where("s IS NOT NULL")
+
+
+def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", min_units=2, min_words=20, min_chars=60,
+                    long_chars=300, reach=2) -> DataFrame:
+    """Chunks and runs to remove: _ld_id, _ld_th, s, e; equal in bytes to the first place of their text."""
+    units = materialize(unit_table(docs, id_col, text_col, min_words, min_chars, long_chars), "units",
+                        compression="zstd")
+    chunks = materialize(chunk_table(units, min_chars, reach), "chunks")
+    whole_chunks = materialize(repeats(chunks.withColumn("covered", F.lit(False)), "chunks-repeated"), "chunks-places")
+    units = materialize(with_chunks(units, whole_chunks), "units-chunks", compression="zstd")
+    pairs = materialize(links(units), "links", compression="zstd")
+    # What is inside a later place needs no count, since it is in the chunk's first place too.
+    known = pairs.where("free").groupBy("h").agg(
+        F.count("*").alias("places"), F.count_if(~F.col("shared")).alias("n")).where("places > 1 AND n > 0").drop("places")
+    known = materialize(known, "links-repeated")
+    own = ["_ld_id", "_ld_th", "s", "e"]
+    shared = look_up(pairs.where("NOT shared"), known, "h", ["_ld_id", "s"]).select(*own) \
+        .unionByName(pairs.where("shared").select(*own))
+    runs = materialize(runs_of(units, shared, min_units, min_chars), "runs")
+    flagged = whole_chunks.unionByName(repeats(runs, "runs-repeated")).where("is_first OR NOT covered").drop("covered")
+    # Among later places of a document, every second one is left out if its neighbours cover it, so nearly every unit is
     # compared once. First places are all needed, since others may be compared with any of them.
     by_place = Window.partitionBy("_ld_id", "_ld_th", "is_first").orderBy("s", "e")
     flagged = flagged.distinct().withColumn("place", F.row_number().over(by_place)) \
-        .withColumn("meet", F.lag("e").over(by_place) >= F.lead("s").over(by_place)) \
+        .withColumn("meet", (F.lag("e").over(by_place) >= F.lead("s").over(by_place))
+                    & (F.lead("e").over(by_place) >= F.col("e"))) \
         .where("is_first OR place % 2 = 1 OR NOT coalesce(meet, false)")
     per_doc = materialize(flagged.groupBy("_ld_id", "_ld_th").agg(
         F.collect_list(F.struct("s", "e", "h", "is_first")).alias("flagged")), "chunks-flagged")
     texts = _keyed(docs, id_col, text_col).select("_ld_id", "_ld_th", "_ld_text").alias("d") \
         .join(per_doc.alias("f"), F.expr("d._ld_id <=> f._ld_id AND d._ld_th = f._ld_th")) \
         .select("d._ld_id", "d._ld_th", F.expr(UNITS).alias("units"), "flagged") \
-        .select("_ld_id", "_ld_th", F.inline(F.expr("""transform(flagged, c -> named_struct('s', c.s, 'e', c.e,
-            'h', c.h, 'is_first', c.is_first, 't', array_join(slice(units, c.s + 1, c.e - c.s), '')))""")))
+        .select("_ld_id", "_ld_th", inlined(F.expr("""transform(flagged, c -> named_struct('s', c.s, 'e', c.e,
+            'h', c.h, 'is_first', c.is_first, 't', array_join(slice(units, c.s + 1, c.e - c.s), '')))"""))).where("h IS NOT NULL")
     texts = materialize(texts, "chunks-texts", compression="zstd")
     # Repeated rows of one document give the same first place more than once.
-    first = texts.where("is_first").groupBy("h").agg(F.first("t").alias("t"))
+    later = texts.where("NOT is_first")
+    first = texts.where("is_first").groupBy("h").agg(F.first("t").alias("first")) \
+        .join(later.groupBy("h").agg(F.count("*").alias("n")), "h")
     first = materialize(first, "chunks-first", compression="zstd")
-    return texts.where("NOT is_first").alias("c").join(first.alias("f"), F.expr("c.h = f.h AND c.t = f.t")) \
-        .select("_ld_id", "_ld_th", "s", "e")
+    return look_up(later, first, "h", ["_ld_id", "s"]).where("t = first").select("_ld_id", "_ld_th", "s", "e")
 
 
-def _joined_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges of a document that overlap or touch, as one."""
+def _joined_ranges(ranges: DataFrame, touching=True) -> DataFrame:
+    """Ranges of a document that overlap, or touch, as one."""
     key = Window.partitionBy("_ld_id", "_ld_th").orderBy("s", "e")
-    fresh = F.coalesce(F.col("s") > F.max("e").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    before = F.max("e").over(key.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("s") > before) if touching else (F.col("s") >= before), F.lit(True))
     return ranges.distinct().withColumn("_ld_fresh", fresh.cast("int")) \
         .withColumn("_ld_range", F.sum("_ld_fresh").over(key.rowsBetween(Window.unboundedPreceding, 0))) \
         .groupBy("_ld_id", "_ld_th", "_ld_range").agg(F.min("s").alias("s"), F.max("e").alias("e"))

@@ -1,11 +1,12 @@
 """Secret scan: patterns of known secrets plus strings that look random to character Markov models.
 
-Two order-2 character models are trained on labelled samples, one on random strings, one on ordinary identifiers. A run
-of identifier characters is a secret if the log-likelihood ratio of the two models, per character, exceeds a threshold.
+Two Markov models of character transitions are trained on labelled samples, one on random strings, one on ordinary
+identifiers. A run of identifier characters is a secret if the log-likelihood ratio of the two models, per character, exceeds a threshold.
 Training counts are gathered over a bounded sample of labelled strings (``max_samples`` per label); when the documents
 are the source, values of the known patterns are labelled random, other runs from the same documents ordinary.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows get the same result each.
+Positions are code points, ends exclusive. Null and empty texts have no spans. A very long text is one string of a task.
+Repeated rows get the same result each.
 Other columns are not looked at.
 """
 

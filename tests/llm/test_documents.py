@@ -289,6 +289,35 @@ def test_line_dedup_is_exact(spark):
          [(i, t, len(texts[i]) - len(t)) for i, t in want.items()])
 
 
+def test_line_dedup_is_exact_around_chunks(spark):
+    """Pieces of long passages whose units occur nowhere else, so that most units are in few places."""
+    rng = random.Random(14)
+    passages = [[prose(500 + 40 * p + k, rng.choice([1, 2, 3, 5, 9, 22])) + rng.choice([". ", "\n"]) for k in range(40)]
+                for p in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [f"{prose(90_000 + i, 9)}. "] if rng.random() < 0.7 else []
+        for _ in range(rng.randint(1, 3)):
+            passage, at = rng.choice(passages), rng.randrange(38)
+            parts += passage[at:at + rng.randint(1, 15)]
+            if rng.random() < 0.3:
+                parts.append(f"{prose(70_000 + rng.randrange(10 ** 6), 3)}\n")
+        rows.append((i, "".join(parts)))
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    want, texts = slow_dedup(rows), dict(rows)
+    same([(r["doc_id"], r["text"], r["_ld_removed"]) for r in got],
+         [(i, t, len(texts[i]) - len(t)) for i, t in want.items()])
+
+
+def test_chunk_boundaries_resist_shifts(spark):
+    passage = "".join(f"{prose(300 + k, 8)}.\n" for k in range(200))
+    docs = spark.createDataFrame([(0, passage), (1, "One more.\nAnd again. " + passage)], "doc_id long, text string")
+    chunks = lines.chunk_table(lines.unit_table(docs)).collect()
+    by_doc = [{r["h"] for r in chunks if r["_ld_id"] == i} for i in (0, 1)]
+    assert len(by_doc[0] & by_doc[1]) >= len(by_doc[0]) - 2 and 25 <= len(by_doc[0]) <= 70
+    assert all(r["e"] - r["s"] >= 3 for r in chunks)
+
+
 # ---- mixing ---------------------------------------------------------------------------------
 
 def slow_targets(sizes):
@@ -428,6 +457,48 @@ def test_learned_lexicon(spark, empty, nasty):
     assert toxicity.score(nasty, default).count() == len(NASTY)
 
 
+def test_hits_against_a_naive_matcher():
+    rng = random.Random(6)
+
+    def text(n):
+        return "".join(rng.choice("aab  b.") for _ in range(n))
+
+    for _ in range(300):
+        patterns = {text(rng.randint(1, 4)).strip(" .") for _ in range(6)} - {""}
+        words, beginnings, spared = ({p: rng.random() for p in patterns if rng.random() < 0.5} for _ in range(3))
+        lexicon = toxicity.Lexicon(words, beginnings, tuple(spared))
+        t = text(rng.randint(0, 60))
+
+        def places(pattern, begin):
+            return [(i, i + len(pattern)) for i in range(len(t)) if t.startswith(pattern, i)
+                    and not (i and t[i - 1].isalnum())
+                    and (begin or i + len(pattern) == len(t) or not t[i + len(pattern)].isalnum())]
+
+        free = [p for e in spared for p in places(e, False)]
+        want = [w for found, begin in ((words, False), (beginnings, True)) for pattern, w in found.items()
+                for s, e in places(pattern, begin) if not any(a <= s and e <= b for a, b in free)]
+        assert sorted(toxicity.hits(t, lexicon.automaton())) == sorted(want)
+
+
+def test_rare_words_enter_and_harmless_ones_are_spared(spark):
+    """A word in 1 % of the toxic documents enters, however many there are; a clean word under a beginning is spared."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        extra = []
+        if toxic:
+            extra = ["grub" + rng.choice("abcdefgh")] * 2 + (["zorfle"] if i % 300 == 0 else [])
+        elif i % 20 == 1:
+            extra = ["grubs"]
+        rows.append((i, " ".join(prose(i, 30).split() + extra), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zorfle" in lexicon.words and "grub" in lexicon.beginnings and "grubs" in lexicon.exceptions
+    machine = lexicon.automaton()
+    assert toxicity.hits("a grubs here", machine) == [] and len(toxicity.hits("a gruba here", machine)) == 1
+
+
 # ---- near-duplicates ------------------------------------------------------------------------
 
 def test_near_duplicate_classes(spark, nasty, empty):
