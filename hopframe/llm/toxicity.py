@@ -6,10 +6,10 @@ a phrase. Hits inside an exception phrase do not count. The score is a logistic
 weight sum normalised by length.
 
 The lexicon is learned from labelled documents: beginnings of words and whole words are counted by label, and the
-shortest that occur (almost) only in toxic documents enter, weighted by log odds; longer words around them that occur
-(almost) only in clean documents become exceptions. At most ``max_rows`` labelled rows are used, those with the smallest
-hash of their id, so the cost of learning does not grow with the corpus. Only pattern counts above a floor reach the
-driver, at most ``max_patterns``.
+shortest that are surely more frequent in toxic documents enter, weighted by log odds; words under a beginning that are
+surely more frequent in clean documents become exceptions, beside a few fixed phrases. At most ``max_rows`` labelled rows
+are used, those with the smallest hash of their id, so the cost of learning does not grow with the corpus. At most
+``max_patterns`` patterns and as many exceptions reach the driver.
 
 Null texts count as empty. An empty text, or one without hits, has the score of zero weight. Repeated rows get the same
 score. Without labelled rows of both kinds the default lexicon and scale are used. Other columns are not looked at.
@@ -20,17 +20,20 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.llm.common import map_texts, sample_rows, whole
+from hopframe.session import materialize
 
 # Digits that stand for letters, and letters of other scripts that look like Latin ones.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -101,7 +104,13 @@ def hits(folded: str, machine: ahocorasick.Automaton) -> list[float]:
         for kind, weight in uses:
             if kind == "begin" or closed:
                 (spared if kind == "except" else found).append((start, end, weight))
-    return [w for s, e, w in found if not any(a <= s and e <= b for a, b, _ in spared)]
+    if not spared:
+        return [w for _, _, w in found]
+    # Of the exceptions that begin no later than a hit, the one that reaches farthest decides.
+    spared.sort()
+    starts = [a for a, _, _ in spared]
+    reach = list(accumulate((b for _, b, _ in spared), max))
+    return [w for s, e, w in found if not (k := bisect_right(starts, s)) or reach[k - 1] < e]
 
 
 def features(texts: list[str], machine: ahocorasick.Automaton) -> np.ndarray:
@@ -147,12 +156,23 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
         .dropDuplicates(["text", "toxic"])
 
 
+def odds_bounds(n_toxic: int, n_clean: int, z: float) -> tuple[Column, Column]:
+    """Lower and upper bound of the log odds ratio of toxic against clean documents, ``z`` standard errors away."""
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    t_rest, c_rest = F.lit(n_toxic + 0.5) - F.col("toxic"), F.lit(n_clean + 0.5) - F.col("clean")
+    odds = F.log(t) - F.log(t_rest) - F.log(c) + F.log(c_rest)
+    error = F.sqrt(1 / t + 1 / t_rest + 1 / c + 1 / c_rest)
+    return odds - z * error, odds + z * error
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", max_rows=20000, max_patterns=2000,
-          floor=4, least_share=0.03, purity=0.95) -> Lexicon:
+          sure=2.8, purity=0.95) -> Lexicon:
     """A lexicon and its scale from documents and their labels (``id_col``, ``toxic``).
 
-    A pattern needs ``floor`` toxic documents and ``least_share`` of all toxic ones; of the documents that would have
-    it were both labels equally frequent, a share of ``purity`` must be toxic.
+    A pattern enters if the log odds of toxic documents are above zero by ``sure`` standard errors, a rule that is the
+    same for every number of rows, and if, were both labels equally frequent, a share of ``purity`` of the documents
+    that have it were toxic. Whole words under a beginning that enters become exceptions if their log odds are below
+    zero by ``sure`` standard errors. At most ``max_patterns`` patterns and as many exceptions are kept.
     """
     rows = labelled_rows(docs, labels, id_col, text_col, max_rows).persist()
     try:
@@ -160,18 +180,32 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         n_toxic, n_clean = total.get(1, 0), total.get(0, 0)
         if not n_toxic or not n_clean:
             return Lexicon.default()
-        floor = max(floor, math.ceil(least_share * n_toxic))
+        low, high = odds_bounds(n_toxic, n_clean, sure)
         rate = F.col("toxic") / n_toxic / ((F.col("toxic") / n_toxic) + (F.col("clean") + 0.5) / n_clean)
-        odds = pattern_counts(rows).where(F.col("toxic") >= floor).withColumn("rate", rate)
-        listed = odds.where(F.col("rate") >= purity) \
-            .withColumn("chars", F.length(F.rtrim("pattern", F.lit("$")))) \
+        counts = pattern_counts(rows).where((low > 0) & (rate >= purity) | (F.col("pattern").endswith("$") & (high < 0)))
+        counts = materialize(counts.withColumn("enters", low > 0), "toxicity-patterns")
+        listed = counts.where("enters").withColumn("chars", F.length(F.rtrim("pattern", F.lit("$")))) \
             .orderBy(F.desc("toxic"), F.asc("chars"), "pattern").limit(max_patterns).collect()
         lexicon = choose(((r["pattern"], r["toxic"], r["clean"]) for r in listed), n_toxic, n_clean)
+        lexicon.exceptions += tuple(harmless(counts.where("NOT enters"), lexicon.beginnings, max_patterns))
         return scale(rows, lexicon)
     finally:
         rows.unpersist()
 
 
+def harmless(counts: DataFrame, beginnings: dict[str, float], most: int) -> list[str]:
+    """The whole words of ``counts`` under one of the beginnings, the most frequent ``most``."""
+    if not beginnings:
+        return []
+    word = F.rtrim("pattern", F.lit("$"))
+    # At most as many beginnings as patterns.
+    known = counts.sparkSession.createDataFrame([(b,) for b in sorted(beginnings)], "beginning string")
+    stems = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n)))
+    found = counts.withColumn("word", word).select("word", "clean", stems.alias("beginning")) \
+        .join(F.broadcast(known), "beginning").select("word", "clean").distinct()
+    return [r["word"] for r in found.orderBy(F.desc("clean"), "word").limit(most).collect()]
+
+
 def choose(counted, n_toxic: int, n_clean: int, same=0.8) -> Lexicon:
     """Shortest patterns first, each made as specific as its documents allow.
 

@@ -480,25 +480,28 @@ def test_hits_against_a_naive_matcher():
         assert sorted(toxicity.hits(t, lexicon.automaton())) == sorted(want)
 
 
-def test_rare_words_enter_and_harmless_ones_are_spared(spark):
-    """A word in 1 % of the toxic documents enters, however many there are; a clean word under a beginning is spared."""
+def test_harmless_words_under_a_beginning_are_spared(spark):
     rng = random.Random(9)
     rows = []
     for i in range(3000):
-        toxic = i % 3 == 0
-        extra = []
-        if toxic:
-            extra = ["grub" + rng.choice("abcdefgh")] * 2 + (["zorfle"] if i % 300 == 0 else [])
-        elif i % 20 == 1:
-            extra = ["grubs"]
-        rows.append((i, " ".join(prose(i, 30).split() + extra), int(toxic)))
+        bad = ["grub" + rng.choice("abcdefgh")] * 2 if i % 3 == 0 else ["grubs"] * (i % 20 == 1)
+        rows.append((i, " ".join(prose(i, 30).split() + bad), int(i % 3 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    assert "zorfle" in lexicon.words and "grub" in lexicon.beginnings and "grubs" in lexicon.exceptions
+    assert "grub" in lexicon.beginnings and "grubs" in lexicon.exceptions
     machine = lexicon.automaton()
     assert toxicity.hits("a grubs here", machine) == [] and len(toxicity.hits("a gruba here", machine)) == 1
 
 
+@pytest.mark.parametrize("n", [800, 4000])
+def test_rare_words_enter_at_every_size(spark, n):
+    """A word in every tenth toxic document, of eight in a hundred, enters whatever the number of documents."""
+    rows = [(i, prose(i, 30) + (" snork" if i % 13 == 0 else "") + (" zorfle" if i % 130 == 0 else ""), int(i % 13 == 0))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"snork", "zorfle"} == set(toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")).words)
+
+
 # ---- near-duplicates ------------------------------------------------------------------------
 
 def test_near_duplicate_classes(spark, nasty, empty):
