@@ -856,7 +856,7 @@ def _targets_sql() -> str:
 def _g3(spark, sf):
     """Edges between customers and parts; targets of one customer are distinct."""
     c, p = _n(spark, sf), _n(spark, sf, "part")
-    sources = table(spark, sf, "customer").select(F.col("c_custkey").alias("n"))
+    sources = scale_free.numbered(spark, table(spark, sf, "customer").select(F.col("c_custkey").alias("n")))
     return scale_free.target_table(sources, "buys", "C", "P", {"C": (0, c), "P": (c, c + p)}, 2.0, 42, algo="md5")
 
 

@@ -47,7 +47,13 @@ def zipf_degree(u: Column, gamma: float, n: int) -> Column:
 
     The smallest k whose remaining mass sum(j^-gamma, j > k) is at most (1 - u) * zeta(gamma). The table holds the sums
     up to HEAD; beyond it the same sums come from their series, evaluated around the continuous solution.
+
+    The uniform is bound to a variable first: written into the comparisons it would be hashed again for each of them.
     """
+    return F.element_at(F.transform(F.array(u), lambda x: _zipf_inverse(x, gamma, n)), 1)
+
+
+def _zipf_inverse(u: Column, gamma: float, n: int) -> Column:
     cdf = zipf_table(gamma)
     left = (F.lit(1.0) - u) * F.lit(float(zeta_tail(gamma, 1.0)))
     guess = F.floor(F.pow(left * F.lit(gamma - 1), F.lit(-1 / (gamma - 1)))).cast("double")

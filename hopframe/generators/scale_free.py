@@ -1,7 +1,7 @@
-"""Multi-type scale-free graphs without a shuffle.
+"""Multi-type scale-free graphs without a shuffle of edges.
 
 A vertex's degree, its targets and all properties are functions of its own number, so
-every task makes its range of vertices and edges independently.
+every task makes its share of vertices and edges independently.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from hopframe.functions.scalars import padded_id
 from hopframe.generators.degrees import zipf_degree
 from hopframe.generators.values import check_spec, property_columns
 from hopframe.model import EdgeTable, PropertyGraph
+from hopframe.operators.skew import spread
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 WALK, WALKS = 8, 32
 
 
@@ -67,10 +68,13 @@ def vertex_ranges(n: int, verts: list[VertexType]) -> dict[str, tuple[int, int]]
 
 
 def numbered(spark: SparkSession, keys: int | DataFrame, first: int = 1) -> DataFrame:
-    """A DataFrame of numbers ``n``: the one given, or ``first``, ``first`` + 1, ... for a count."""
+    """A DataFrame of numbers ``n``: the one given, or ``first``, ``first`` + 1, ... for a count.
+
+    Numbers given are spread evenly over the cluster: they are small and may lie in one file, but much grows from each.
+    """
     if isinstance(keys, int):
         return spark.range(first, first + keys).select(F.col("id").alias("n"))
-    return keys.select(F.col("n").cast("bigint").alias("n"))
+    return spread(keys.select(F.col("n").cast("bigint").alias("n")))
 
 
 def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str, algo: str = "xxhash64") -> Column:
@@ -97,9 +101,11 @@ def distinct_targets(src: Column, i: Column, pool: int, seed: int, stream: str,
     def walk(y: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, lambda z, _: F.when(z < pool, z).otherwise(rounds(z)))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), rounds(i.cast("bigint")),
-                        lambda y, _: F.when(y < pool, y).otherwise(walk(y)))
-    return F.when(found < pool, found).otherwise(F.raise_error(F.lit("a target stayed outside its pool")).cast("bigint"))
+    # The check is the last step of the walk, so that the walk is evaluated once per target.
+    outside = F.raise_error(F.lit("a target stayed outside its pool")).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), rounds(i.cast("bigint")),
+                       lambda y, _: F.when(y < pool, y).otherwise(walk(y)),
+                       lambda y: F.when(y < pool, y).otherwise(outside))
 
 
 def out_degrees(vertices: DataFrame, gamma: float, n_src: int, seed: int, stream: str,
@@ -120,12 +126,10 @@ def expand(degs: DataFrame, count: str, index: str, most: int | None = None) ->
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), c - 1)).alias(index))
     if most is not None and most <= CHUNK:
         return few
-    hubs = (degs.filter(c > CHUNK)
-            .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                              F.floor((c - 1) / CHUNK).cast("bigint"))).alias("_chunk"))
-            .repartition("_chunk", *degs.columns)
-            .select(*degs.columns, F.explode(F.sequence(
-                F.col("_chunk") * CHUNK, F.least(c, (F.col("_chunk") + 1) * CHUNK) - 1)).alias(index)))
+    chunks = degs.filter(c > CHUNK).select("*", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((c - 1) / CHUNK).cast("bigint"))).alias("_chunk"))
+    hubs = spread(chunks).select(*degs.columns, F.explode(F.sequence(
+        F.col("_chunk") * CHUNK, F.least(c, (F.col("_chunk") + 1) * CHUNK) - 1)).alias(index))
     return few.unionByName(hubs)
 
 
@@ -142,8 +146,10 @@ def target_table(sources: DataFrame, e_key: str, src_type: str, dst_type: str,
     degs = out_degrees(sources, gamma, n_src, seed, e_key, algo).select(
         F.col("n").alias("s"), F.least("degree", F.lit(pool).cast("bigint")).alias("_k"))
     t = distinct_targets(F.col("s"), F.col("_i"), pool, seed, e_key, algo) + F.lit(lo).cast("bigint")
-    t = F.when(t >= F.col("s"), t + 1).otherwise(t) if same else t
-    return expand(degs, "_k", "_i", pool).select("s", t.alias("t"))
+    pairs = expand(degs, "_k", "_i", pool).select("s", t.alias("t"))
+    if same:
+        pairs = pairs.withColumn("t", F.when(F.col("t") >= F.col("s"), F.col("t") + 1).otherwise(F.col("t")))
+    return pairs
 
 
 def generate(spark: SparkSession, n: int | DataFrame, config: Mapping, gamma: float = 2.5, seed: int = 42,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Hot keys that are broadcast at most: some megabytes of ids.
 MARKS = 100_000
+# Tasks per core where rows are spread evenly; more of them cost more to start than they even out.
+WAVES = 4
 
 
 def supernodes(edges: DataFrame, threshold: int, end: str = "src") -> DataFrame:
@@ -18,6 +20,20 @@ def supernodes(edges: DataFrame, threshold: int, end: str = "src") -> DataFrame:
             .filter(F.col("degree") >= threshold))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows by hash of ``keys`` in ``spark.sql.shuffle.partitions`` tasks, or without keys evenly in ``WAVES``
+    tasks per core.
+
+    The runtime merges small shuffle partitions by their compressed bytes. Rows that are few and cheap to store but dear
+    to work on, such as numbers that grow into many edges or paths that are sorted, would end up in a handful of tasks;
+    a stated number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    if keys:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(WAVES * spark.sparkContext.defaultParallelism)
+
+
 def splittable(aggregated: DataFrame) -> DataFrame:
     """The same rows behind an exchange of their own.
 

@@ -69,6 +69,59 @@ def test_no_shuffle_in_generation(spark):
     assert "Exchange" not in g.edge_view()._jdf.queryExecution().executedPlan().toString()
 
 
+def _one_file(spark, n):
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("n"))
+
+
+def _tasks(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def _plan(df, part="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), part)().toString()
+
+
+def test_targets_of_sources_in_one_file_are_made_by_many_tasks(spark):
+    few = _one_file(spark, 400)
+    ranges = {"C": (0, 400), "P": (400, 500)}
+    spread = scale_free.target_table(scale_free.numbered(spark, few), "buys", "C", "P", ranges, 2.0, 42)
+    assert _tasks(spread) > 1
+    assert rows(spread) == rows(scale_free.target_table(few, "buys", "C", "P", ranges, 2.0, 42))
+
+
+def test_chunks_of_hubs_are_not_merged(spark, monkeypatch):
+    monkeypatch.setattr(scale_free, "CHUNK", 16)
+    hub = spark.range(0, 1, 1, 1).select(F.col("id").alias("n"), F.lit(1000).cast("bigint").alias("k"))
+    e = scale_free.expand(hub, "k", "i")
+    assert _tasks(e) > 1 and rows(e, "i") == [(i,) for i in range(1000)]
+
+
+def test_degrees_and_walks_hash_their_row_once(spark):
+    few = _one_file(spark, 4)
+    degs = few.select(degrees.zipf_degree(uniform(1, "s", F.col("n")), 2.0, 100).alias("k"))
+    assert _plan(degs).count("xxhash64") == 1
+    walk = few.select(scale_free.distinct_targets(F.col("n"), F.lit(3), 97, 1, "e").alias("t"))
+    assert _plan(walk).count("xxhash64") == 2  # the first step and one inside the loop
+
+
+@pytest.fixture(scope="module")
+def two_tables(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    for name, key, n in (("customer", "c_custkey", 300), ("part", "p_partkey", 90)):
+        spark.range(0, n, 1, 1).select(F.col("id").alias(key)).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["g3_targets"])
+def test_target_queries_spread_their_sources(spark, two_tables, name):
+    from hopframe.catalog import QUERIES
+
+    df = QUERIES[name](spark, two_tables)
+    assert "RoundRobinPartitioning" in _plan(df, "executedPlan")
+    if name == "g3_target_checks":
+        assert rows(df) == [(0, 0, 0)]
+
+
 @pytest.mark.parametrize("change", [
     lambda c: c["vertices"]["A"].update(percent=30), lambda c: c["edges"]["TO"]["A_TO_B"].update(to="Z"),
     lambda c: c["vertices"]["A"]["properties"].update(i={"type": "Int", "min": 6, "max": 5}),
