@@ -75,9 +75,10 @@ def hub_transfers(hubs: DataFrame, accounts: int, seed: int = 42) -> DataFrame:
     targets = F.least(int_between(uniform(seed, "payees", n), 5, 8), F.lit(accounts).cast("bigint"))
     picked = hubs.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), targets - 1)).alias("i"))
     times = int_between(uniform(seed, "times", n, i), 9, 25)
-    rows = picked.select("n", "i", F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("j"))
-    far = distinct_targets(n, i, accounts, seed, "payee") + 1
+    # A payee is drawn once, before its transfers are listed.
+    paid = picked.select("n", "i", (distinct_targets(n, i, accounts, seed, "payee") + 1).alias("far"))
+    rows = paid.select("n", "i", "far", F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("j"))
     return rows.select(
         F.concat_ws("#", F.lit("Hub"), n.cast("string"), i.cast("string"), j.cast("string")).alias("eid"),
-        F.concat(F.lit("A"), n).alias("src"), F.concat(F.lit("A"), far).alias("dst"),
+        F.concat(F.lit("A"), n).alias("src"), F.concat(F.lit("A"), F.col("far")).alias("dst"),
         F.concat(F.lit("T"), n).alias("transactionId"), *_details(seed, "hub", 5_000, 30_000, n, i, j))

@@ -104,6 +104,14 @@ def test_degrees_and_walks_hash_their_row_once(spark):
     assert _plan(walk).count("xxhash64") == 2  # the first step and one inside the loop
 
 
+def test_payees_are_drawn_once_by_many_tasks(spark):
+    few = _one_file(spark, 40)
+    tx = payments.hub_transfers(scale_free.numbered(spark, few), 300)
+    assert _tasks(tx) > 1 and rows(tx) == rows(payments.hub_transfers(few, 300))
+    lines = _plan(tx).split("\n")
+    assert min(i for i, x in enumerate(lines) if "payee/permute" in x) > min(i for i, x in enumerate(lines) if "explode" in x)
+
+
 @pytest.fixture(scope="module")
 def two_tables(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
