@@ -112,6 +112,15 @@ def test_payees_are_drawn_once_by_many_tasks(spark):
     assert min(i for i, x in enumerate(lines) if "payee/permute" in x) > min(i for i, x in enumerate(lines) if "explode" in x)
 
 
+def test_egos_of_one_file_are_made_by_many_tasks(spark):
+    from hopframe.catalog import CLUB_GRAPH
+
+    few = _one_file(spark, 60)
+    g, same = ego.generate(spark, few, CLUB_GRAPH, 30.0), ego.generate(spark, 60, CLUB_GRAPH, 30.0)
+    assert all(_tasks(t.df) > 4 for t in g.edges)
+    assert rows(g.edge_view(None, ()), "eid") == rows(same.edge_view(None, ()), "eid")
+
+
 @pytest.fixture(scope="module")
 def two_tables(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
