@@ -129,7 +129,7 @@ def two_tables(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["g3_targets"])
+@pytest.mark.parametrize("name", ["g3_targets", "g3_target_checks"])
 def test_target_queries_spread_their_sources(spark, two_tables, name):
     from hopframe.catalog import QUERIES
 
