@@ -11,7 +11,7 @@ from hopframe.functions.rng import uniform
 from hopframe.functions.scalars import micros, or_unknown
 from hopframe.model import PropertyGraph, union_all
 from hopframe.operators.frontier import Frontier
-from hopframe.operators.skew import first_per
+from hopframe.operators.skew import first_per, spread
 from hopframe.session import materialize
 
 # Growth of the width for seeds whose kept prefixes gave too few paths.
@@ -102,7 +102,8 @@ def smallest_walks(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, k
     A path sorts by its prefix first, so after every hop only the smallest prefixes of a seed go on, and a vertex
     offers each of them only its first edges. What is dropped sorts after everything that is kept. Prefixes may lead
     nowhere: a seed that lost some and has fewer than ``k`` paths is walked again with ``WIDER`` times the width. So the
-    result is exact, and between hops a seed has at most width times width rows, whatever the hubs.
+    result is exact, and between hops a seed has at most width times width rows, whatever the hubs. Paths are long and
+    compress well, so they are ranked, and their elements listed, in a stated number of tasks.
     """
     done, todo, width = [], seeds.select("seed").distinct(), k
     while True:
@@ -113,7 +114,7 @@ def smallest_walks(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, k
         if short.isEmpty():
             break
         todo, width = short, width * WIDER
-    best = first_per(union_all(done), "seed", [F.col("path")], k, "cur").drop("_rn")
+    best = first_per(spread(union_all(done), "seed"), "seed", [F.col("path")], k, "cur").drop("_rn")
     return replace(f, df=best, seeds=seeds.select("seed"))
 
 
@@ -132,7 +133,7 @@ def _grow(g: PropertyGraph, seeds: DataFrame, label: str, depth: int, width: int
         else:
             e = f.both_e(cap=per_hop)
         f = e.other_v().simple_path()
-        kept = materialize(first_per(f.df, "seed", [F.col("path")], width + 1, "cur"), "walks")
+        kept = materialize(first_per(spread(f.df, "seed"), "seed", [F.col("path")], width + 1, "cur"), "walks")
         lost.append(kept.filter(F.col("_rn") > width).select("seed"))
         f = replace(f, df=kept.filter(F.col("_rn") <= width).drop("_rn"))
     return f, union_all(lost)

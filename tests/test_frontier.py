@@ -310,3 +310,17 @@ def test_first_rows_of_a_hub_for_any_k(spark):
         for key, o, i in df.collect():
             by_key.setdefault(key, []).append((-o, i))
         assert got == sorted((key, n + 1, i) for key, v in by_key.items() for n, (_, i) in enumerate(sorted(v)[:k]))
+
+
+def test_walks_of_many_seeds_are_ranked_and_listed_by_many_tasks(spark):
+    seeds = spark.range(0, 200, 1, 1).select(F.concat(F.lit("c"), F.col("id")).alias("id"))
+    edges = seeds.select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(f"r{i}") for i in range(4)])).alias("dst"))
+    edges = edges.select(F.concat_ws(">", "src", "dst").alias("eid"), "src", "dst")
+    ends = spark.createDataFrame([(f"r{i}",) for i in range(4)], "id string")
+    g = PropertyGraph({"C": seeds, "R": ends}, (EdgeTable("e", edges, "C", "R"),))
+    found = orders.neighbourhood(g, seeds.select(F.col("id").alias("seed")), "C", 1, per_hop=5, max_paths=3).paths()
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    elements = orders.path_elements(found)
+    assert elements.select(F.spark_partition_id()).distinct().count() > 1
+    assert rows(elements) == sorted((f"c{i}", k, x) for i in range(200) for k, x in [
+        ("v", f"c{i}"), *[(k, x) for r in range(3) for k, x in (("e", f"c{i}>r{r}"), ("v", f"r{r}"))]])
