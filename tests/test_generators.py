@@ -129,6 +129,15 @@ def two_tables(spark, tmp_path_factory):
     return str(at)
 
 
+def test_inverted_edges_are_compared_in_a_stated_number_of_tasks(spark, two_tables):
+    from hopframe.catalog import QUERIES
+
+    df = QUERIES["g10_inverted"](spark, two_tables)
+    dealt = [x for x in _plan(df, "executedPlan").split("\n") if "hashpartitioning(src" in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
+    assert rows(df) == [(0,)]
+
+
 @pytest.mark.parametrize("name", ["g3_targets", "g3_target_checks"])
 def test_target_queries_spread_their_sources(spark, two_tables, name):
     from hopframe.catalog import QUERIES
