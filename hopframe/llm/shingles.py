@@ -35,7 +35,7 @@ class Powers:
 
     def grow(self, size: int) -> None:
         if size > len(self.up):
-            size = max(size, 1 << 20)
+            size = max(1 << 18, 1 << (size - 1).bit_length())
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1
@@ -52,7 +52,7 @@ class Powers:
 BYTES, TEXTS = Powers(BYTE_BASE), tuple(Powers(b) for b in TEXT_BASES)
 
 
-def slices(column: pa.Array, most_bytes=1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes=1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of parts of a string column, cut by size; no part is split inside a row."""
     width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if not len(column):

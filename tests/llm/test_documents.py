@@ -558,6 +558,28 @@ def test_samples_agree_as_often_as_similar():
 
 # ---- pipeline -------------------------------------------------------------------------------
 
+
+def test_workers_hash_texts_in_small_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from hopframe.llm import shingles
+
+    column = pa.array([prose(i, 300) for i in range(400)] + ["", LONG, "one"])
+
+    def keys(most):
+        return [k for _, data, offsets in shingles.slices(column, most)
+                for k in shingles.text_keys(*shingles.words(data, offsets))]
+
+    parts = [len(data) for _, data, offsets in shingles.slices(column) if len(offsets) > 2]
+    assert max(parts) <= 1 << 17 and keys(1 << 17) == keys(1 << 24)
+    powers = shingles.Powers(shingles.BYTE_BASE)
+    powers.grow(10)
+    assert len(powers.up) <= 1 << 18
+    powers.grow(300_000)
+    assert len(powers.up) >= 300_000 and (powers.up * powers.down == np.uint64(1)).all()
+
+
 def test_pipeline_stages(spark, tmp_path, nasty):
     rows = [(i, prose(i, 60), "en", f"s{i % 3}", 1) for i in range(100, 160)]
     rows += [(i, prose(i, 40) + " zorbl" * 3, "en", "s1", 1) for i in range(200, 212)]
