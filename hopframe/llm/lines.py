@@ -5,18 +5,17 @@ the boundaries: a place is one if its rolling hash is the smallest among ``reach
 the units nearby alone, so boundaries resist shifts, and chunks have at least ``reach + 1`` units. One row per chunk is
 grouped over the whole corpus; a chunk that occurs more than once, inside one text included, is repeated.
 
-Repeats that hold no whole chunk, and the rest of a passage beyond its chunks, are found by links: pairs of neighbouring
-units, and units that count by themselves. Links outside the later places of repeated chunks are counted by their hash;
-stretches of links that occur elsewhere or lie in repeated chunks are cut into the shortest runs that count from and up
-to every unit (see ``runs_of``), and those are grouped in the same way. So a passage is extended over its chunk edges
-unit by unit, against any earlier place and not just the first place of its chunk.
+Repeats that hold no whole chunk, and the rest of a passage beyond its chunks, are found by runs: the shortest runs of
+units that count from and up to every unit. Chunks and runs are grouped by their hash in one pass, and a passage is so
+extended over its chunk edges unit by unit.
 
-Chunks and runs are removed everywhere but at their first place (smallest id), after their bytes were compared with that
-first place. A unit is therefore removed if and only if it is part of a run that counts and has occurred at an earlier
-place: a run inside a later place of a repeated chunk occurs in the chunk's first place, all others are grouped.
+Documents are numbered in the order of their ids, so a place is one number, and so is the distance of a place from the
+first one with its hash. Places of a document at one distance make one range, which is compared with the range that far
+before it, unit by unit in bytes; the longest equal runs that count are removed. A unit is therefore removed if and only
+if it is part of a run that counts and has occurred at an earlier place.
 
-Only hashes and ranges are grouped over the whole corpus; texts travel for repeated chunks alone, and once to be cut.
-Rows of a key that holds many are spread over several tasks (``look_up``).
+Only hashes and places are grouped over the whole corpus; texts travel once per range, and once to be cut. Rows of a key
+that holds many are spread over several tasks (``look_up``).
 
 Null and empty texts have no chunks and stay as they are. A very long text is one row, cut in time that grows with its
 units. A row that equals another in id and text is the same document and gets the same result. Columns beginning with
@@ -37,6 +36,10 @@ ENDS = (r"\n", ". ", "! ", "? ")
 # Keys with more than one in HOT of all rows are spread over SALTS tasks.
 HOT = 1000
 SALTS = 64
+# Units of a document in which places at the same distance from their first ones are compared together.
+WINDOW = 64
+# Stands for the length of a unit that counts by itself; more than all that is asked of a run.
+ALONE = 1 << 20
 
 
 def _units() -> str:
@@ -59,42 +62,6 @@ def _long_unit(unit: str, min_words: int, min_chars: int, long_chars: int) -> st
     return f"(length({unit}) >= {long_chars} OR (length({unit}) >= {min_chars} AND {unit} rlike '{many}'))"
 
 
-def _chunks(min_units: int, min_chars: int) -> str:
-    """SQL: array of (s, e), ranges of units from s to before e, from the arrays ``lengths`` and ``alone``."""
-    # No unit is empty, so a run of this many units counts; nearly all runs that do are shorter than ``few``.
-    most, few, code = max(min_units, min_chars), max(min_units, 16), 1 << 20
-
-    def near(step: int, n: int) -> str:
-        """Lengths of the next ``n`` units from i on, backwards for a negative step."""
-        if step > 0:
-            return f"slice(lengths, i + 1, {n})"
-        return f"reverse(slice(lengths, greatest(i - {n - 1}, 0) + 1, least(i + 1, {n})))"
-
-    def reached(lengths: str) -> str:
-        """Units up to the first place where they count, null if there is none; characters and units are one number.
-
-        Few units are looked at before, so here characters come last, unless the array ends."""
-        done = f"a >= {min_chars * code}L"
-        return f"""aggregate({lengths}, 0L, (a, x) -> IF({done}, a, a + x * {code}L + 1L),
-            a -> IF({done} AND a % {code} >= {min_units}, CAST(a % {code} AS int), CAST(NULL AS int)))"""
-
-    def units(step: int) -> str:
-        """Units of the shortest run from i on that counts, null if there is none; most are short."""
-        short = " ".join("WHEN {} >= {} THEN {}".format(
-            " + ".join(f"get(lengths, i + {step * k})" for k in range(n)), min_chars, n)
-            for n in range(min_units, min_units + 3))
-        longer = ", ".join(reached(near(step, n)) for n in (few, most))
-        return f"CASE WHEN get(alone, i) THEN 1 {short} ELSE coalesce({longer}) END"
-
-    after, before = units(1), units(-1)
-    # As numbers, since array_distinct compares all pairs of structs.
-    code = 1 << 31
-    return f"""transform(filter(array_distinct(concat(
-        transform(lengths, (x, i) -> i * {code}L + i + ({after})),
-        transform(lengths, (x, i) -> (i + 1 - ({before})) * {code}L + i + 1))), c -> c IS NOT NULL),
-        c -> named_struct('s', CAST(c div {code}L AS int), 'e', CAST(c % {code}L AS int)))"""
-
-
 def inlined(array: Column) -> Column:
     """Rows of an array of structs, and a row of nulls for an empty one, to be filtered by the caller.
 
@@ -110,35 +77,88 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def unit_table(docs: DataFrame, id_col="doc_id", text_col="text", min_words=20, min_chars=60,
                long_chars=300) -> DataFrame:
-    """Per document _ld_id, _ld_th and the arrays ``hashes``, ``lengths`` and ``alone`` (counts by itself) of its units."""
+    """Per document _ld_id, _ld_th and the arrays ``hashes`` and ``lengths`` of its units, the latter ALONE where a unit
+    counts by itself."""
     units = _keyed(docs, id_col, text_col).where(F.length("_ld_text") >= min_chars) \
         .select("_ld_id", "_ld_th", F.expr(UNITS).alias("units"))
+    alone = _long_unit("u", min_words, min_chars, long_chars)
     return units.select(
         "_ld_id", "_ld_th", F.expr("transform(units, u -> xxhash64(u))").alias("hashes"),
-        F.expr("transform(units, u -> length(u))").alias("lengths"),
-        F.expr(f"transform(units, u -> {_long_unit('u', min_words, min_chars, long_chars)})").alias("alone"))
+        F.expr(f"transform(units, u -> IF({alone}, {ALONE}, length(u)))").alias("lengths"))
+
+
+def numbered(units: DataFrame) -> tuple[DataFrame, int]:
+    """_ld_id, _ld_th and ``base`` of every document, and the step between bases.
+
+    Bases ascend by id, then by the text's hash; no document has as many units as a step. So base + unit is the place of
+    a unit, and places are in order.
+    """
+    rows = materialize(units.groupBy("_ld_id", "_ld_th").agg(F.max(F.size("hashes")).alias("n_units"))
+                       .orderBy("_ld_id", "_ld_th").withColumn("number", F.monotonically_increasing_id()), "documents")
+    # The number of a partition is above these bits, that of its row below; all parts are packed as tightly as they can be.
+    part, row = F.shiftright("number", 33), F.col("number").bitwiseAND((1 << 33) - 1)
+    most = rows.agg(F.max(part), F.max(row), F.max("n_units")).first()
+    part_bits, row_bits, unit_bits = (int(x or 0).bit_length() for x in most)
+    if part_bits + row_bits + unit_bits > 62:
+        raise ValueError("documents and units are too many to be numbered in 62 bits")
+    base = F.shiftleft(F.shiftleft(part, row_bits).bitwiseOR(row), unit_bits)
+    return rows.select("_ld_id", "_ld_th", base.alias("base")), 1 << unit_bits
 
 
 def chunk_table(units: DataFrame, min_chars=60, reach=2) -> DataFrame:
-    """One row per content-defined chunk of at least ``min_chars`` characters: _ld_id, _ld_th, s, e, h."""
-    # The rolling hash before unit i, null where there are not ``reach + 1`` units to each side.
-    rolling = f"""transform(hashes, (h, i) -> IF(i > {reach} AND i < size(hashes) - {reach},
-                                                xxhash64(get(hashes, i - 1), h), CAST(NULL AS bigint)))"""
-    # Of equal hashes side by side the first is the smallest.
-    least = " AND ".join([f"coalesce(x < get(rolling, i - {k}), true) AND coalesce(x <= get(rolling, i + {k}), true)"
-                          for k in range(1, reach + 1)])
-    cuts = f"""filter(transform(rolling, (x, i) -> IF(x IS NOT NULL AND {least}, i, -1)), i -> i >= 0)"""
-    ranges = units.withColumn("rolling", F.expr(rolling)).withColumn("cuts", F.expr(cuts)) \
-        .select("_ld_id", "_ld_th", "hashes", "lengths", F.expr("""zip_with(
-            concat(array(0), cuts), concat(cuts, array(size(hashes))), (s, e) -> named_struct('s', s, 'e', e))""")
-                .alias("ranges"))
-    return ranges.select("_ld_id", "_ld_th", inlined(F.expr("""transform(ranges, r -> named_struct('s', r.s, 'e', r.e,
-        'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s)),
-        'chars', aggregate(slice(lengths, r.s + 1, r.e - r.s), 0, (a, x) -> a + x)))"""))) \
-        .where((F.col("chars") >= min_chars) & (F.col("e") - F.col("s") >= 2)).drop("chars")
-
-
-def look_up(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """One row per content-defined chunk of at least ``min_chars`` characters: the key of its document, s, e, h."""
+    keys = [c for c in units.columns if c not in ("hashes", "lengths")]
+    # The rolling hash before unit i. A cut has ``reach + 1`` units to each side; of equal hashes the first is the smallest.
+    rolling = "transform(hashes, (h, i) -> xxhash64(get(hashes, i - 1), h))"
+    least = " AND ".join(f"get(rolling, i) < get(rolling, i - {k}) AND get(rolling, i) <= get(rolling, i + {k})"
+                         for k in range(1, reach + 1))
+    cuts = f"""concat(array(0), IF(size(hashes) <= {2 * reach + 1}, array(), filter(
+        sequence({reach + 1}, greatest(size(hashes) - {reach + 1}, {reach + 1})), i -> {least})), array(size(hashes)))"""
+    # Parts of arrays are taken in rows; functions on arrays would copy the whole array for every part.
+    chunks = units.withColumn("rolling", F.expr(rolling)).withColumn("cuts", F.expr(cuts)) \
+        .select(*keys, "hashes", "lengths", "cuts", F.posexplode_outer("cuts").alias("k", "s")) \
+        .withColumn("e", F.expr("get(cuts, k + 1)")).where("e - s >= 2") \
+        .select(*keys, "s", "e", F.expr("slice(lengths, s + 1, e - s)").alias("own"),
+                F.expr("xxhash64(slice(hashes, s + 1, e - s))").alias("h"))
+    enough = f"aggregate(own, 0, (a, x) -> IF(a < {min_chars}, a + x, a)) >= {min_chars}"
+    return chunks.select(*keys, inlined(F.expr(f"filter(array(named_struct('s', s, 'e', e, 'h', h)), c -> {enough})"))) \
+        .where("h IS NOT NULL")
+
+
+def run_table(units: DataFrame, min_units=2, min_chars=60) -> DataFrame:
+    """One row per shortest run that counts, from and up to every unit: the key of its document, s, e, h.
+
+    A run counts if it has ``min_units`` units and ``min_chars`` characters; a unit may count by itself. The most units
+    from or up to ``i`` that have fewer characters are found in halving steps, by the sums of 1, 2, 4... units.
+    """
+    keys = [c for c in units.columns if c not in ("hashes", "lengths")]
+    steps = [1 << k for k in range((min_chars - 1).bit_length())]
+    runs, sums = units.withColumnRenamed("lengths", "sum1"), [f"sum{n}" for n in steps]
+    for n in steps[:-1]:
+        runs = runs.withColumn(f"sum{2 * n}", F.expr(f"transform(sum{n}, (x, i) -> x + get(sum{n}, i + {n}))"))
+    runs = runs.select(*keys, "hashes", *sums, F.posexplode("sum1").alias("i", "own"), F.lit(0).alias("after"),
+                       F.lit(0).alias("a"), F.lit(0).alias("before"), F.lit(0).alias("b"))
+    for n in reversed(steps):
+        runs = runs.withColumn("x", F.expr(f"get(sum{n}, i + after)")) \
+            .withColumn("y", F.expr(f"get(sum{n}, i - before - {n - 1})")) \
+            .withColumn("x", F.expr(f"IF(a + x < {min_chars}, x, NULL)")) \
+            .withColumn("y", F.expr(f"IF(b + y < {min_chars}, y, NULL)")) \
+            .select(*keys, "hashes", *sums, "i", "own", F.expr(f"after + IF(x IS NULL, 0, {n})").alias("after"),
+                    F.expr("a + coalesce(x, 0)").alias("a"), F.expr(f"before + IF(y IS NULL, 0, {n})").alias("before"),
+                    F.expr("b + coalesce(y, 0)").alias("b"))
+    runs = runs.select(
+        *keys, "hashes", "i", F.expr(f"IF(own >= {ALONE}, 1, greatest(after + 1, {min_units}))").alias("n"),
+        F.expr(f"greatest(before + 1, {min_units})").alias("m"), "own", "b", "sum1") \
+        .withColumn("first", F.expr("get(sum1, i + 1 - m)"))
+    # A run up to a unit is its first unit's own, unless that counts sooner.
+    sooner = f"own < {ALONE} AND (first >= {ALONE} OR (m > {min_units} AND b - own + first >= {min_chars}))"
+    runs = runs.select(*keys, "hashes", inlined(F.expr(f"""array(
+        IF(i + n <= size(hashes), named_struct('s', i, 'n', n), NULL),
+        IF({sooner}, named_struct('s', i + 1 - m, 'n', m), NULL))"""))).where("n IS NOT NULL")
+    return runs.select(*keys, "s", F.expr("s + n").alias("e"), F.expr("xxhash64(slice(hashes, s + 1, n))").alias("h"))
+
+
+def look_up(rows: DataFrame, keys: DataFrame, key: list[str], spread_by: list[str]) -> DataFrame:
     """``rows`` joined with ``keys``, which have one row per key and the number ``n`` of rows that it has in ``rows``.
 
     Rows of a key with more than one in ``HOT`` of all rows are spread over ``SALTS`` tasks by a hash of ``spread_by``
@@ -146,108 +166,75 @@ def look_up(rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str]) ->
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = F.col("n") * HOT > total
-    hot = F.broadcast(keys.where(many).select(key, F.lit(True).alias("_ld_hot")))
+    hot = F.broadcast(keys.where(many).select(*key, F.lit(True).alias("_ld_hot")))
     salted = rows.join(hot, key, "left").withColumn("_ld_salt", F.when(
         F.col("_ld_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_ld_hot")
     copies = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(keys.withColumn("_ld_salt", F.explode(copies)).drop("n"), [key, "_ld_salt"]).drop("_ld_salt")
-
-
-def repeats(ranges: DataFrame, name: str) -> DataFrame:
-    """Places of the repeated texts among ``ranges`` (_ld_id, _ld_th, s, e, h, covered), with is_first."""
-    repeated = materialize(ranges.groupBy("h").agg(
-        F.count("*").alias("n"), F.min(F.struct("_ld_id", "_ld_th", "s")).alias("first")).where("n > 1"), name)
-    return look_up(ranges, repeated, "h", ["_ld_id", "s"]).select(
-        "_ld_id", "_ld_th", "s", "e", "h", "covered",
-        F.expr("first._ld_id <=> _ld_id AND first._ld_th = _ld_th AND first.s = s").alias("is_first"))
-
-
-def with_chunks(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``units`` with the array ``until``: per unit the end of the repeated chunk that it is in, negative in a first
-    place, and 0 outside. ``chunks`` are the places of repeated chunks."""
-    taken = chunks.select("_ld_id", "_ld_th", "s", F.when(F.col("is_first"), -F.col("e")).otherwise(F.col("e")).alias("e")) \
-        .distinct().groupBy("_ld_id", "_ld_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("taken"))
-    return units.alias("u").join(taken.alias("t"), F.expr("u._ld_id <=> t._ld_id AND u._ld_th = t._ld_th"), "left") \
-        .select("u.*", F.expr("""IF(taken IS NULL, array_repeat(0, size(hashes)), concat(
-            flatten(transform(taken, (c, k) -> concat(array_repeat(0, c.s - abs(coalesce(get(taken, k - 1).e, 0))),
-                                                      array_repeat(c.e, abs(c.e) - c.s)))),
-            array_repeat(0, size(hashes) - abs(element_at(taken, -1).e))))""").alias("until"))
-
-
-def links(units: DataFrame) -> DataFrame:
-    """One row per pair of neighbouring units and per unit that counts by itself: _ld_id, _ld_th, s, e, h, shared, free.
-
-    ``shared`` ones lie in a repeated chunk, ``free`` ones are not inside a later place of one.
-    """
-    pairs = """transform(filter(sequence(0, size(hashes) - 1), i -> i + 1 < size(hashes)), i -> named_struct(
-        's', i, 'e', i + 2, 'h', xxhash64(get(hashes, i), get(hashes, i + 1)),
-        'shared', abs(get(until, i)) > i + 1, 'free', get(until, i) <= i + 1))"""
-    singles = """transform(filter(sequence(0, size(hashes) - 1), i -> get(alone, i)), i -> named_struct(
-        's', i, 'e', i + 1, 'h', xxhash64(get(hashes, i), 'alone'),
-        'shared', get(until, i) != 0, 'free', get(until, i) <= 0))"""
-    return units.select("_ld_id", "_ld_th", inlined(F.expr(f"concat({pairs}, {singles})"))).where("s IS NOT NULL")
+    return salted.join(keys.withColumn("_ld_salt", F.explode(copies)).drop("n"), [*key, "_ld_salt"]).drop("_ld_salt")
 
 
-def runs_of(units: DataFrame, shared: DataFrame, min_units=2, min_chars=60) -> DataFrame:
-    """One row per shortest run that counts, from and up to every unit: _ld_id, _ld_th, s, e, h, covered.
+def later_ranges(places: DataFrame, step: int) -> DataFrame:
+    """Ranges of units whose text has an earlier place: base, s, e, first (the earlier place of s).
 
-    A run counts if it has ``min_units`` units and ``min_chars`` characters; a unit may count by itself (``alone``). A
-    run lies in one stretch of the ``shared`` links and is not inside one later chunk; ``covered`` tells that all its
-    units are in later chunks.
+    ``places`` (base, s, e, h) that follow their first one at the same distance make one range, per document and
+    ``WINDOW`` units. Units between them may differ, which is left to the comparison.
     """
-    per_doc = _joined_ranges(shared, touching=False).groupBy("_ld_id", "_ld_th") \
-        .agg(F.collect_list(F.struct("s", "e")).alias("stretches"))
-    parts = ", ".join(f"'{name}', slice({name}, c.s + 1, c.e - c.s)" for name in ("hashes", "lengths", "alone", "until"))
-    cut = units.alias("u").join(per_doc.alias("p"), F.expr("u._ld_id <=> p._ld_id AND u._ld_th = p._ld_th")) \
-        .select("u._ld_id", "u._ld_th", inlined(F.expr(
-            f"transform(stretches, c -> named_struct('at', c.s, {parts}))"))).where("at IS NOT NULL")
-    ranges = cut.withColumn("ranges", F.expr(
-        f"filter({_chunks(min_units, min_chars)}, r -> at + r.e > get(until, r.s))"))
-    return ranges.select("_ld_id", "_ld_th", inlined(F.expr("""transform(ranges, r -> named_struct(
-        's', at + r.s, 'e', at + r.e, 'h', xxhash64(slice(hashes, r.s + 1, r.e - r.s)),
-        'covered', get(until, r.s) > 0 AND forall(slice(until, r.s + 1, r.e - r.s), x -> x > 0)))"""))) \
-        .where("s IS NOT NULL")
+    known = materialize(places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.expr("base + s")).alias("first"))
+                        .where("n > 1"), "places-repeated")
+    # Repeated keys are few and narrow beside the places, which so need no sorting.
+    later = look_up(places, known.hint("shuffle_hash"), ["h"], ["base", "s"]).where("base + s > first")
+    return later.groupBy("base", F.expr("base + s - first").alias("distance"), F.expr(f"s div {WINDOW}").alias("w")) \
+        .agg(F.min("s").alias("s"), F.max("e").alias("e")) \
+        .select("base", "s", "e", F.expr("base + s - distance").alias("first"))
+
+
+def _equal_runs(min_units: int, min_words: int, min_chars: int, long_chars: int) -> str:
+    """SQL: array of (s, e), the longest runs that are equal in the arrays ``units`` and ``first`` and count."""
+    differ = "filter(sequence(0, size(units) - 1), i -> NOT coalesce(get(units, i) = get(first, i), false))"
+    between = f"""zip_with(concat(array(-1), {differ}), concat({differ}, array(size(units))),
+        (x, y) -> named_struct('s', x + 1, 'e', y))"""
+    counts = f"""r.e - r.s >= {min_units}
+        AND length(array_join(slice(units, r.s + 1, r.e - r.s), '')) >= {min_chars}"""
+    alone = f"""transform(filter(sequence(0, size(units) - 1), i -> get(units, i) = get(first, i)
+        AND {_long_unit("get(units, i)", min_words, min_chars, long_chars)}), i -> named_struct('s', i, 'e', i + 1))"""
+    return f"concat(filter({between}, r -> {counts}), {alone})"
 
 
 def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", min_units=2, min_words=20, min_chars=60,
                     long_chars=300, reach=2) -> DataFrame:
-    """Chunks and runs to remove: _ld_id, _ld_th, s, e; equal in bytes to the first place of their text."""
+    """Ranges of units to remove: _ld_id, _ld_th, s, e; equal in bytes to an earlier place."""
     units = materialize(unit_table(docs, id_col, text_col, min_words, min_chars, long_chars), "units",
                         compression="zstd")
-    chunks = materialize(chunk_table(units, min_chars, reach), "chunks")
-    whole_chunks = materialize(repeats(chunks.withColumn("covered", F.lit(False)), "chunks-repeated"), "chunks-places")
-    units = materialize(with_chunks(units, whole_chunks), "units-chunks", compression="zstd")
-    pairs = materialize(links(units), "links", compression="zstd")
-    # What is inside a later place needs no count, since it is in the chunk's first place too.
-    known = pairs.where("free").groupBy("h").agg(
-        F.count("*").alias("places"), F.count_if(~F.col("shared")).alias("n")).where("places > 1 AND n > 0").drop("places")
-    known = materialize(known, "links-repeated")
-    own = ["_ld_id", "_ld_th", "s", "e"]
-    shared = look_up(pairs.where("NOT shared"), known, "h", ["_ld_id", "s"]).select(*own) \
-        .unionByName(pairs.where("shared").select(*own))
-    runs = materialize(runs_of(units, shared, min_units, min_chars), "runs")
-    flagged = whole_chunks.unionByName(repeats(runs, "runs-repeated")).where("is_first OR NOT covered").drop("covered")
-    # Among later places of a document, every second one is left out if its neighbours cover it, so nearly every unit is
-    # compared once. First places are all needed, since others may be compared with any of them.
-    by_place = Window.partitionBy("_ld_id", "_ld_th", "is_first").orderBy("s", "e")
-    flagged = flagged.distinct().withColumn("place", F.row_number().over(by_place)) \
-        .withColumn("meet", (F.lag("e").over(by_place) >= F.lead("s").over(by_place))
-                    & (F.lead("e").over(by_place) >= F.col("e"))) \
-        .where("is_first OR place % 2 = 1 OR NOT coalesce(meet, false)")
-    per_doc = materialize(flagged.groupBy("_ld_id", "_ld_th").agg(
-        F.collect_list(F.struct("s", "e", "h", "is_first")).alias("flagged")), "chunks-flagged")
-    texts = _keyed(docs, id_col, text_col).select("_ld_id", "_ld_th", "_ld_text").alias("d") \
-        .join(per_doc.alias("f"), F.expr("d._ld_id <=> f._ld_id AND d._ld_th = f._ld_th")) \
-        .select("d._ld_id", "d._ld_th", F.expr(UNITS).alias("units"), "flagged") \
-        .select("_ld_id", "_ld_th", inlined(F.expr("""transform(flagged, c -> named_struct('s', c.s, 'e', c.e,
-            'h', c.h, 'is_first', c.is_first, 't', array_join(slice(units, c.s + 1, c.e - c.s), '')))"""))).where("h IS NOT NULL")
-    texts = materialize(texts, "chunks-texts", compression="zstd")
-    # Repeated rows of one document give the same first place more than once.
-    later = texts.where("NOT is_first")
-    first = texts.where("is_first").groupBy("h").agg(F.first("t").alias("first")) \
-        .join(later.groupBy("h").agg(F.count("*").alias("n")), "h")
-    first = materialize(first, "chunks-first", compression="zstd")
-    return look_up(later, first, "h", ["_ld_id", "s"]).where("t = first").select("_ld_id", "_ld_th", "s", "e")
+    numbers, step = numbered(units)
+    own = "u._ld_id <=> d._ld_id AND u._ld_th = d._ld_th"
+    placed = units.alias("u").join(numbers.alias("d"), F.expr(own)).select("base", "hashes", "lengths")
+    places = materialize(chunk_table(placed, min_chars, reach).unionByName(run_table(placed, min_units, min_chars)),
+                         "places")
+    later = materialize(later_ranges(places, step), "ranges")
+    first = materialize(later.groupBy("first", F.expr("e - s").alias("size")).agg(F.count("*").alias("n")), "ranges-first")
+    asked = later.select("base", "s", "e", "first", F.lit(True).alias("later")).unionByName(
+        first.select(F.expr(f"first - first % {step}").alias("base"), F.expr(f"CAST(first % {step} AS int)").alias("s"),
+                     F.expr(f"CAST(first % {step} AS int) + size").alias("e"), "first", F.lit(False).alias("later")))
+    per_doc = asked.groupBy("base").agg(F.collect_list(F.struct("s", "e", "first", "later")).alias("asked"))
+    per_doc = materialize(per_doc.join(numbers, "base").drop("base"), "ranges-asked")
+    texts = _keyed(docs, id_col, text_col).select("_ld_id", "_ld_th", "_ld_text").alias("u") \
+        .join(per_doc.alias("d"), F.expr(own)) \
+        .select("u._ld_id", "u._ld_th", F.expr(UNITS).alias("units"), "asked") \
+        .select("_ld_id", "_ld_th", "units", F.inline("asked")) \
+        .select("_ld_id", "_ld_th", "s", F.expr("e - s").alias("size"), "first", "later",
+                F.expr("slice(units, s + 1, e - s)").alias("units"))
+    texts = materialize(texts, "texts", compression="zstd")
+    # Repeated rows of one document give the same text more than once.
+    key = ["first", "size"]
+    earlier = texts.where("NOT later").groupBy(*key).agg(F.first("units").alias("units")).join(first, key)
+    earlier = materialize(earlier.withColumnRenamed("units", "earlier"), "texts-first", compression="zstd")
+    pairs = look_up(texts.where("later"), earlier, key, ["_ld_id", "s"]) \
+        .select("_ld_id", "_ld_th", F.col("s").alias("at"), "units", F.col("earlier").alias("first"))
+    # A range whose units are all equal holds a run that counts.
+    equal = f"""IF(units = first, array(named_struct('s', 0, 'e', size(units))),
+        {_equal_runs(min_units, min_words, min_chars, long_chars)})"""
+    return pairs.select("_ld_id", "_ld_th", "at", inlined(F.expr(equal))).where("s IS NOT NULL") \
+        .select("_ld_id", "_ld_th", F.expr("at + s").alias("s"), F.expr("at + e").alias("e"))
 
 
 def _joined_ranges(ranges: DataFrame, touching=True) -> DataFrame:

@@ -309,6 +309,26 @@ def test_line_dedup_is_exact_around_chunks(spark):
          [(i, t, len(texts[i]) - len(t)) for i, t in want.items()])
 
 
+def test_line_dedup_compares_a_passage_once(spark, monkeypatch):
+    """Copies with a changed unit: few texts are compared, not one for every run of units, and the result is exact."""
+    passage = [prose(600 + k, 11) + ". " for k in range(60)]
+    rows = [(0, "".join(passage))]
+    for i in range(1, 9):
+        rows.append((i, f"{prose(40_000 + i, 7)}. " + "".join(passage[:5 * i] + [f"No {i}. "] + passage[5 * i + 1:])))
+    texts, write = [], lines.materialize
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        if {"string", "array<string>"} & {kind for _, kind in out.dtypes}:
+            texts.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r["doc_id"], r["text"]) for r in got], slow_dedup(rows).items())
+    assert 0 < sum(texts) <= 10 * len(rows)
+
+
 def test_chunk_boundaries_resist_shifts(spark):
     passage = "".join(f"{prose(300 + k, 8)}.\n" for k in range(200))
     docs = spark.createDataFrame([(0, passage), (1, "One more.\nAnd again. " + passage)], "doc_id long, text string")
